@@ -62,8 +62,8 @@ def take_by_hash(df: DataFrame, id_col: str, n: int | None = None, fraction: flo
     ends = last.unionByName(short)
     if by:
         placed = salted_join(ranked, ends, by, row_id=[id_col])
-    else:
-        placed = ranked.join(F.broadcast(ends))  # one row
+    else:  # one group, one end
+        placed = ranked.withColumns({c: ends.select(c).scalar() for c in ("_last_slot", "_need")})
     inside = placed.where(F.col("_slot") < F.col("_last_slot"))
     edge_order = Window.partitionBy(*by, "_slot").orderBy("_hash", id_col)
     edge = (
@@ -224,9 +224,9 @@ def prompt_grid(df: DataFrame, dimensions: dict[str, list[str]], id_col: str, se
 
 def accept_first(attempts: DataFrame, count: int, attempt_col: str = "attempt",
                  valid_col: str = "valid", per_wanted: int = 3) -> DataFrame:
-    """The first ``count`` valid rows among at most ``per_wanted * count`` attempts, with the
+    """The first ``count`` valid rows among the attempts 1 to ``per_wanted * count``, with the
     number still lacking."""
-    tried = attempts.orderBy(attempt_col).limit(per_wanted * count)
+    tried = attempts.where(F.col(attempt_col) <= per_wanted * count)
     kept = tried.where(valid_col).orderBy(attempt_col).limit(count)
     found = F.count(F.lit(1)).over(Window.partitionBy())
     return kept.withColumn("shortfall", F.lit(count) - found)

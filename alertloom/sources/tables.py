@@ -51,6 +51,7 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
         .select(
             F.regexp_replace(pattern, "^/|/$", "").alias("regex"),
             F.coalesce(F.get(cells, F.lit(1)), F.lit("")).alias("description"),
+            F.monotonically_increasing_id().alias("line"),
         )
     )
 
