@@ -5,35 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_OFFSET = r"(?:Z|[+-]\d{2}(?::?\d{2}(?::?\d{2}(?:\.\d+)?)?)?)$"
-_SHAPE = r"^\d{4}-\d{2}-\d{2}(?:.\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?)?)?$"
-
-
-def _without_offset(text: Column) -> Column:
-    """The date part keeps its dashes: an offset is only looked for behind the time."""
-    return F.concat(F.substring(text, 1, 11), F.regexp_replace(F.substr(text, F.lit(12)), _OFFSET, ""))
+# The date and time as group 1, then an offset that is left out.
+_ISO = (
+    r"^(\d{4}-\d{2}-\d{2}(?:[T ]\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?)?)?)"
+    r"(?:Z|[+-]\d{2}(?::?\d{2}(?::?\d{2}(?:\.\d+)?)?)?)?$"
+)
 
 
 def wall_clock(text: Column) -> Column:
     """``timestamp_ntz`` of an ISO string, null if it is none."""
-    plain = _without_offset(text)
-    iso = F.concat(
-        F.substring(plain, 1, 10),
-        F.when(F.length(plain) > 10, F.concat(F.lit("T"), F.replace(F.substr(plain, F.lit(12)),
-                                                                   F.lit(","), F.lit("."))))
-        .otherwise(""),
-    )
-    return F.when(plain.rlike(_SHAPE), iso.try_cast("timestamp_ntz"))
+    plain = F.translate(F.regexp_extract(text, _ISO, 1), ",", ".")
+    return plain.try_cast("timestamp_ntz")
 
 
 def format_time(text: Column, short: bool = False) -> Column:
     """``yyyy-MM-dd HH:mm:ss`` or ``HH:mm``; empty stays empty, unreadable stays as it is."""
     text = F.coalesce(text, F.lit(""))
-    clock = F.concat(F.substring(_without_offset(text), 12, 8))
-    # A missing minute or second is zero.
-    full = F.concat(clock, F.substr(F.lit("00:00:00"), F.length(clock) + 1))
-    shown = F.substring(full, 1, 5) if short else F.concat_ws(" ", F.substring(text, 1, 10), full)
-    return F.when(text == "", F.lit("")).when(wall_clock(text).isNotNull(), shown).otherwise(text)
+    clock = wall_clock(text).cast("string")
+    shown = F.substring(clock, 12, 5) if short else F.substring(clock, 1, 19)
+    return F.coalesce(shown, text)
 
 
 def timeline(start: Column, end: Column) -> Column:

@@ -16,6 +16,7 @@ from alertloom.functions import alerts as A
 from alertloom.functions import text as X
 from alertloom.functions import times as T
 from alertloom.operators.skew import ordered_text, salted_join
+from alertloom.session import stored
 from alertloom.sources.alerts import last_events
 
 GROUP = ["incident_id", "severity", "target_summary"]
@@ -159,9 +160,10 @@ def incident_report(incidents: DataFrame, linked: DataFrame, max_examples: int =
                     lines_per_part: int = 10_000) -> DataFrame:
     """One record per incident with its grouped, most-severe-first text.
 
-    An incident with more groups than one task should hold comes in several parts.
+    An incident with more groups than one task should hold comes in several parts. The counted
+    descriptions are written out once; all that follows reads them instead of the events.
     """
-    counts = description_counts(linked)
+    counts = stored(description_counts(linked))
     groups = groups_of(counts)
     header = incident_header(incidents).join(severity_breakdown(groups), "incident_id", "left")
 

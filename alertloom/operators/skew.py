@@ -5,48 +5,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.session import checkpointed, shuffle_width
+from alertloom.session import shuffle_width, stored
 
 MOST_HOT_KEYS = 1000
 SLICES = 64
 
 
-def hot_keys(df: DataFrame, keys: list[str], min_rows: int, most: int = MOST_HOT_KEYS) -> DataFrame:
-    """Keys with more than ``min_rows`` rows and more than one ``most``-th of all rows.
+def hot_keys(df: DataFrame, keys: list[str], min_rows: int, most: int = MOST_HOT_KEYS) -> list:
+    """The most frequent keys, at most ``most``, that have more than ``min_rows`` rows (runs a job).
 
-    Fewer than ``most`` keys can pass the second test, so the result may be broadcast.
+    A key left out has at most one ``most``-th of all rows.
     """
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return counts.where(
-        F.col("_rows") > F.greatest(F.lit(float(min_rows)), total / F.lit(float(most)))
-    ).select(*keys, F.lit(True).alias("_hot"))
+    heaviest = counts.where(F.col("_rows") > min_rows).orderBy(F.desc("_rows")).limit(most)
+    return heaviest.select(*keys).collect()
+
+
+def marked_hot(df: DataFrame, keys: list[str], hot: list, names: DataFrame) -> DataFrame:
+    """Adds ``_hot``, true for the rows of the given keys. Their number is bounded, so they travel
+    to the rows."""
+    schema = names.select(*keys).schema
+    found = names.sparkSession.createDataFrame(hot, schema).withColumn("_hot", F.lit(True))
+    return df.join(F.broadcast(found), keys, "left")
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", *,
-                row_id: list[str], min_rows: int = 100_000, one_in: int = 16,
+                row_id: list[str], min_rows: int = 1_000_000, one_in: int = 16,
                 slices: int = SLICES) -> DataFrame:
     """Join whose left side may repeat a key without limit.
 
-    Rows of a hot key are spread over ``slices`` salts and the right rows of that key are copied
-    to each. Hot keys are looked for in one of ``one_in`` left rows, chosen by a hash of
-    ``row_id``; a key missed or flagged in vain costs time only, never a row. Right keys should be
-    unique or nearly so. ``how``: inner, left, left_semi or left_anti.
+    Hot keys are looked for first, in one of ``one_in`` left rows chosen by a hash of ``row_id``;
+    a key missed or flagged in vain costs time only, never a row. Without hot keys this is a plain
+    join. Else rows of a hot key are spread over ``slices`` salts and the right rows of that key
+    are copied to each, so right keys should be unique or nearly so.
+    ``how``: inner, left, left_semi or left_anti.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join {how!r}")
-    spread = F.xxhash64(*row_id)
-    seen = left.select(*on, spread.alias("_spread")).where(F.pmod("_spread", F.lit(one_in)) == 0)
-    hot = F.broadcast(hot_keys(seen, on, max(min_rows // one_in, 1)))
+    seen = left.where(F.pmod(F.xxhash64(*row_id), F.lit(one_in)) == 0).select(*on)
+    hot = hot_keys(seen, on, max(min_rows // one_in, 1))
+    if not hot:
+        return left.join(right, on, how)
+    # A null key finds no partner but would still gather in one task.
     missing = F.lit(False)
     for key in on:
         missing = missing | F.col(key).isNull()
     salt = F.pmod(F.xxhash64(F.lit("salt"), *row_id), F.lit(slices)).cast("int")
-    salted = left.join(hot, on, "left").withColumn(
+    salted = marked_hot(left, on, hot, left).withColumn(
         "_salt", F.when(F.col("_hot") | missing, salt).otherwise(F.lit(0))
     ).drop("_hot")
     every = F.sequence(F.lit(0), F.lit(slices - 1))
-    copies = right.join(hot, on, "left").withColumn(
+    copies = marked_hot(right, on, hot, left).withColumn(
         "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
     ).drop("_hot")
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
@@ -61,9 +70,7 @@ def ordered_text(lines: DataFrame, keys: list[str], order: list[str], line: str,
     whole. All other keys have the one part 0. The lines are written out once because they are
     counted, then read.
     """
-    lines = checkpointed(lines.select(*keys, *order, line))
-    hot = F.broadcast(hot_keys(lines, keys, lines_per_part, most=100_000))
-    marked = lines.join(hot, keys, "left")
+    lines = stored(lines.select(*keys, *order, line))
 
     def joined(df: DataFrame, part: Column) -> DataFrame:
         rows = F.array_sort(F.collect_list(F.struct(*order, line)))
@@ -72,6 +79,10 @@ def ordered_text(lines: DataFrame, keys: list[str], order: list[str], line: str,
             text.alias("text"), F.count(F.lit(1)).alias("lines")
         )
 
+    hot = hot_keys(lines, keys, lines_per_part, most=100_000)
+    if not hot:
+        return joined(lines, F.lit(0))
+    marked = marked_hot(lines, keys, hot, lines)
     small = joined(marked.where(F.col("_hot").isNull()).drop("_hot"), F.lit(0))
     large = marked.where(F.col("_hot")).drop("_hot").repartitionByRange(
         shuffle_width(lines.sparkSession), *keys, *order

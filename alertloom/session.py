@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .appName("alertloom")
         .config("spark.sql.shuffle.partitions", shuffle_partitions)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
     )
     for key, value in SETTINGS.items():
@@ -28,17 +30,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the cluster's checkpoint folder and read it back.
 
-    The folder is the one named by ``spark.checkpoint.dir``; only a session that names none (a
-    bare local test session) gets a temporary one.
+    For results that are read more than once and are much smaller than what they come from. The
+    folder is the one named by ``spark.checkpoint.dir``, which all executors share; only a session
+    that names none (a bare local test session) gets a temporary one.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="alertloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="alertloom-checkpoint-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/alertloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_width(spark: SparkSession) -> int:
