@@ -79,9 +79,8 @@ def correlate(records: DataFrame, mapping: DataFrame | None = None) -> DataFrame
     )
     rows = latest.groupBy("incident_id").agg(
         F.min_by("meta", "first_place").alias("meta"),
-        F.map_from_entries(
-            F.array_sort(F.collect_list(F.struct("analysis_type", "payload")))
-        ).alias("analyses"),
+        # One entry per producer, so this list is as long as the list of inputs at most.
+        F.map_from_entries(F.collect_list(F.struct("analysis_type", "payload"))).alias("analyses"),
     ).select("incident_id", "meta.*", "analyses")
     if mapping is None:
         return rows

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from alertloom.plans import alerts
+from alertloom.plans import alerts, datasets, ranking, sampling
 
-_FAMILIES = (alerts,)
+_FAMILIES = (alerts, sampling, datasets, ranking)
 
 QUERIES = {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
 ORACLES = {name: sql for family in _FAMILIES for name, sql in family.ORACLES.items()}
