@@ -97,11 +97,12 @@ def parsed_signature(text: Column) -> Column:
                           F.array(*[found(p, 1) for p in PLAIN_FIELDS.values()])),
         lambda _, values: F.size(values) > 0,
     )
-    patterns = F.flatten(F.array(*[
-        F.zip_with(found(p, 1), found(p, 2), lambda regex, flags, kind=kind: F.struct(
+
+    def typed(kind: str, pattern: str) -> Column:
+        return F.zip_with(found(pattern, 1), found(pattern, 2), lambda regex, flags: F.struct(
             F.lit(kind).alias("type"), regex.alias("pattern"), flags.alias("flags")))
-        for kind, p in PATTERN_FIELDS.items()
-    ]))
+
+    patterns = F.flatten(F.array(*[typed(kind, p) for kind, p in PATTERN_FIELDS.items()]))
     whole = F.struct(
         F.regexp_extract(text, NAMED_BLOCK, 1).alias("name"), body.alias("body"),
         fields.alias("fields"), patterns.alias("patterns"),

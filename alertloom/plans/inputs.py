@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.functions.alerts import target_summary  # noqa: F401  (used by the plans)
-
 MODELS = ("alpha", "beta", "delta", "gamma")
 SUITES = [f"Brand#{i}" for i in range(1, 26)]
 
@@ -271,7 +269,7 @@ def flows(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("k")
     return event_base(spark, sf).select(
         "event_id", F.when(k % 2 == 0, "tcp").otherwise("udp").alias("proto"),
-        F.concat(F.lit("10.0."), (F.col("user_id") % 7).cast("string"), F.lit("."),
+        F.concat(F.lit("10."), (F.col("user_id") % 7).cast("string"), F.lit(".0."),
                  (F.col("user_id") % 250).cast("string")).alias("src_ip"),
         F.concat(F.lit("192.168.0."), (k % 3).cast("string")).alias("dst_ip"),
         (k + 1000).alias("src_port"), _case(k % 3, {0: 53, 1: 80}, 443).alias("dst_port"),
