@@ -104,29 +104,24 @@ def sample_incidents(incidents: DataFrame, n: int | None = None, files: int | No
 def sample_statistics(sample: DataFrame) -> DataFrame:
     """Rows (metric, key, value): totals, events per incident, counts by category, severity, dataset."""
     kinds = ["category", "severity", "dataset"]
-    counted = (
+    overall = sample.agg(
+        F.count(F.lit(1)).alias("total_incidents"),
+        F.coalesce(F.sum("num_events"), F.lit(0)).alias("total_events"),
+        F.min("num_events").alias("min_events"),
+        F.max("num_events").alias("max_events"),
+        F.avg("num_events").alias("avg_events"),
+    )
+    totals = overall.select([F.col(c).cast("double").alias(c) for c in overall.columns]) \
+        .select(F.lit("").alias("key"), "*").unpivot(["key"], overall.columns, "metric", "value")
+    kind = F.lit("")
+    for k in kinds:
+        kind = F.when(F.grouping(k) == 0, f"by_{k}").otherwise(kind)
+    counts = (
         sample.withColumn("severity", F.coalesce("severity", F.lit("Unknown")))
-        .groupingSets([[]] + [[k] for k in kinds], *kinds)
-        .agg(
-            *[F.grouping(k).alias(f"no_{k}") for k in kinds],
-            F.count(F.lit(1)).alias("incidents"),
-            F.sum("num_events").alias("events"),
-            F.min("num_events").alias("fewest"),
-            F.max("num_events").alias("most"),
-            F.avg("num_events").alias("mean"),
-        )
+        .groupingSets([[k] for k in kinds], *kinds)
+        .agg(kind.alias("metric"), F.count(F.lit(1)).cast("double").alias("value"))
     )
-    overall = F.array(*[
-        F.struct(F.lit(name).alias("metric"), F.lit("").alias("key"), F.col(col).cast("double").alias("value"))
-        for name, col in (("total_incidents", "incidents"), ("total_events", "events"),
-                          ("min_events", "fewest"), ("max_events", "most"), ("avg_events", "mean"))
-    ])
-    rows = overall
-    for kind in kinds:
-        one = F.array(F.struct(F.lit(f"by_{kind}").alias("metric"), F.col(kind).alias("key"),
-                               F.col("incidents").cast("double").alias("value")))
-        rows = F.when(F.col(f"no_{kind}") == 0, one).otherwise(rows)
-    return counted.select(F.inline(rows))
+    return totals.unionByName(counts.select("metric", F.coalesce(*kinds).alias("key"), "value"))
 
 
 def evaluation_statistics(sample: DataFrame) -> DataFrame:
