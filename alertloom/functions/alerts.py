@@ -64,9 +64,9 @@ def target_summary(ips: Column, ports_: Column, description: Column) -> Column:
     )
 
 
-def note_text(note: Column) -> Column:
-    """The Note as a map; text that is no JSON object is kept under ``raw``."""
-    parsed = F.from_json(note, "map<string,string>")
+def note_map(note: Column, parsed: Column) -> Column:
+    """The Note as a map, given what parsing it gave; text that is no JSON object is kept under
+    ``raw``."""
     return (
         F.when(F.coalesce(note, F.lit("")) == "", F.create_map().cast("map<string,string>"))
         .when(parsed.isNull() | F.map_contains_key(parsed, ""), F.create_map(F.lit("raw"), note))

@@ -37,10 +37,12 @@ def words(text: Column) -> Column:
 
 
 def normalise_pattern(description: Column) -> Column:
-    """Replace addresses, ports and numbers by placeholders, in that order."""
-    return reduce(
+    """Replace addresses, ports and numbers by placeholders, in that order. Every pattern needs a
+    digit, so text without one is passed through."""
+    replaced = reduce(
         lambda text, step: F.regexp_replace(text, step[0], step[1]), NORMALISING, description
     )
+    return F.when(description.rlike(r"(?U)\d"), replaced).otherwise(description)
 
 
 def sample_values(description: Column, per_kind: int = 2) -> Column:

@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from alertloom.functions.once import evaluated_once
 from alertloom.operators.feeds import blocks
 
 # JSON schema types and the variant types they cover.
@@ -48,8 +49,14 @@ def fits_schema(value: Column, schema: dict, path: str = "$") -> Column:
     return F.coalesce(_all(needs), F.lit(False))
 
 
-def holds(assertion: dict, output: Column) -> Column:
-    """One assertion as a condition on the output text."""
+def documents(output: Column) -> dict[str, Column]:
+    """The output as JSON, and the outermost braces in it as JSON; null if it is none."""
+    inner = F.regexp_extract(output, r"(?s)\{.*\}", 0)
+    return {"is-json": F.try_parse_json(output), "contains-json": F.try_parse_json(inner)}
+
+
+def holds(assertion: dict, output: Column, parsed: dict[str, Column]) -> Column:
+    """One assertion as a condition on the output text and its parsed documents."""
     kind, value = assertion["type"], assertion.get("value")
     if kind == "contains":
         return output.contains(value)
@@ -58,9 +65,7 @@ def holds(assertion: dict, output: Column) -> Column:
     if kind == "regex":
         return output.rlike(value)
     if kind in ("is-json", "contains-json"):
-        text = output if kind == "is-json" else F.regexp_extract(output, r"(?s)\{.*\}", 0)
-        document = F.try_parse_json(text)
-        return document.isNotNull() & fits_schema(document, value or {})
+        return parsed[kind].isNotNull() & fits_schema(parsed[kind], value or {})
     raise ValueError(f"unknown assertion type {kind!r}")
 
 
@@ -71,15 +76,22 @@ def check_outputs(outputs: DataFrame, assertions: list[dict], rubric_col: str |
     skipped.
     """
     usable = [(i, a) for i, a in enumerate(assertions) if a["type"] != RUBRIC or rubric_col]
+    kinds = [k for k in ("is-json", "contains-json") if any(a["type"] == k for _, a in usable)]
+    given = outputs.columns
+    if kinds:
+        made = documents(F.col("output"))
+        outputs = evaluated_once(outputs, {f"_{k}": made[k] for k in kinds})
+    parsed = {k: F.col(f"`_{k}`") for k in kinds}
 
     def hit(numbered: tuple[int, dict]) -> Column:
         i, a = numbered
-        verdict = F.col(rubric_col) if a["type"] == RUBRIC else holds(a, F.col("output"))
+        verdict = F.col(rubric_col) if a["type"] == RUBRIC else holds(a, F.col("output"), parsed)
         found = F.struct(F.lit(i).alias("assertion"), F.lit(a["type"]).alias("type"),
                          F.coalesce(verdict, F.lit(False)).alias("passed"))
         return F.when((F.col("suite") == a["suite"]) & (F.col("test") == a["test"]), found)
 
-    return blocks(outputs, usable, hit, "struct<assertion:int,type:string,passed:boolean>")
+    checked = blocks(outputs, usable, hit, "struct<assertion:int,type:string,passed:boolean>")
+    return checked.select(*given, "assertion", "type", "passed")
 
 
 def test_results(checked: DataFrame) -> DataFrame:

@@ -44,10 +44,10 @@ def payload(present: Column | None = None) -> Column:
         return F.col(name).isNotNull() if present is None else F.array_contains(present, name)
 
     def both(first: str, second: str) -> Column:
-        return F.map_filter(
-            F.create_map(F.lit(first), F.col(first), F.lit(second), F.col(second)),
-            lambda k, _: F.when(k == first, has(first)).otherwise(has(second)),
-        )
+        one = [F.lit(first), F.col(first)]
+        other = [F.lit(second), F.col(second)]
+        return F.when(has(first) & has(second), F.create_map(*one, *other)) \
+            .when(has(first), F.create_map(*one)).otherwise(F.create_map(*other))
 
     return (
         F.when(has("cause_analysis") | has("risk_assessment"), both("cause_analysis", "risk_assessment"))
@@ -63,7 +63,8 @@ def correlate(records: DataFrame, mapping: DataFrame | None = None) -> DataFrame
     ``records`` are the stacked frames with an ``analysis_type`` and a ``payload``. Metadata comes
     from the first record of an incident, the payload of a type from its last one; a category
     mapping, if given, wins over the record's own category. ``analyses`` maps type to payload.
-    One shuffle by incident serves all producers.
+    Two shuffles serve any number of producers; repeats of an incident are thinned out to one row
+    per task before the first.
     """
     meta = F.struct(*[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in METADATA_DEFAULTS.items()])
     place = F.struct("file_order", "pos")
@@ -112,17 +113,33 @@ def merge_first(records: DataFrame, key: str = "incident_id") -> DataFrame:
     )
 
 
+def id_balance(inputs: DataFrame, output: DataFrame) -> DataFrame:
+    """What comparing the ids of both sides tells, from one shuffle of the ids (one row)."""
+    def ids(df: DataFrame, incoming: int) -> DataFrame:
+        return df.select(F.when(_has_id(), F.col("incident_id")).alias("incident_id"),
+                         F.lit(incoming).alias("incoming"))
+
+    per_id = ids(inputs, 1).unionByName(ids(output, 0)).groupBy("incident_id").agg(
+        F.sum("incoming").alias("came"), F.count_if(F.col("incoming") == 0).alias("left"))
+    named, came, left = F.col("incident_id").isNotNull(), F.col("came"), F.col("left")
+
+    def total(value: Column) -> Column:
+        return F.coalesce(F.sum(value), F.lit(0))
+
+    return per_id.agg(
+        total(came).alias("input_total"),
+        F.count_if(named & (came > 0)).alias("unique_ids"),
+        total(left).alias("output_count"),
+        total(F.when(named & (left > 1), left - 1).otherwise(0)).alias("repeated"),
+        F.count_if(named & (came > 0) & (left == 0)).alias("missing"),
+        F.count_if(named & (came == 0) & (left > 0)).alias("extra"),
+    ).withColumn("duplicates_removed", F.col("input_total") - F.col("unique_ids"))
+
+
 def merge_counts(inputs: DataFrame, output: DataFrame) -> DataFrame:
     """Input records, distinct ids, output records, and how many inputs the merge removed."""
-    counted = inputs.groupBy(F.when(_has_id(), F.col("incident_id")).alias("incident_id")) \
-        .agg(F.count(F.lit(1)).alias("n")) \
-        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("input_total"),
-             F.count("incident_id").alias("unique_ids"))
-    return counted.select(
-        "input_total", "unique_ids",
-        output.agg(F.count(F.lit(1))).scalar().alias("output_count"),
-        (F.col("input_total") - F.col("unique_ids")).alias("duplicates_removed"),
-    )
+    return id_balance(inputs, output).select(
+        "input_total", "unique_ids", "output_count", "duplicates_removed")
 
 
 def duplicate_ids(inputs: DataFrame, first: int = 10) -> DataFrame:
@@ -137,13 +154,13 @@ def duplicate_ids(inputs: DataFrame, first: int = 10) -> DataFrame:
 def completeness(inputs: DataFrame, output: DataFrame) -> DataFrame:
     """Ids on one side only: ``missing`` from the output or ``extra`` in it."""
     def ids(df: DataFrame, side: str) -> DataFrame:
-        return df.where(_has_id()).select("incident_id", F.lit(side).alias("side")).distinct()
+        return df.where(_has_id()).select("incident_id", F.lit(side).alias("side"))
 
     return (
         ids(inputs, "missing").unionByName(ids(output, "extra"))
         .groupBy("incident_id")
-        .agg(F.count(F.lit(1)).alias("sides"), F.min("side").alias("side"))
-        .where(F.col("sides") == 1)
+        .agg(F.min("side").alias("side"), F.max("side").alias("other"))
+        .where(F.col("side") == F.col("other"))
         .select("incident_id", "side")
     )
 
@@ -207,43 +224,36 @@ def integrity(output: DataFrame, required: tuple[str, ...] = REQUIRED_FIELDS) ->
     )
 
 
-def repeated_ids(output: DataFrame) -> DataFrame:
-    """How many output records repeat an id (one row)."""
-    return output.where(_has_id()).groupBy("incident_id").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated")
-    )
-
-
 def verify_merge(inputs: DataFrame, output: DataFrame, readable: bool = True) -> DataFrame:
     """Rows (check, passed, detail) over a merge, closed by their conjunction ``overall``.
 
-    ``output`` needs a ``pos`` for the order check.
+    ``output`` needs a ``pos`` for the order check and should be a written table: it is read three
+    times, for its ids, its fields and its order.
     """
-    def row(name: str, df: DataFrame, passed: Column, detail: Column) -> DataFrame:
-        return df.select(F.lit(name).alias("check"), passed.alias("passed"), detail.alias("detail"))
-
-    counts = merge_counts(inputs, output)
-    sides = completeness(inputs, output).agg(
-        F.count_if(F.col("side") == "missing").alias("missing"),
-        F.count_if(F.col("side") == "extra").alias("extra"),
-    )
-    fields = integrity(output)
-    checks = [
-        row("files", inputs.sparkSession.range(1), F.lit(readable), F.lit("")),
-        row("counts", counts, F.col("output_count") == F.col("unique_ids"),
-            F.format_string("%d in, %d ids, %d out, %d removed", *counts.columns)),
-        row("no_repeats", repeated_ids(output), F.col("repeated") == 0,
-            F.format_string("%d repeated", "repeated")),
-        row("complete", sides, (F.col("missing") == 0) & (F.col("extra") == 0),
+    def row(name: str, passed: Column, detail: Column) -> Column:
+        return F.struct(F.lit(name).alias("check"), passed.alias("passed"), detail.alias("detail"))
+
+    def count(name: str) -> Column:
+        return F.col(name) == 0
+
+    ids = id_balance(inputs, output).select(F.inline(F.array(
+        row("files", F.lit(readable), F.lit("")),
+        row("counts", F.col("output_count") == F.col("unique_ids"),
+            F.format_string("%d in, %d ids, %d out, %d removed", "input_total", "unique_ids",
+                            "output_count", "duplicates_removed")),
+        row("no_repeats", count("repeated"), F.format_string("%d repeated", "repeated")),
+        row("complete", count("missing") & count("extra"),
             F.format_string("%d missing, %d extra", "missing", "extra")),
-        row("integrity", fields,
-            (F.col("missing_fields") + F.col("empty_ids") + F.col("type_errors")) == 0,
-            F.format_string("%d missing fields, %d empty ids, %d type errors", *fields.columns)),
-        row("sorted", inversions(output, "pos", "incident_id"), F.col("inversions") == 0,
-            F.format_string("%d out of order", "inversions")),
-    ]
-    report = reduce(DataFrame.unionByName, checks)
-    overall = report.agg(F.every("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"))
-    return report.unionByName(
-        row("overall", overall, F.col("passed"), F.format_string("%d failed", "failed"))
-    )
+    )))
+    fields = integrity(output).select(F.inline(F.array(row(
+        "integrity", count("missing_fields") & count("empty_ids") & count("type_errors"),
+        F.format_string("%d missing fields, %d empty ids, %d type errors",
+                        "missing_fields", "empty_ids", "type_errors")))))
+    order = inversions(output, "pos", "incident_id").select(F.inline(F.array(row(
+        "sorted", count("inversions"), F.format_string("%d out of order", "inversions")))))
+    # Six rows; the closing row is added to them without a second look at the data.
+    report = ids.unionByName(fields).unionByName(order)
+    gathered = report.agg(F.collect_list(F.struct("check", "passed", "detail")).alias("rows"))
+    failed = F.size(F.filter("rows", lambda r: ~r["passed"]))
+    overall = row("overall", failed == 0, F.format_string("%d failed", failed))
+    return gathered.select(F.inline(F.concat("rows", F.array(overall))))

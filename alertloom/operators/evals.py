@@ -1,6 +1,6 @@
 """Pass rates of prompt-test suites and their relation to serving speed.
 
-``runs``: eval_id, provider, passed, failed. ``meta``: eval_id, description.
+``runs``: eval_id, provider, passed, failed. ``meta``: eval_id, suite.
 """
 
 from __future__ import annotations
@@ -8,13 +8,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from alertloom.operators.skew import salted_join
+
 # From how many tokens per second a model counts as fast, and how many of the
 # suites, in name order, the mean takes in when asked to leave the last one out.
 FAST = 8.0
 
 
 def with_description(runs: DataFrame, meta: DataFrame) -> DataFrame:
-    return runs.join(meta, "eval_id", "left")
+    """Runs with the suite of their evaluation. They are added up per provider and evaluation
+    first, so an evaluation run very often is joined as a few rows."""
+    added = runs.groupBy("provider", "eval_id").agg(
+        F.sum("passed").alias("passed"), F.sum("failed").alias("failed"))
+    return salted_join(added, meta, ["eval_id"], "left", row_id=["provider", "eval_id"])
 
 
 def pass_rate(runs: DataFrame, leave_out: list[str] | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from alertloom.functions import text as X
+from alertloom.functions.once import evaluated_once
 from alertloom.operators.incidents import incident_header
 from alertloom.schemas import JUDGE_REPLY
 
@@ -188,18 +189,21 @@ def judge_replies(df: DataFrame, reply_col: str = "reply", names: dict[str, str]
 
     def model(label: Column) -> Column:
         key = F.try_element_at(F.col("randomization"), label)
-        return F.coalesce(F.try_element_at(shown, key) if shown is not None else key, F.lit("unknown"))
+        return F.try_element_at(shown, key) if shown is not None else key
 
-    # Several unknown labels fall on one name; the last score stays.
     entries = F.transform(F.map_entries("_r.scores"), lambda e: F.struct(
         model(e["key"]).alias("k"), e["value"].alias("v")))
-    last = F.aggregate(entries, F.create_map().cast("map<string,double>"), lambda acc, e: F.map_concat(
-        F.map_filter(acc, lambda k, _: k != e["k"]), F.create_map(e["k"], e["v"])))
+    known = F.map_from_entries(F.filter(entries, lambda e: e["k"].isNotNull()))
+    # All unknown labels fall on one name; the last score stays.
+    last = F.try_element_at(F.filter(entries, lambda e: e["k"].isNull()), F.lit(-1))
+    scores = F.when(last.isNull(), known).otherwise(
+        F.map_concat(known, F.create_map(F.lit("unknown"), last["v"])))
     empty = F.create_map()
-    return df.withColumn("_r", parsed).withColumns({
-        "rankings": F.coalesce(F.transform_values("_r.rankings", lambda _, v: model(v)),
-                               empty.cast("map<string,string>")),
-        "scores": F.coalesce(last, empty.cast("map<string,double>")),
+    return evaluated_once(df, {"_r": parsed}).withColumns({
+        "rankings": F.coalesce(
+            F.transform_values("_r.rankings", lambda _, v: F.coalesce(model(v), F.lit("unknown"))),
+            empty.cast("map<string,string>")),
+        "scores": F.coalesce(scores, empty.cast("map<string,double>")),
         "justification": F.coalesce("_r.justification", F.lit("")),
     }).drop("_r")
 

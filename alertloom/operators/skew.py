@@ -12,20 +12,22 @@ SLICES = 64
 
 
 def hot_keys(df: DataFrame, keys: list[str], min_rows: int, most: int = MOST_HOT_KEYS) -> list:
-    """The most frequent keys, at most ``most``, that have more than ``min_rows`` rows (runs a job).
+    """The most frequent keys, at most ``most``, that have more than ``min_rows`` rows, as rows of
+    the keys and ``_rows`` (runs a job).
 
     A key left out has at most one ``most``-th of all rows.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     heaviest = counts.where(F.col("_rows") > min_rows).orderBy(F.desc("_rows")).limit(most)
-    return heaviest.select(*keys).collect()
+    return heaviest.collect()
 
 
 def marked_hot(df: DataFrame, keys: list[str], hot: list, names: DataFrame) -> DataFrame:
     """Adds ``_hot``, true for the rows of the given keys. Their number is bounded, so they travel
     to the rows."""
     schema = names.select(*keys).schema
-    found = names.sparkSession.createDataFrame(hot, schema).withColumn("_hot", F.lit(True))
+    listed = [tuple(row[k] for k in keys) for row in hot]
+    found = names.sparkSession.createDataFrame(listed, schema).withColumn("_hot", F.lit(True))
     return df.join(F.broadcast(found), keys, "left")
 
 
@@ -82,9 +84,8 @@ def ordered_text(lines: DataFrame, keys: list[str], order: list[str], line: str,
     hot = hot_keys(lines, keys, lines_per_part, most=100_000)
     if not hot:
         return joined(lines, F.lit(0))
+    parts = max(shuffle_width(lines.sparkSession), sum(r["_rows"] for r in hot) // lines_per_part + 1)
     marked = marked_hot(lines, keys, hot, lines)
     small = joined(marked.where(F.col("_hot").isNull()).drop("_hot"), F.lit(0))
-    large = marked.where(F.col("_hot")).drop("_hot").repartitionByRange(
-        shuffle_width(lines.sparkSession), *keys, *order
-    )
+    large = marked.where(F.col("_hot")).drop("_hot").repartitionByRange(parts, *keys, *order)
     return small.unionByName(joined(large, F.spark_partition_id()))

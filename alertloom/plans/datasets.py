@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from alertloom.operators import datasets as D
 from alertloom.plans import inputs as N
 from alertloom.plans.sampling import ORDERS_SQL
+from alertloom.session import stored
 from alertloom.sources.analyses import analysis_type
 
 
@@ -83,7 +84,7 @@ def sortedness(spark, sf):
 
 def verify_merge(spark, sf):
     inputs = D.stacked(N.merge_inputs(spark, sf))
-    return D.verify_merge(inputs, D.merge_first(inputs))
+    return D.verify_merge(inputs, stored(D.merge_first(inputs)))
 
 
 def analysis_types(spark, sf):

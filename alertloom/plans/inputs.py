@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alertloom.functions.once import evaluated_once
+
 MODELS = ("alpha", "beta", "delta", "gamma")
 SUITES = [f"Brand#{i}" for i in range(1, 26)]
 
@@ -24,11 +26,10 @@ def event_base(spark: SparkSession, sf: str) -> DataFrame:
     """events with the number in props and the incident each belongs to: user group and six days."""
     group = F.col("user_id") % 30
     window = F.floor((F.dayofmonth("ts") - 1) / 6)
-    return table(spark, sf, "events").select(
-        "event_id", "ts", "event_type", "value", "user_id", group.alias("b"), window.alias("w"),
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
-        F.concat_ws("-", group.cast("string"), window.cast("string")).alias("incident_id"),
-    )
+    return evaluated_once(table(spark, sf, "events"), {
+        "b": group, "w": window, "k": F.get_json_object("props", "$.k").cast("int"),
+        "incident_id": F.concat_ws("-", group.cast("string"), window.cast("string")),
+    }).drop("props")
 
 
 def iso(ts: Column) -> Column:

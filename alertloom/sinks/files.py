@@ -24,7 +24,8 @@ def sample_rows(sample: DataFrame, links: DataFrame, events: DataFrame) -> DataF
     as_value = F.regexp_replace(category, r"\[(.*)\]$", "$1")
     first = sample.select(*keys, F.lit(-1).cast("bigint").alias("pos"),
                           F.concat(head, comma, as_value, F.lit("}")).alias("line"))
-    chosen = links.join(sample.select(*keys), keys, "left_semi")
+    chosen = salted_join(links, sample.select(*keys).distinct(), keys, "left_semi",
+                         row_id=["incident_id", "pos"])
     found = salted_join(chosen, events.select("source_file", "event_id", F.col("raw_json").alias("line")),
                         ["source_file", "event_id"], row_id=["incident_id", "pos"])
     return first.unionByName(found.select(*keys, F.col("pos").cast("bigint").alias("pos"), "line"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.functions import alerts as A
+from alertloom.functions.once import evaluated_once
 from alertloom.functions.text import strip
 from alertloom.schemas import ALERT_LINE
 
@@ -45,13 +46,12 @@ def scan_lines(spark: SparkSession, paths: str | list[str], **options: str) -> D
 def parse_lines(lines: DataFrame) -> Alerts:
     """Route lines by their Status; what fits neither kind is kept with a reason."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    parsed = (
-        lines.where(F.col("line") != "")
-        .withColumn("a", F.from_json("line", ALERT_LINE, options))
-        .withColumn("status", F.coalesce("a.Status", F.lit("")))
-    )
+    parsed = evaluated_once(
+        lines.where(F.col("line") != ""), {"a": F.from_json("line", ALERT_LINE, options)}
+    ).withColumn("status", F.coalesce("a.Status", F.lit("")))
+    parsed = evaluated_once(parsed, {"n": F.from_json("a.Note", "map<string,string>")})
     broken = F.col("a._corrupt").isNotNull()
-    note = A.note_text(F.col("a.Note"))
+    note = A.note_map(F.col("a.Note"), F.col("n"))
     common = (
         F.coalesce("a.StartTime", F.lit("")).alias("start_time"),
         note.alias("note"),
