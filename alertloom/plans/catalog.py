@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from alertloom.plans import alerts, datasets, ranking, sampling, texts
+from alertloom.plans import alerts, datasets, files, ranking, sampling, texts
 
-_FAMILIES = (alerts, sampling, datasets, ranking, texts)
+_FAMILIES = (alerts, sampling, datasets, ranking, texts, files)
 
 QUERIES = {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
 ORACLES = {name: sql for family in _FAMILIES for name, sql in family.ORACLES.items()}
