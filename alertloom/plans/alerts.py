@@ -200,7 +200,8 @@ breakdown AS (
 ORACLES = {
     "incident_groups": f"WITH {EVENTS_SQL}, {GROUPS_SQL} SELECT * FROM groups",
     "incident_desc_top3": f"""WITH {EVENTS_SQL}, {GROUPS_SQL}
-        SELECT incident_id, severity, target_summary, example, description, copies FROM examples""",
+        SELECT incident_id, severity, target_summary, CAST(example AS INT) AS example, description, copies
+        FROM examples""",
     "severity_breakdown": f"WITH {EVENTS_SQL}, {GROUPS_SQL} SELECT * FROM breakdown",
     "incident_report": f"""WITH {EVENTS_SQL}, {GROUPS_SQL},
         texts AS (

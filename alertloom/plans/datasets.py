@@ -146,7 +146,7 @@ ORACLES = {
         SELECT incident_id, CASE WHEN status = 'F' THEN 'mapped ' || category
                                  WHEN file_order = 1 THEN 'Unknown' ELSE category END AS category,
                '10.0.0.' || file_order AS source_ip, 'Unknown' AS timewindow, 'now' AS timeline,
-               threat_level, event_count, producers, analyses
+               threat_level, event_count, CAST(producers AS INT) AS producers, analyses
         FROM heads JOIN wide USING (incident_id)""",
     "correlate_wide": f"""WITH {RECORDS_SQL}
         SELECT incident_id, dag AS dag_analysis, small AS llm_small_analysis, large AS llm_large_analysis,

@@ -114,7 +114,7 @@ ORACLES = {
                'unknown' AS path_timewindow FROM inc""",
     "sample_lines": f"""WITH {ORDERS_SQL},
         s AS (SELECT * FROM inc ORDER BY md5('9|' || incident_id) LIMIT 200)
-        SELECT source_file, incident_id, -1 AS pos, '{{"Status": "Incident", "ID": "' || incident_id
+        SELECT source_file, incident_id, CAST(-1 AS BIGINT) AS pos, '{{"Status": "Incident", "ID": "' || incident_id
                || '", "category": "' || category || '"}}' AS line FROM s
         UNION ALL
         SELECT source_file, incident_id, l_linenumber, '{{"ID": "' || l_orderkey || '-' || l_linenumber || '"}}'

@@ -170,7 +170,7 @@ ORACLES = {
         SELECT model, rival, wins, total, round(p, 6) AS win_percent,
                CASE WHEN p >= 60 THEN 'high' WHEN p >= 40 THEN 'medium' ELSE 'low' END AS band FROM duels""",
     "model_rank": f"""WITH {JUDGE_SQL}
-        SELECT row_number() OVER (ORDER BY avg_position, model) AS rank, model FROM stats""",
+        SELECT CAST(row_number() OVER (ORDER BY avg_position, model) AS INT) AS rank, model FROM stats""",
     "best_model": f"""WITH {JUDGE_SQL}
         SELECT 'overall' AS scope, model FROM (SELECT model FROM stats ORDER BY avg_position, model LIMIT 1)
         UNION ALL SELECT category, model FROM cells
@@ -179,9 +179,9 @@ ORACLES = {
         SELECT incident_id, any_value(category) AS category, any_value(event_count) AS event_count,
                {', '.join(f"max(CASE position WHEN {p} THEN model END) AS rank_{p}" for p in (1, 2, 3, 4))},
                {', '.join(f"max(CASE model WHEN '{m}' THEN score END) AS {m}_score" for m in N.MODELS)},
-               {', '.join(f"max(CASE model WHEN '{m}' THEN position END) AS {m}_position" for m in N.MODELS)}
+               {', '.join(f"CAST(max(CASE model WHEN '{m}' THEN position END) AS INT) AS {m}_position" for m in N.MODELS)}
         FROM pos GROUP BY incident_id""",
-    "judge_long": f"WITH {JUDGE_SQL} SELECT incident_id, model, position, score FROM pos",
+    "judge_long": f"WITH {JUDGE_SQL} SELECT incident_id, model, CAST(position AS INT) AS position, score FROM pos",
     "result_details": f"""WITH {JUDGE_SQL}
         SELECT incident_id, substr(incident_id, 1, 8) AS short_id, max(CASE position WHEN 1 THEN model END) AS winner,
                max(CASE position WHEN 1 THEN score END) AS winner_score,

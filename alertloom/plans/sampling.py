@@ -140,7 +140,7 @@ ORACLES = {
           UNION ALL SELECT incident_id, category, event_count, h FROM ranked WHERE r <= quota
           UNION ALL SELECT incident_id, category, event_count, h FROM fill
                     WHERE s <= n - (SELECT count(*) FROM ranked WHERE r <= quota))
-        SELECT incident_id, category, event_count, row_number() OVER (ORDER BY h) AS sample_order
+        SELECT incident_id, category, event_count, CAST(row_number() OVER (ORDER BY h) AS INT) AS sample_order
         FROM picked""",
     "sample_stats": f"""WITH {ORDERS_SQL},
         n AS (SELECT *, event_count AS num_events, coalesce(severity, 'Unknown') AS sev FROM inc)

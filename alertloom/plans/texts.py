@@ -407,7 +407,7 @@ ORACLES = {
                CASE WHEN severity = 'Medium' THEN 'LLM query failed - no answer'
                     ELSE length(severity || ' ' || description) || ' characters' END AS reply,
                CASE WHEN severity = 'Medium' THEN 'no answer' ELSE '' END AS error FROM alert""",
-    "token_count": r"""SELECT item_id, len(regexp_extract_all(text, '\S+')) AS tokens
+    "token_count": r"""SELECT item_id, CAST(len(regexp_extract_all(text, '\S+')) AS INT) AS tokens
         FROM benchmark""",
     "response_cleanup": r"""SELECT conv_id, turn,
         regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS reply FROM conversations""",
