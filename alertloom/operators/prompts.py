@@ -79,6 +79,38 @@ STRATEGIES = {
     "mixed": "Some should match more traffic than the original and some less.",
 }
 
+# The choices signature prompts are drawn from.
+DIMENSIONS = {
+    "threat": [
+        "malware command and control communication", "SQL injection attack",
+        "cross-site scripting (XSS) payload", "remote code execution attempt", "brute force login attack",
+        "DNS tunneling activity", "data exfiltration over HTTP", "port scanning behavior",
+        "cryptocurrency mining malware", "ransomware communication", "phishing email content",
+        "backdoor communication", "privilege escalation attempt", "buffer overflow exploit",
+        "web shell upload", "credential harvesting", "lateral movement activity",
+        "suspicious file download", "covert channel communication", "botnet activity",
+    ],
+    "protocol": ["HTTP", "HTTPS", "DNS", "SSH", "FTP", "SMTP", "TCP", "UDP", "TLS", "SMB", "ICMP"],
+    "complexity": [
+        "simple payload pattern matching", "multi-field condition matching (IP, port, and payload)",
+        "stateful TCP connection analysis", "HTTP header and body analysis",
+        "regex-based content detection", "binary payload signature matching",
+    ],
+    "context": [
+        "enterprise network environment", "web server infrastructure", "DNS server traffic",
+        "email server communications", "IoT device network", "cloud infrastructure",
+        "remote access connections", "internal network traffic",
+    ],
+    "requirement": [
+        "include proper signature metadata and event description",
+        "use appropriate port matching for the protocol",
+        "implement case-insensitive pattern matching",
+        "include both source and destination criteria",
+        "use efficient regex patterns to avoid performance issues",
+        "provide descriptive event messages for analysts",
+    ],
+}
+
 NOT_AVAILABLE = "N/A"
 
 
