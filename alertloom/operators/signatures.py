@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from alertloom.functions.once import evaluated_once
 from alertloom.functions.text import strip
 from alertloom.operators.feeds import blocks, bounded_rows, valid_regex
 
@@ -84,11 +85,8 @@ def text_fault(text: Column) -> Column:
     )
 
 
-def parsed_signature(text: Column) -> Column:
-    """struct<name, body, fields map, patterns array> of the first named block, else null."""
-    text = strip(text)
-    body = strip(F.regexp_extract(text, NAMED_BLOCK, 2))
-
+def _parts(name: Column, body: Column) -> Column:
+    """struct<name, body, fields map, patterns array>, null without a name."""
     def found(pattern: str, group: int) -> Column:
         return F.regexp_extract_all(body, F.lit(pattern), F.lit(group))
 
@@ -103,15 +101,19 @@ def parsed_signature(text: Column) -> Column:
             F.lit(kind).alias("type"), regex.alias("pattern"), flags.alias("flags")))
 
     patterns = F.flatten(F.array(*[typed(kind, p) for kind, p in PATTERN_FIELDS.items()]))
-    whole = F.struct(
-        F.regexp_extract(text, NAMED_BLOCK, 1).alias("name"), body.alias("body"),
-        fields.alias("fields"), patterns.alias("patterns"),
-    )
-    return F.when(text.rlike(NAMED_BLOCK), whole)
+    whole = F.struct(name.alias("name"), body.alias("body"), fields.alias("fields"),
+                     patterns.alias("patterns"))
+    return F.when(name != "", whole)
 
 
 def parse_signatures(df: DataFrame, col: str) -> DataFrame:
-    return df.withColumn("parsed", parsed_signature(F.col(col)))
+    """Adds ``parsed``: struct<name, body, fields map, patterns array> of the first named block,
+    else null. The block is found once and its body then searched for each field."""
+    block = evaluated_once(df, {
+        "_name": F.regexp_extract(F.col(col), NAMED_BLOCK, 1),
+        "_body": strip(F.regexp_extract(F.col(col), NAMED_BLOCK, 2)),
+    })
+    return block.withColumn("parsed", _parts(F.col("_name"), F.col("_body"))).drop("_name", "_body")
 
 
 def split_replies(df: DataFrame, col: str, strategy: str = "mixed") -> DataFrame:
@@ -123,13 +125,11 @@ def split_replies(df: DataFrame, col: str, strategy: str = "mixed") -> DataFrame
     parts = F.split(F.array_join(_lines(F.col(col)), "\n"), r"\n(?=signature )")
     valid = F.filter(parts, lambda block: text_fault(block).isNull())
     rest = [c for c in df.columns if c != col]
-    return (
-        df.select(*rest, F.posexplode(valid).alias("_at", "signature"))
-        .withColumn("parsed", parsed_signature(F.col("signature")))
-        .select(*rest, "signature", F.col("parsed.name").alias("name"), F.lit(strategy).alias("strategy"),
-                (F.col("_at") + 1).alias("index"), F.col("parsed.patterns").alias("modifiable_patterns"),
-                F.lit(True).alias("valid"))
-    )
+    found = df.select(*rest, F.posexplode(valid).alias("_at", "signature"))
+    return parse_signatures(found, "signature").select(
+        *rest, "signature", F.col("parsed.name").alias("name"), F.lit(strategy).alias("strategy"),
+        (F.col("_at") + 1).alias("index"), F.col("parsed.patterns").alias("modifiable_patterns"),
+        F.lit(True).alias("valid"))
 
 
 def training_example(df: DataFrame, signature_col: str = "cleaned") -> DataFrame:

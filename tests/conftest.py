@@ -10,7 +10,9 @@ from alertloom.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, shuffle_partitions=4)
+    session = local_session(8, shuffle_partitions=2)
+    # Small tables: compiling whole stages costs more than it saves.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
     session.sparkContext.setLogLevel("ERROR")
     return session
 

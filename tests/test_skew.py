@@ -31,6 +31,7 @@ def test_hot_rows_are_spread(sides):
     spark = left.sparkSession
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     try:
         salted = salted_join(left, right, ["key"], row_id=["row"], min_rows=100, one_in=4)
         tasks = salted.where("key = 'hot'").select(F.spark_partition_id().alias("p")).groupBy("p").count()
@@ -38,6 +39,7 @@ def test_hot_rows_are_spread(sides):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
     assert sum(sizes) == 1000 and len(sizes) == 4 and max(sizes) < 500
 
 
