@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from alertloom.functions import chat as C
@@ -15,6 +12,7 @@ from alertloom.plans import inputs as N
 from alertloom.plans import ranking, texts
 from alertloom.plans.ranking import RATES_SQL
 from alertloom.plans.sampling import ORDERS_SQL
+from alertloom.session import new_folder
 from alertloom.sinks import files as K
 from alertloom.sources import alerts as A
 from alertloom.sources import tables as B
@@ -79,8 +77,7 @@ def shared_chats(spark, sf):
 
 def uri_feed_stream(spark, sf):
     """The pages as a stream of requests, matched with the feed and read back from the sink."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    out = f"{base.rstrip('/')}/alertloom-stream-{uuid.uuid4().hex}"
+    out = new_folder(spark)
     pages = N.table(spark, sf, "pages")
     requests = spark.readStream.schema(pages.schema).option("pathGlobFilter", "pages.parquet") \
         .parquet(sf).select("page_id", "url")

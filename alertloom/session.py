@@ -30,19 +30,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     return builder.getOrCreate()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the cluster's checkpoint folder and read it back.
+def new_folder(spark: SparkSession) -> str:
+    """A fresh path in the folder named by ``spark.checkpoint.dir``, which all executors share.
 
-    For results that are read more than once and are much smaller than what they come from. The
-    folder is the one named by ``spark.checkpoint.dir``, which all executors share; only a session
-    that names none (a bare local test session) gets a temporary one.
+    Only a session that names none (a bare local test session) gets a temporary one.
     """
-    spark = df.sparkSession
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="alertloom-checkpoint-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/alertloom-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/alertloom-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the cluster's shared folder and read it back.
+
+    For results that are read more than once and are much smaller than what they come from.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

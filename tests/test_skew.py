@@ -59,3 +59,18 @@ def test_text_parts_make_up_the_whole(spark):
     assert "\n".join(r["text"] for r in big).split("\n") == [f"line {i}" for i in range(400)]
     small = [r for r in rows if r["k"] == "small"]
     assert len(small) == 1 and small[0]["lines"] == 100
+
+
+def test_examples_are_cut_before_the_shuffle(spark):
+    from alertloom.operators.incidents import group_examples
+    counts = spark.range(100).selectExpr(
+        "cast(id % 2 AS string) AS incident_id", "cast(id % 3 AS string) AS severity",
+        "cast(id % 5 AS string) AS target_summary", "id AS copies", "id AS first_pos")
+    plan = group_examples(counts)._jdf.queryExecution().toString()
+    assert plan.count("WindowGroupLimit") >= 2 and "Partial" in plan
+
+
+def test_texts_use_the_named_folder(spark):
+    from alertloom.session import new_folder
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    assert named is None or new_folder(spark).startswith(named.rstrip("/"))
