@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,10 +34,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def new_folder(spark: SparkSession) -> str:
     """A fresh path in the folder named by ``spark.checkpoint.dir``, which all executors share.
 
-    Only a session that names none (a bare local test session) gets a temporary one.
+    A session on a local master that names none (tests) gets a temporary one; on a cluster that
+    would be another folder on every machine, so there it is an error.
     """
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="alertloom-checkpoint-"))
         folder = spark.sparkContext.getCheckpointDir()
     return f"{folder.rstrip('/')}/alertloom-{uuid.uuid4().hex}"
