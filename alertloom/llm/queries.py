@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from alertloom.llm import exact
+from alertloom.llm import exact, language, mixing, packing, simhash, sketch
+from alertloom.session import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +19,58 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights, probabilities and the draw for every document."""
+    return mixing.mixed_documents(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "source", "lang", mixing.layout_topic(F.coalesce("text", F.lit(""))).alias("topic"),
+        mixing.n_tokens(F.coalesce("text", F.lit(""))).alias("n_tokens"), "mix_weight", "mix_probability", "sampled")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document: its text, and what the page that shows it declares.
+
+    The number in a page's address is the document it shows; of several pages the one with the
+    smallest id counts. Documents without a page have their ``lang`` declared and their source for a host.
+    """
+    docs, languages = _table(spark, sf_dir, "documents"), ("en", "de", "fr", "es")
+    table = language.train(docs, languages)
+    texts = language.scored(docs, table).drop("text", "n_chars")
+    pages = _table(spark, sf_dir, "pages").select(
+        F.expr(r"try_cast(regexp_extract(url, '^[a-z]+://[^/]+/[a-z]+/([0-9]+)', 1) AS long)").alias("doc_id"), "page_id", "url",
+        F.regexp_extract(F.regexp_extract("html", r"(?i)<html[^>]*>", 0), r"(?i)\blang\s*=\s*[\"']?([a-z-]+)", 1).alias("declared"))
+    pages = pages.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(F.struct("url", "declared"), "page_id").alias("page"))
+    rows = stored(texts.join(pages, "doc_id", "left"))
+    host = F.coalesce(F.regexp_extract("page.url", r"^[a-z]+://([^/:?#]+)", 1), F.col("source"))
+    found = language.fuse(rows, languages, F.coalesce(F.nullif(F.col("page.declared"), F.lit("")), F.col("lang")), F.col("page.url"), host)
+    return found.select("doc_id", "language", "posterior", "text_language", "accepted", F.col("page.url").alias("url"))
+
+
+def tokenizer_json(name: str = "word_bpe_49k.json") -> str:
+    """A public tokenizer's file, read by the driver and sent to the executors."""
+    import public_tokenizers
+
+    return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(_table(spark, sf_dir, "documents"), tokenizer_json())
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.edit_trial(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_mixing": op4_mixing,
+    "op5_simhash": op5_simhash,
+    "op6_language_id": op6_language_id,
+    "op9_packing": op9_packing,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLES = {
