@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm import exact, language, mixing, packing, simhash, sketch
+from alertloom.llm import exact, language, mixing, packing, simhash, sketch, substring
 from alertloom.session import stored
 
 
@@ -19,6 +19,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.without_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights, probabilities and the draw for every document."""
     return mixing.mixed_documents(_table(spark, sf_dir, "documents")).select(
@@ -66,6 +70,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
     "op6_language_id": op6_language_id,
