@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm import exact, language, mixing, packing, simhash, sketch, substring
+from alertloom.llm import exact, language, mixing, packing, simhash, sketch, substring, warc
 from alertloom.session import stored
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(_table(spark, sf_dir, "pages"), "2026-01-01T00:00:00Z"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -68,7 +72,54 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edit_trial(_table(spark, sf_dir, "documents"))
 
 
+def _warc_sql() -> str:
+    """The twin of op1_warc; lists of names are the operator's fixed values."""
+    def char_references(text: str) -> str:
+        for name, char in warc.ENTITIES.items():
+            text = f"replace({text}, '&{name};', '{char.replace(chr(39), chr(39) * 2)}')"
+        for pattern, digits in (("&#[0-9]{1,7};", "regexp_extract(x, '([0-9]+);', 1)"),
+                                ("&#[xX][0-9a-fA-F]{1,6};", "'0x' || regexp_extract(x, '([0-9a-fA-F]+);', 1)")):
+            n = f"CAST({digits} AS INTEGER)"
+            text = (f"list_reduce(list_distinct(regexp_extract_all({text}, '{pattern}')), lambda a, x: CASE WHEN {n} = 38 THEN a ELSE "
+                    f"replace(a, x, chr(CASE WHEN {n} BETWEEN 1 AND 1114111 AND {n} NOT BETWEEN 55296 AND 57343 THEN {n} ELSE 65533 END)) END, {text})")
+        return f"regexp_replace({text}, '&(amp|#0*38|#[xX]0*26);', '&', 'g')"
+
+    bare = r"regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
+    for name in warc.UNREAD:
+        bare = rf"regexp_replace({bare}, '(?is)<{name}\b[^>]*>.*?</{name}\s*>', ' ', 'g')"
+    return rf"""
+        WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+        t AS (SELECT *, {bare} AS bare, regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1) AS title,
+                     regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["'']', 1) AS links FROM p),
+        s AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(bare, '[\x09-\x0D ]+', ' ', 'g'),
+                     '(?i)</?({warc.BREAKS})\b[^>]*>', chr(10), 'g'), '<[a-zA-Z/!?][^>]*>', '', 'g') AS flat FROM t),
+        u AS (SELECT *, {char_references("flat")} AS read, {char_references("title")} AS heading,
+                     list_transform(links, lambda l: 'outlink: ' || {char_references("l")} || chr(13) || chr(10)) AS outlinks FROM s),
+        v AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(read, '[ \x09\x0B-\x0D]+', ' ', 'g'),
+                     ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS text,
+                     md5('response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || url || '|' || md5(html)) AS h FROM u),
+        r AS (SELECT *, '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' AS id FROM v),
+        m AS (SELECT *, md5('metadata|' || id) AS hm, md5('conversion|' || id) AS hc FROM r),
+        k AS (SELECT *, '<urn:uuid:' || hm[1:8] || '-' || hm[9:12] || '-' || hm[13:16] || '-' || hm[17:20] || '-' || hm[21:32] || '>' AS im,
+                     '<urn:uuid:' || hc[1:8] || '-' || hc[9:12] || '-' || hc[13:16] || '-' || hc[17:20] || '-' || hc[21:32] || '>' AS ic,
+                     chr(13) || chr(10) AS nl FROM m),
+        d AS (SELECT *, 'metadata' AS record_type, im AS record_id, ic AS concurrent_to, 'application/warc-fields' AS content_type,
+                     'title: ' || trim(regexp_replace(heading, '[\x09-\x0D ]+', ' ', 'g')) || nl || 'language: ' ||
+                     regexp_extract(regexp_extract(html, '(?is)<html\b[^>]*>'), '(?i)\blang\s*=\s*["'']?([a-zA-Z-]+)', 1) || nl ||
+                     'links: ' || len(links) || nl || 'characters: ' || length(text) || nl || array_to_string(outlinks, '') AS block FROM k
+              UNION ALL BY NAME
+              SELECT *, 'conversion' AS record_type, ic AS record_id, im AS concurrent_to, 'text/plain; charset=UTF-8' AS content_type,
+                     text AS block FROM k)
+        SELECT page_id, record_type, record_id, id AS refers_to, concurrent_to, url AS target_uri,
+               '2026-01-01T00:00:00Z' AS warc_date, content_type, strlen(block) AS content_length,
+               'sha256:' || sha256(block) AS block_digest, 'sha256:' || sha256(html) AS source_digest,
+               'HTTP/1.1 200 OK' || nl || 'Content-Type: text/html; charset=utf-8' || nl || 'Content-Length: ' ||
+               strlen(html) || nl AS source_headers, block
+        FROM d"""
+
+
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_mixing": op4_mixing,
@@ -79,6 +130,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_warc": _warc_sql(),
     "op2_exact_dedup": r"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
                           regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents)
