@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm import exact, language, mixing, packing, simhash, sketch, substring, warc
+from alertloom.llm import exact, language, lm, mixing, packing, quality, simhash, sketch, substring, warc
 from alertloom.session import stored
 
 
@@ -57,6 +57,15 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "language", "posterior", "text_language", "accepted", F.col("page.url").alias("url"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.quality_scores(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_json(name: str = "word_bpe_49k.json") -> str:
     """A public tokenizer's file, read by the driver and sent to the executors."""
     import public_tokenizers
@@ -125,6 +134,8 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
     "op6_language_id": op6_language_id,
+    "op7_quality": op7_quality,
+    "op8_lm_scores": op8_lm_scores,
     "op9_packing": op9_packing,
     "op10_fingerprints": op10_fingerprints,
 }
