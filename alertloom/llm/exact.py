@@ -56,14 +56,13 @@ def exact_duplicates(docs: DataFrame, hash128=lambda text: F.unhex(F.md5(text.ca
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one row of each group.
 
-    Decided as in ``exact_duplicates``. Rows that repeat id and content of the row that stays are
-    one document; of these the one with the smallest hash of all its columns is given.
+    Decided as in ``exact_duplicates``. Rows that repeat id and length of the row that stays are one
+    document; of these the one with the smallest hash of its columns (but maps) is given.
     """
-    names = docs.columns
     text = text_of()
     bare = without_blanks(text)
+    plain = [F.col(f"`{name}`") for name, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     order = F.struct((-F.char_length(text)).alias("n"), F.col("doc_id").isNull().alias("none"),
-                     F.col("doc_id").alias("id"), F.xxhash64(*names).alias("h"))
-    best = docs.groupBy(F.md5(bare.cast("binary")).alias("_hash"), bare.alias("_bare")).agg(
-        F.min_by(F.struct(*names), order).alias("_row"))
-    return best.select("_row.*")
+                     F.col("doc_id").cast("long").alias("id"), F.xxhash64(*plain).alias("h"))
+    best = docs.select(F.md5(bare.cast("binary")).alias("hash"), bare.alias("bare"), order.alias("rank"), F.struct("*").alias("row"))
+    return best.groupBy("hash", "bare").agg(F.min_by("row", "rank").alias("row")).select("row.*")

@@ -172,6 +172,6 @@ def accepted_documents(docs: DataFrame, languages: tuple[str, ...] = ("en", "de"
     Documents declare their language in ``lang`` and have their ``source`` for a host.
     """
     table = train(docs, languages)
-    found = fuse(scored(docs, table), languages, F.col("lang").cast("string"), F.lit(None).cast("string"),
-                 F.col("source").cast("string"))
-    return found.where("accepted").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "text", F.col("lang").cast("string"), F.col("source").cast("string"))
+    found = fuse(scored(rows, table), languages, F.col("lang"), F.lit(None).cast("string"), F.col("source"))
+    return found.where("accepted").select("row.*")

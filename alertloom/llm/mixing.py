@@ -73,7 +73,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]], dimensions: dict[
     The draw compares a hash of ``seed``, id and text with the probability: a rerun draws the same rows, and
     rows that repeat id and text go together. No row is shuffled. Null values and values not
     named go to ``(other)``; null text has no tokens, and a cell without tokens has weight 1.
-    An empty table gives no rows.
+    An empty table gives no rows. Columns of ``docs`` with the names of the three are replaced.
     """
     names = {d: [*[n for n in targets[d] if n != OTHER], OTHER] for d in dimensions}
     text = text_of()
@@ -96,10 +96,12 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]], dimensions: dict[
         (F.array_position(F.array(*[F.lit(n) for n in names[d]]), cells[f"_c{k}"]) - 1).cast("string")
         for k, d in enumerate(dimensions)])
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), text), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    return docs.withColumn("_cell", place).withColumns({
-        "mix_weight": F.try_element_at(F.create_map(*entries), F.col("_cell")),
-        "mix_probability": F.try_element_at(F.create_map(*chances), F.col("_cell")),
-    }).withColumn("sampled", draw < F.col("mix_probability")).drop("_cell")
+    added = {"mix_weight": F.try_element_at(F.create_map(*entries), F.col("cell")),
+             "mix_probability": F.try_element_at(F.create_map(*chances), F.col("cell")),
+             "sampled": F.col("draw") < F.try_element_at(F.create_map(*chances), F.col("cell"))}
+    kept = [F.col("row").getField(name).alias(name) for name in docs.columns if name.lower() not in added]
+    return docs.select(F.struct("*").alias("row"), place.alias("cell"), draw.alias("draw")).select(
+        *kept, *[c.alias(name) for name, c in added.items()])
 
 
 def scale_of(weight: np.ndarray, own: np.ndarray, share: float | None) -> float:

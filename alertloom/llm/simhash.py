@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import as_signed, components, text_of
+from alertloom.llm.common import as_signed, components, row_key, text_of
 from alertloom.session import stored
 
 #: Keys with more fingerprints than this are split once more.
@@ -44,18 +44,18 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42, block: int = 100_00
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long, a row for each row of ``docs``.
+    """``doc_id``, ``key`` (of id and text) and ``fp``, the fingerprint as a signed long, for each row.
 
     Null text counts as empty. Other columns are not read.
     """
 
     def hashed(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t.as_buffer().to_pybytes(), width, seed) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(as_signed(fps))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_buffer().to_pybytes(), width, seed) for t in batch.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(as_signed(fps))], ["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(
-        hashed, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), text_of().alias("text")).mapInArrow(
+        hashed, "doc_id long, key long, fp long")
 
 
 def _spans(bits: list[int], parts: int) -> list[int]:
@@ -167,6 +167,11 @@ def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3, seed: in
     Texts without words have fingerprint 0 and are linked like any other. Null ids do not name a
     component unless it has no other; an empty table gives no rows.
     """
+    return _grouped(docs, distance, width, seed).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _grouped(docs: DataFrame, distance: int, width: int, seed: int) -> DataFrame:
     rows = stored(fingerprints(docs, width, seed))
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = components(fingerprint_links(distinct, distance))
@@ -174,16 +179,16 @@ def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3, seed: in
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     names = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     named = roots.join(names, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(named, "fp").select("doc_id", "key", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, distance: int = 3) -> DataFrame:
-    """The documents that stay: of each component the one with its smallest ``doc_id``.
+def representatives(docs: DataFrame, distance: int = 3, width: int = 3, seed: int = 42) -> DataFrame:
+    """The documents that stay, with all their columns: of each component the one with its smallest ``doc_id``.
 
-    Of rows that repeat the ``doc_id`` of one kept, all stay that are in that component (they are
-    the same document); in a component of null ids only, all stay.
+    Rows that repeat the id and the text of one that stays are the same document and stay too. A
+    component of null ids only keeps all its rows, since nothing tells which comes first.
     """
-    kept = near_duplicates(docs, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    kept = _grouped(docs, distance, width, seed).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), row_key().alias("own_key"))
+    return rows.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_key") == F.col("kept_key")), "left_semi").select("row.*")
