@@ -74,7 +74,7 @@ class Network:
 
         for text in texts:
             chunks = chunks_of(text)
-            sums.append([np.zeros(FILTERS), np.zeros(FILTERS, np.float32), 0])
+            sums.append([np.zeros(FILTERS), np.zeros(FILTERS), 0])
             for k in range(0, len(chunks), 4 * BATCH):
                 part = chunks[k:k + 4 * BATCH]
                 waiting.append(part)
@@ -120,14 +120,15 @@ class Network:
         embedding[0] = 0
         return [embedding, filters, down.sum(axis=0), features.T @ error, np.array([error.sum()])]
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, passes: int = 6, docs: int = 32, rate: float = 0.01, seed: int = 7) -> Network:
-        """Adam over batches of whole documents. The two labels get equal weight in the sum, so that
+    def fit(self, texts: list[bytes], labels: np.ndarray, passes: int = 6, least_steps: int = 400, docs: int = 32, rate: float = 0.01, seed: int = 7) -> Network:
+        """Adam over batches of whole documents, ``passes`` times and at least ``least_steps`` batches. The two labels get equal weight in the sum, so that
         the rarer one is learned; the offset is then set back to the labels' shares."""
         chunks = [chunks_of(t) for t in texts]
         share = float(np.clip(labels.mean(), 0.01, 0.99)) if len(labels) else 0.5
         weights = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
         draw = np.random.default_rng(seed)
         first, second = ([np.zeros_like(p) for p in self.parameters()] for _ in range(2))
+        passes = max(passes, -(-least_steps * docs // len(texts)))
         step, steps = 0, passes * -(-len(texts) // docs)
         for _ in range(passes):
             order = draw.permutation(len(texts))
