@@ -28,7 +28,7 @@ class WordEncoder:
 
     TAIL = b".,!*&%$#|;:?)"
 
-    def __init__(self, spec: str, most_words: int = 500_000) -> None:
+    def __init__(self, spec: str, most_words: int = 1_500_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
@@ -39,70 +39,93 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.words: dict[bytes, int] = {}
-        self.parts: dict[bytes, tuple[int, ...]] = {}
+        #: Row of each known word; rows say where the ids of a word are.
+        self.rows: dict[bytes, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.lengths, self.known = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
+    def _append(self, ids: np.ndarray, lengths: np.ndarray) -> range:
+        """New rows for words of the given ids, one after the other."""
+        n, total = len(lengths), len(ids)
+        while self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.known + n > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+        self.ids[self.used:self.used + total] = ids
+        self.starts[self.known:self.known + n] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[self.known:self.known + n] = lengths
+        rows = range(self.known, self.known + n)
+        self.used, self.known = self.used + total, self.known + n
+        return rows
+
     def _encode(self, words: list[bytes]) -> None:
-        """Remember the ids of word parts not seen before."""
         texts = [w.decode("utf-8", "replace") for w in words]
         plain = [i for i, t in enumerate(texts) if t.isalpha()]
-        found: list = [None] * len(words)
+        done = set()
         for at in range(0, len(plain), 2000):
             block = plain[at:at + 2000]
             ids = np.array(self.tokenizer.encode_batch_fast(
-                [" ".join(texts[i] for i in block)], add_special_tokens=False)[0].ids, np.int64)
+                [" ".join([texts[i] for i in block])], add_special_tokens=False)[0].ids, np.int64)
             cuts = np.flatnonzero(self.last[ids]) + 1
             if len(cuts) == len(block) and cuts[-1] == len(ids):  # else some word is more than one part
-                ids, begin = ids.tolist(), 0
-                for i, end in zip(block, cuts.tolist()):
-                    found[i] = tuple(ids[begin:end])
-                    begin = end
-        alone = [i for i, f in enumerate(found) if f is None]
+                self.rows.update(zip([words[i] for i in block], self._append(ids, np.diff(cuts, prepend=0))))
+                done.update(block)
+        alone = [i for i in range(len(words)) if i not in done]
         for at in range(0, len(alone), 2000):
             block = alone[at:at + 2000]
-            for i, e in zip(block, self.tokenizer.encode_batch_fast([texts[i] for i in block], add_special_tokens=False)):
-                found[i] = tuple(e.ids)
-        self.parts.update(zip(words, found))
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in block], add_special_tokens=False)]
+            self.rows.update(zip([words[i] for i in block], self._append(
+                np.array([i for x in found for i in x], np.int64), np.array([len(x) for x in found], np.int64))))
 
     def _learn(self, words: list[bytes]) -> None:
-        split = []
+        heads, tails = [], []
         for word in words:
             low = word.lower()
             head = low.rstrip(self.TAIL)
-            if head and head != low and (48 <= head[-1] <= 57 or 97 <= head[-1] <= 122):
-                split.append((head, low[len(head):]))
+            if head and len(head) < len(low) and (48 <= head[-1] <= 57 or 97 <= head[-1] <= 122):
+                heads.append(head)
+                tails.append(low[len(head):])
             else:
-                split.append((low, b""))
-        self._encode(list({p for pair in split for p in pair if p and p not in self.parts}))
-        get = self.parts.get
-        ids = [get(head) + get(tail, ()) for head, tail in split]
-        lengths = np.array([len(x) for x in ids], np.int64)
-        n, total = len(words), int(lengths.sum())
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.known + n > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        self.ids[self.used:self.used + total] = [i for x in ids for i in x]
-        self.starts[self.known:self.known + n] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[self.known:self.known + n] = lengths
-        self.words.update(zip(words, range(self.known, self.known + n)))
-        self.used, self.known = self.used + total, self.known + n
+                heads.append(low)
+                tails.append(b"")
+        rows = self.rows
+        self._encode([p for p in dict.fromkeys([*heads, *tails]) if p and p not in rows])
+        both = [i for i, tail in enumerate(tails) if tail]
+        rows.update([(w, rows[h]) for w, h, t in zip(words, heads, tails) if not t])
+        first = np.array([rows[heads[i]] for i in both], np.int64)
+        second = np.array([rows[tails[i]] for i in both], np.int64)
+        ids = self.gather(np.stack([first, second], axis=1).ravel())
+        rows.update(zip([words[i] for i in both], self._append(ids, self.lengths[first] + self.lengths[second])))
+
+    def gather(self, rows: np.ndarray) -> np.ndarray:
+        """The ids of words by row, one word after the other."""
+        lengths = self.lengths[rows]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(self.starts[rows] - (ends - lengths), lengths) + np.arange(total)]
 
     def __call__(self, text: bytes) -> np.ndarray:
         words = text.split()
-        if self.known > self.most_words:
+        if len(self.rows) > self.most_words:
             self.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.words]
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        lengths = self.lengths[at]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(total)]
+        rows = list(map(self.rows.get, words))
+        if None in rows:
+            self._learn(list({w for w, r in zip(words, rows) if r is None}))
+            rows = list(map(self.rows.__getitem__, words))
+        return self.gather(np.array(rows, np.int64))
+
+
+_ENCODERS: dict[int, WordEncoder] = {}
+
+
+def encoder_of(spec: str) -> WordEncoder:
+    """The encoder of a tokenizer in this worker process, with the words that earlier tasks met."""
+    key = hash(spec)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = WordEncoder(spec)
+    return _ENCODERS[key]
 
 
 def blocks_of(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
@@ -128,7 +151,7 @@ def token_pieces(docs: DataFrame, spec: str, capacity: int = 4096, end_id: int =
     sent = docs.sparkSession.sparkContext.broadcast(spec)
 
     def pieces(batches):
-        encode = WordEncoder(sent.value)
+        encode = encoder_of(sent.value)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             out: dict[str, list] = {k: [] for k in ("row", "piece", "start", "length", "crc")}
