@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from alertloom.functions.jsontext import is_json, json_objects
 from alertloom.functions.once import evaluated_once
 from alertloom.operators.feeds import blocks
 
@@ -18,6 +19,7 @@ JSON_TYPES = {
     "object": "^OBJECT", "array": "^ARRAY", "string": "^STRING", "boolean": "^BOOLEAN",
     "integer": "^BIGINT", "number": "^(BIGINT|DOUBLE|DECIMAL|FLOAT)", "null": "^VOID",
 }
+KEYWORDS = {"type", "required", "properties", "enum", "pattern", "title", "description", "$schema"}
 RUBRIC = "llm-rubric"
 
 
@@ -26,7 +28,10 @@ def _all(conditions: list[Column]) -> Column:
 
 
 def fits_schema(value: Column, schema: dict, path: str = "$") -> Column:
-    """Whether a variant fits a JSON schema of type, required, properties, enum and pattern."""
+    """Whether a variant fits a JSON schema of type, required, properties, enum and pattern. Other
+    keywords that restrict values are an error, so that none is passed over."""
+    if unknown := set(schema) - KEYWORDS:
+        raise ValueError(f"unsupported schema keywords {sorted(unknown)}")
     kind = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
     text = F.try_variant_get(value, path, "string")
     needs = [kind.isNotNull()]
@@ -50,9 +55,9 @@ def fits_schema(value: Column, schema: dict, path: str = "$") -> Column:
 
 
 def documents(output: Column) -> dict[str, Column]:
-    """The output as JSON, and the outermost braces in it as JSON; null if it is none."""
-    inner = F.regexp_extract(output, r"(?s)\{.*\}", 0)
-    return {"is-json": F.try_parse_json(output), "contains-json": F.try_parse_json(inner)}
+    """The JSON documents of an output: itself if it is one, and the objects found in it."""
+    whole = F.when(is_json(output), F.array(output)).otherwise(F.array().cast("array<string>"))
+    return {"is-json": whole, "contains-json": json_objects(output)}
 
 
 def holds(assertion: dict, output: Column, parsed: dict[str, Column]) -> Column:
@@ -65,7 +70,9 @@ def holds(assertion: dict, output: Column, parsed: dict[str, Column]) -> Column:
     if kind == "regex":
         return output.rlike(value)
     if kind in ("is-json", "contains-json"):
-        return parsed[kind].isNotNull() & fits_schema(parsed[kind], value or {})
+        if not value:
+            return F.size(parsed[kind]) > 0
+        return F.exists(parsed[kind], lambda text: fits_schema(F.try_parse_json(text), value))
     raise ValueError(f"unknown assertion type {kind!r}")
 
 

@@ -1,7 +1,7 @@
 """Chat datasets: statistics and transcripts.
 
 Two shapes: ``conversation`` arrays of (role, content), one row per chat, and long turns (conv_id,
-turn, role, text). Long turns are never gathered per chat except as text, in parts if need be.
+turn, role, text). Long turns are gathered per chat only as its text.
 """
 
 from __future__ import annotations
@@ -57,13 +57,8 @@ def turn_line(role: Column, content: Column) -> Column:
     return F.concat(speaker, F.coalesce(content, F.lit("")))
 
 
-def transcripts(turns: DataFrame, lines_per_part: int = 10_000) -> DataFrame:
-    """The prompt text of each chat, closed by the line that asks for the next reply. A very long
-    chat comes in several parts, the closing line in the last."""
-    lines = turns.select("conv_id", F.lit(0).alias("section"), "turn",
-                         turn_line(F.col("role"), F.col("text")).alias("line"))
-    closing = turns.select("conv_id").distinct().select(
-        "conv_id", F.lit(1).alias("section"), F.lit(0).cast("bigint").alias("turn"),
-        F.lit("Assistant:").alias("line"))
-    return ordered_text(lines.unionByName(closing), ["conv_id"], ["section", "turn"], "line",
-                        lines_per_part=lines_per_part)
+def transcripts(turns: DataFrame) -> DataFrame:
+    """The prompt text of each chat, closed by the line that asks for the next reply."""
+    lines = turns.select("conv_id", "turn", turn_line(F.col("role"), F.col("text")).alias("line"))
+    return ordered_text(lines, ["conv_id"], ["turn"], "line").select(
+        "conv_id", F.concat("text", F.lit("\nAssistant:")).alias("text"), (F.col("lines") + 1).alias("lines"))

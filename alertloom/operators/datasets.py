@@ -11,7 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from alertloom.functions.jsontext import is_json
 from alertloom.schemas import REQUIRED_FIELDS
+from alertloom.session import shuffle_width, stored
 
 METADATA_DEFAULTS = {
     "category": "Unknown", "source_ip": "Unknown", "timewindow": "Unknown", "timeline": "Unknown",
@@ -113,6 +115,24 @@ def merge_first(records: DataFrame, key: str = "incident_id") -> DataFrame:
     )
 
 
+def sorted_merge(records: DataFrame, key: str = "incident_id") -> DataFrame:
+    """``merge_first`` in order of the id, with ``pos``, the place in the output.
+
+    The merge is range partitioned by id and written with the number of each row's partition; a
+    row's place is its number in the partition after the rows of the partitions before, of which
+    there are as many counts as partitions.
+    """
+    merged = merge_first(records, key)
+    written = stored(
+        merged.repartitionByRange(shuffle_width(records.sparkSession), key).withColumn("_range", F.spark_partition_id()))
+    counts = written.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy(key)
+    return written.join(F.broadcast(before), "_range").withColumn(
+        "pos", F.col("_before") + F.row_number().over(inside) - 1).select(merged.columns)
+
+
 def id_balance(inputs: DataFrame, output: DataFrame) -> DataFrame:
     """What comparing the ids of both sides tells, from one shuffle of the ids (one row)."""
     def ids(df: DataFrame, incoming: int) -> DataFrame:
@@ -202,7 +222,7 @@ def integrity(output: DataFrame, required: tuple[str, ...] = REQUIRED_FIELDS) ->
         def absent(field: str) -> Column:
             return ~F.array_contains("present", field)
 
-        record = F.try_parse_json("raw")
+        record = F.when(is_json(F.col("raw")), F.try_parse_json("raw"))
         kinds = {f: F.schema_of_variant(F.try_variant_get(record, f"$.{f}", "variant"))
                  for f in ("threat_level", "event_count")}
         number = kinds["threat_level"].rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|BOOLEAN)")

@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertloom.operators.skew import salted_join
 
 # From how many tokens per second a model counts as fast, and how many of the
 # suites, in name order, the mean takes in when asked to leave the last one out.
@@ -20,7 +19,7 @@ def with_description(runs: DataFrame, meta: DataFrame) -> DataFrame:
     first, so an evaluation run very often is joined as a few rows."""
     added = runs.groupBy("provider", "eval_id").agg(
         F.sum("passed").alias("passed"), F.sum("failed").alias("failed"))
-    return salted_join(added, meta, ["eval_id"], "left", row_id=["provider", "eval_id"])
+    return added.join(meta, ["eval_id"], "left")
 
 
 def pass_rate(runs: DataFrame, leave_out: list[str] | None = None) -> DataFrame:

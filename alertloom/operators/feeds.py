@@ -5,27 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-# Patterns become expressions of the plan: so many at once, and no more than so many in all.
-BLOCK = 128
-LARGEST_FEED = 10_000
-
-
-def bounded_rows(df: DataFrame, most: int = LARGEST_FEED) -> list[Row]:
-    """The rows of a small table that becomes part of the plan (this runs a job)."""
-    rows = df.take(most + 1)
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rows; split the table")
-    return rows
+# Patterns become expressions of the plan: so many in one scan of the table.
+RULES_PER_SCAN = 2000
 
 
 def valid_regex(spark: SparkSession, pattern: str) -> bool:
+    """Whether the JVM, which will match it, can compile the pattern. Runs no job."""
     try:
-        spark.sql("SELECT '' RLIKE :p", args={"p": pattern}).collect()
-    except PySparkException:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, PySparkException):
         return False
     return True
 
@@ -37,21 +30,23 @@ def feed_table(feed: DataFrame) -> DataFrame:
 
 
 def checked_patterns(feed: DataFrame) -> tuple[list[Row], list[Row]]:
-    """Usable patterns, and those that are no valid regular expression."""
-    rows = bounded_rows(feed_table(feed).orderBy("regex"))
-    valid = [valid_regex(feed.sparkSession, r["regex"]) for r in rows]
+    """Usable patterns, and those that are no valid regular expression. The feed, a list that people
+    keep, comes to the driver."""
+    rows = feed_table(feed).orderBy("regex").collect()
+    valid = [r["regex"] is not None and valid_regex(feed.sparkSession, r["regex"]) for r in rows]
     return [r for r, ok in zip(rows, valid) if ok], [r for r, ok in zip(rows, valid) if not ok]
 
 
 def blocks(df: DataFrame, rules: list, hit: Callable[[object], Column], hit_type: str) -> DataFrame:
     """Every row once per rule it fulfils. ``hit`` gives a struct, or null if the rule does not
-    apply. The table is read once per block of rules; rows are never paired up before the test."""
+    apply. Rows are never paired up with rules before the test; the table is read once for every
+    ``RULES_PER_SCAN`` rules."""
     def matched(block: list) -> DataFrame:
         hits = F.array_compact(F.array(*[hit(r) for r in block])) if block else \
             F.array().cast(f"array<{hit_type}>")
         return df.select("*", F.inline(hits))
 
-    parts = [rules[i:i + BLOCK] for i in range(0, len(rules), BLOCK)] or [[]]
+    parts = [rules[i:i + RULES_PER_SCAN] for i in range(0, len(rules), RULES_PER_SCAN)] or [[]]
     return reduce(DataFrame.unionByName, [matched(p) for p in parts])
 
 

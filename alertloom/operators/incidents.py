@@ -5,26 +5,39 @@ Table shapes used below:
 * ``incidents``: incident_id, source_ips, timewindow, threat_level, start_time, end_time
 * ``links``: incident_id, pos, event_id - one row per entry of an incident's event list
 * ``linked``: links with the event's severity, start_time, description, target_ips, target_ports
+
+Files may list an incident id more than once. Readers give each record a key of its own, ``record``;
+where the tables have it, records with one id stay apart in everything below.
+
+Joins are left to Spark, which splits the rows of a hot key in sort-merge joins by itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertloom.functions import alerts as A
 from alertloom.functions import text as X
 from alertloom.functions import times as T
-from alertloom.operators.skew import ordered_text, salted_join
+from alertloom.operators.skew import ordered_text
 from alertloom.session import stored
 from alertloom.sources.alerts import last_events
 
-GROUP = ["incident_id", "severity", "target_summary"]
+def record_keys(df: DataFrame) -> list[str]:
+    """What tells the incidents of a table apart."""
+    return [c for c in ("record", "incident_id") if c in df.columns]
+
+
+def group_keys(df: DataFrame) -> list[str]:
+    return [*record_keys(df), "severity", "target_summary"]
 
 
 def explode_links(incidents: DataFrame, scope: str = "global") -> DataFrame:
     """One row per listed event, places and repeats kept."""
-    keys = ["incident_id"] if scope == "global" else ["source_file", "incident_id"]
+    keys = record_keys(incidents) if scope == "global" else ["source_file", *record_keys(incidents)]
     return incidents.select(*keys, F.posexplode("correl_ids").alias("pos", "event_id"))
 
 
@@ -39,21 +52,20 @@ def _newest(events: DataFrame, scope: str) -> DataFrame:
 
 def link_events(links: DataFrame, events: DataFrame, scope: str = "global") -> DataFrame:
     """Events of each incident in list order. Scope ``file`` only looks inside the same file."""
-    return salted_join(links, _newest(events, scope), _event_keys(scope),
-                       row_id=["incident_id", "pos"])
+    return links.join(_newest(events, scope), _event_keys(scope))
 
 
 def missing_events(links: DataFrame, events: DataFrame, scope: str = "global") -> DataFrame:
     """Listed events that do not exist."""
     known = _newest(events, scope).select(*_event_keys(scope))
-    return salted_join(links, known, _event_keys(scope), "left_anti", row_id=["incident_id", "pos"])
+    return links.join(known, _event_keys(scope), "left_anti")
 
 
 def link_counts(links: DataFrame, events: DataFrame, scope: str = "global") -> DataFrame:
     """Per incident: listed, found and missing events."""
-    keys = ["incident_id"] if scope == "global" else ["source_file", "incident_id"]
+    keys = record_keys(links) if scope == "global" else ["source_file", *record_keys(links)]
     known = _newest(events, scope).select(*_event_keys(scope), F.lit(True).alias("known"))
-    tried = salted_join(links, known, _event_keys(scope), "left", row_id=["incident_id", "pos"])
+    tried = links.join(known, _event_keys(scope), "left")
     return tried.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_event_ids"),
         F.count("known").alias("num_events"),
@@ -75,9 +87,9 @@ def description_counts(linked: DataFrame) -> DataFrame:
     at = T.wall_clock(F.col("start_time"))
     target = A.target_summary(F.col("target_ips"), F.col("target_ports"), F.col("description"))
     return (
-        linked.select("incident_id", "severity", "pos", "description", short.alias("short"),
+        linked.select(*record_keys(linked), "severity", "pos", "description", short.alias("short"),
                       at.alias("at"), target.alias("target_summary"))
-        .groupBy(*GROUP, "description")
+        .groupBy(*group_keys(linked), "description")
         .agg(
             F.count(F.lit(1)).alias("copies"),
             F.min("pos").alias("first_pos"),
@@ -100,7 +112,7 @@ def incident_groups(linked: DataFrame) -> DataFrame:
 
 def groups_of(counts: DataFrame) -> DataFrame:
     return (
-        counts.groupBy(*GROUP)
+        counts.groupBy(*group_keys(counts))
         .agg(
             F.sum("copies").alias("events"),
             F.count(F.lit(1)).alias("descriptions"),
@@ -118,7 +130,7 @@ def groups_of(counts: DataFrame) -> DataFrame:
 
 def group_examples(counts: DataFrame, examples: int = 3) -> DataFrame:
     """The most frequent descriptions of each group, earlier ones first among equals."""
-    order = Window.partitionBy(*GROUP).orderBy(F.desc("copies"), "first_pos")
+    order = Window.partitionBy(*group_keys(counts)).orderBy(F.desc("copies"), "first_pos")
     return counts.withColumn("example", F.row_number().over(order)).where(
         F.col("example") <= examples
     )
@@ -126,7 +138,8 @@ def group_examples(counts: DataFrame, examples: int = 3) -> DataFrame:
 
 def severity_breakdown(groups: DataFrame) -> DataFrame:
     """Per incident ``High: 7, Medium: 3`` with the most severe first, and the number of events."""
-    by_severity = groups.groupBy("incident_id", "severity").agg(
+    keys = record_keys(groups)
+    by_severity = groups.groupBy(*keys, "severity").agg(
         F.sum("events").alias("events"), F.min("first_pos").alias("first_pos")
     )
     entry = F.struct(
@@ -134,7 +147,7 @@ def severity_breakdown(groups: DataFrame) -> DataFrame:
         "first_pos",
         F.concat_ws(": ", "severity", F.col("events").cast("string")).alias("text"),
     )
-    return by_severity.groupBy("incident_id").agg(
+    return by_severity.groupBy(*keys).agg(
         F.sum("events").alias("event_count"),
         F.array_join(
             F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["text"]), ", "
@@ -145,7 +158,7 @@ def severity_breakdown(groups: DataFrame) -> DataFrame:
 def incident_header(incidents: DataFrame) -> DataFrame:
     """The descriptive fields of an incident as they appear in reports and prompts."""
     return incidents.select(
-        "incident_id",
+        *record_keys(incidents),
         A.first_address(F.col("source_ips")).alias("source_ip"),
         F.coalesce(F.col("timewindow").cast("string"), F.lit("Unknown")).alias("timewindow"),
         F.coalesce(F.col("threat_level").cast("string"), F.lit("Unknown")).alias("threat_text"),
@@ -156,16 +169,16 @@ def incident_header(incidents: DataFrame) -> DataFrame:
     )
 
 
-def incident_report(incidents: DataFrame, linked: DataFrame, max_examples: int = 3,
-                    lines_per_part: int = 10_000) -> DataFrame:
+def incident_report(incidents: DataFrame, linked: DataFrame, max_examples: int = 3) -> DataFrame:
     """One record per incident with its grouped, most-severe-first text.
 
-    An incident with more groups than one task should hold comes in several parts. The counted
-    descriptions are written out once; all that follows reads them instead of the events.
+    The counted descriptions are written out once; all that follows reads them instead of the
+    events.
     """
+    keys = record_keys(incidents)
     counts = stored(description_counts(linked))
     groups = groups_of(counts)
-    header = incident_header(incidents).join(severity_breakdown(groups), "incident_id", "left")
+    header = incident_header(incidents).join(severity_breakdown(groups), keys, "left")
 
     example = F.struct(
         "example",
@@ -173,7 +186,7 @@ def incident_report(incidents: DataFrame, linked: DataFrame, max_examples: int =
         .otherwise(F.concat(F.lit("  - "), "description")).alias("text"),
         "first_time", "last_time", "first_at", "last_at",
     )
-    examples = group_examples(counts, max_examples).groupBy(*GROUP).agg(
+    examples = group_examples(counts, max_examples).groupBy(*group_keys(counts)).agg(
         F.transform(F.array_sort(F.collect_list(example)), lambda e: e["text"]).alias("examples")
     )
     summary = F.when(F.col("events") == 1, F.concat(F.lit("Event to "), "target_summary")) \
@@ -184,8 +197,8 @@ def incident_report(incidents: DataFrame, linked: DataFrame, max_examples: int =
         F.array(F.format_string("  - ... and %d more variations",
                                 F.col("descriptions") - max_examples)),
     ).otherwise(F.array().cast("array<string>"))
-    blocks = groups.join(examples, GROUP).select(
-        "incident_id", F.lit(1).alias("section"), (-F.col("severity_rank")).alias("rank"), "first_pos",
+    blocks = groups.join(examples, group_keys(groups)).select(
+        *keys, F.lit(1).alias("section"), (-F.col("severity_rank")).alias("rank"), "first_pos",
         F.array_join(F.concat(F.array(first_line), F.col("examples"), more), "\n").alias("line"),
     )
 
@@ -204,7 +217,7 @@ def incident_report(incidents: DataFrame, linked: DataFrame, max_examples: int =
     )
 
     def edge(section: int, line: Column) -> DataFrame:
-        return header.select("incident_id", F.lit(section).alias("section"), F.lit(0).alias("rank"),
+        return header.select(*keys, F.lit(section).alias("section"), F.lit(0).alias("rank"),
                              F.lit(0).cast("bigint").alias("first_pos"), line.alias("line"))
 
     lines = (
@@ -212,45 +225,56 @@ def incident_report(incidents: DataFrame, linked: DataFrame, max_examples: int =
         .unionByName(edge(0, F.when(known, opening).otherwise(nothing)))
         .unionByName(edge(2, F.when(known, closing)).where(F.col("line").isNotNull()))
     )
-    texts = ordered_text(lines, ["incident_id"], ["section", "rank", "first_pos"], "line",
-                         lines_per_part=lines_per_part)
-    return texts.join(header, "incident_id").select(
-        "incident_id", "part", "source_ip", "timewindow", "timeline", "threat_level",
+    texts = ordered_text(lines, keys, ["section", "rank", "first_pos"], "line")
+    return texts.join(header, keys).select(
+        *keys, "source_ip", "timewindow", "timeline", "threat_level",
         F.coalesce("event_count", F.lit(0)).alias("event_count"), F.col("text").alias("analysis"),
     )
 
 
-def pattern_groups(linked: DataFrame, sample_events: int = 3, max_samples: int = 5) -> DataFrame:
+def pattern_groups(linked: DataFrame, sample_events: int = 3, max_samples: int = 5,
+                   slots: int = 32) -> DataFrame:
     """Events of an incident that differ only in addresses, ports and numbers.
 
     Sort by events descending, time_range, first_pos. The sample values come from the first
-    ``sample_events`` events by start time.
+    ``sample_events`` events by start time. ``raw_chars`` is the length of the events' own lines.
+
+    The events are read and shuffled once: each group is first worked out in ``slots`` parts, by a hash of
+    the place, and a part gives one row.
     """
-    keys = ["incident_id", "pattern"]
+    keys = [*record_keys(linked), "pattern"]
+    first = max(sample_events, 1)
     events = linked.select(
-        "incident_id", "pos", "start_time", "description",
+        *record_keys(linked), "pos", "start_time", "description",
         X.normalise_pattern(F.col("description")).alias("pattern"),
+        F.length(raw_evidence_line()).alias("chars"),
+        F.pmod(F.xxhash64("pos"), F.lit(slots)).alias("slot"),
     )
-    stats = events.groupBy(*keys).agg(
+    earliest = Window.partitionBy(*keys, "slot").orderBy("start_time", "pos")
+    early = F.when(F.row_number().over(earliest) <= first, F.struct("start_time", "pos", "description"))
+    parts = events.withColumn("early", early).groupBy(*keys, "slot").agg(
         F.count(F.lit(1)).alias("events"),
+        F.sum("chars").alias("raw_chars"),
         F.min("pos").alias("first_pos"),
         F.min("start_time").alias("first_start"),
         F.max("start_time").alias("last_start"),
+        F.collect_list("early").alias("early"),
     )
-    earliest = Window.partitionBy(*keys).orderBy("start_time", "pos")
-    first = (
-        events.withColumn("nth", F.row_number().over(earliest))
-        .where(F.col("nth") <= max(sample_events, 1))
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("nth", "description"))).alias("first_events"))
+    whole = parts.groupBy(*keys).agg(
+        F.sum("events").alias("events"),
+        F.sum("raw_chars").alias("raw_chars"),
+        F.min("first_pos").alias("first_pos"),
+        F.min("first_start").alias("first_start"),
+        F.max("last_start").alias("last_start"),
+        F.slice(F.array_sort(F.flatten(F.collect_list("early"))), 1, first).alias("early"),
     )
-    taken = F.slice("first_events", 1, sample_events)
+    taken = F.slice("early", 1, sample_events)
     values = F.flatten(F.transform(taken, lambda e: X.sample_values(e["description"])))
     times = [T.format_time(F.col(c), short=True) for c in ("first_start", "last_start")]
-    return stats.join(first, keys).select(
-        *keys, "events", "first_pos", T.time_range(*times).alias("time_range"),
+    return whole.select(
+        *keys, "events", "raw_chars", "first_pos", T.time_range(*times).alias("time_range"),
         F.slice(F.array_distinct(values), 1, max_samples).alias("samples"),
-        F.col("first_events")[0]["description"].alias("description"),
+        F.col("early")[0]["description"].alias("description"),
     )
 
 
@@ -263,64 +287,73 @@ def pattern_line(groups: DataFrame) -> Column:
         .otherwise(several)
 
 
-def evidence_text(groups: DataFrame, lines_per_part: int = 10_000) -> DataFrame:
+def evidence_text(groups: DataFrame) -> DataFrame:
     """Evidence for a prompt from pattern groups, largest group first."""
+    keys = record_keys(groups)
     lines = groups.select(
-        "incident_id", (-F.col("events")).alias("fewer"), "time_range", "first_pos",
+        *keys, (-F.col("events")).alias("fewer"), "time_range", "first_pos",
         pattern_line(groups).alias("line"),
     )
-    return ordered_text(lines, ["incident_id"], ["fewer", "time_range", "first_pos"], "line",
-                        lines_per_part=lines_per_part)
+    return ordered_text(lines, keys, ["fewer", "time_range", "first_pos"], "line")
 
 
 def raw_evidence_line() -> Column:
     return F.concat_ws(" | ", T.format_time(F.col("start_time"), short=True), "description")
 
 
-def raw_evidence_text(linked: DataFrame, lines_per_part: int = 10_000) -> DataFrame:
-    """Every event as ``HH:MM | description`` in list order; a part covers a range of places."""
-    part = F.floor(F.col("pos") / lines_per_part)
-    rows = F.array_sort(F.collect_list(F.struct("pos", "line")))
-    return (
-        linked.select("incident_id", "pos", part.alias("part"), raw_evidence_line().alias("line"))
-        .groupBy("incident_id", "part")
-        .agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("text"),
-             F.count(F.lit(1)).alias("lines"))
-    )
+def raw_evidence_text(linked: DataFrame, range_width: int = 10_000) -> DataFrame:
+    """Every event as ``HH:MM | description`` in list order, one text per incident.
 
+    Lines are joined within ranges of places first, so that a long list is sorted in many tasks and
+    only its finished stretches meet. For texts too long for one value see ``skew.numbered_lines``.
+    """
+    keys = record_keys(linked)
+    lines = linked.select(*keys, "pos", F.floor(F.col("pos") / range_width).alias("stretch"),
+                          raw_evidence_line().alias("line"))
+    stretches = ordered_text(lines, [*keys, "stretch"], ["pos"], "line")
+    return ordered_text(stretches.withColumnRenamed("lines", "n"), keys, ["stretch"], "text").drop("lines").join(
+        stretches.groupBy(*keys).agg(F.sum("lines").alias("lines")), keys)
 
-def size_reduction(linked: DataFrame, groups: DataFrame) -> DataFrame:
-    """How much shorter grouping makes the evidence, in lines and characters (line ends included)."""
-    raw = linked.select("incident_id", F.length(raw_evidence_line()).alias("chars")) \
-        .groupBy("incident_id").agg(
-            F.count(F.lit(1)).alias("events"),
-            (F.sum("chars") + F.count(F.lit(1)) - 1).alias("raw_chars"))
-    grouped = groups.select("incident_id", F.length(pattern_line(groups)).alias("chars")) \
-        .groupBy("incident_id").agg(
-            F.count(F.lit(1)).alias("patterns"),
-            (F.sum("chars") + F.count(F.lit(1)) - 1).alias("grouped_chars"))
-    return raw.join(grouped, "incident_id").withColumn(
-        "saved_percent", 100.0 * (1 - F.col("grouped_chars") / F.col("raw_chars"))
-    )
+
+def size_reduction(groups: DataFrame, linked: DataFrame | None = None,
+                   tokens: Callable[[Column], Column] | None = None) -> DataFrame:
+    """How much shorter grouping makes the evidence, in lines and characters (line ends included).
+
+    With ``linked`` and ``tokens``, an expression that counts the tokens of a line, also in tokens.
+    """
+    keys = record_keys(groups)
+    measured = groups.groupBy(*keys).agg(
+        F.sum("events").alias("events"),
+        (F.sum("raw_chars") + F.sum("events") - 1).alias("raw_chars"),
+        F.count(F.lit(1)).alias("patterns"),
+        (F.sum(F.length(pattern_line(groups))) + F.count(F.lit(1)) - 1).alias("grouped_chars"),
+    ).withColumn("saved_percent", 100.0 * (1 - F.col("grouped_chars") / F.col("raw_chars")))
+    if tokens is None:
+        return measured
+    raw = linked.select(*keys, tokens(raw_evidence_line()).alias("n")).groupBy(*keys).agg(F.sum("n").alias("raw_tokens"))
+    short = groups.select(*keys, tokens(pattern_line(groups)).alias("n")).groupBy(*keys).agg(
+        F.sum("n").alias("grouped_tokens"))
+    return measured.join(raw, keys).join(short, keys).withColumn(
+        "saved_tokens_percent", 100.0 * (1 - F.try_divide("grouped_tokens", "raw_tokens")))
 
 
 def source_summary(events: DataFrame) -> DataFrame:
-    """Per source address: events, distinct targets, severities seen and hours between ends."""
+    """Per source address: events, distinct targets, severities seen and hours between ends.
+
+    Every target of an event counts.
+    """
     seconds = F.timestamp_diff("SECOND", F.min("at"), F.max("at"))
-    return (
-        events.select(
-            F.explode("source_ips").alias("source_ip"),
-            F.try_element_at("target_ips", F.lit(1)).alias("target"),
-            "severity", T.wall_clock(F.col("start_time")).alias("at"),
-        )
-        .groupBy("source_ip")
-        .agg(
-            F.count(F.lit(1)).alias("events"),
-            F.count_distinct("target").alias("unique_targets"),
-            F.count_distinct("severity").alias("severities"),
-            (seconds / 3600.0).alias("hours"),
-        )
-    )
+    by_source = events.select(
+        F.explode("source_ips").alias("source_ip"), "target_ips", "severity",
+        T.wall_clock(F.col("start_time")).alias("at"))
+    targets = by_source.select("source_ip", F.explode("target_ips").alias("target")).distinct() \
+        .groupBy("source_ip").agg(F.count(F.lit(1)).alias("unique_targets"))
+    return by_source.groupBy("source_ip").agg(
+        F.count(F.lit(1)).alias("events"),
+        F.count_distinct("severity").alias("severities"),
+        (seconds / 3600.0).alias("hours"),
+    ).join(targets, "source_ip", "left").withColumn(
+        "unique_targets", F.coalesce("unique_targets", F.lit(0)))
 
 
 def source_event_types(events: DataFrame) -> DataFrame:

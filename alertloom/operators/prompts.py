@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from alertloom.functions import text as X
+from alertloom.functions.maps import map_of_last
 from alertloom.functions.once import evaluated_once
-from alertloom.operators.incidents import incident_header
+from alertloom.operators.incidents import incident_header, record_keys
 from alertloom.schemas import JUDGE_REPLY
 
 _INCIDENT = """Incident {{incident_id}}
@@ -116,10 +117,10 @@ NOT_AVAILABLE = "N/A"
 
 def incident_prompts(incidents: DataFrame, evidence: DataFrame, counts: DataFrame, kind: str,
                      template: str | None = None) -> DataFrame:
-    """Prompts (incident_id, part, prompt) from incidents, their evidence text and event counts
-    (incident_id, event_count). Evidence in several parts makes one prompt per part."""
+    """One prompt for each incident, from its evidence text and event count."""
+    keys = record_keys(incidents)
     fields = (
-        incident_header(incidents).join(counts, "incident_id").join(evidence, "incident_id")
+        incident_header(incidents).join(counts, keys).join(evidence.drop("lines"), keys)
         .withColumn("until", F.when(F.col("ended") != "", F.col("ended")).otherwise("ongoing"))
         .withColumnRenamed("text", "evidence")
     )
@@ -127,7 +128,7 @@ def incident_prompts(incidents: DataFrame, evidence: DataFrame, counts: DataFram
     names = ("incident_id", "source_ip", "timewindow", "threat_text", "started", "until",
              "event_count", "evidence")
     prompt = X.filled(template or TEMPLATES[kind], {n: F.col(n) for n in names})
-    return fields.select("incident_id", "part", prompt.alias("prompt"))
+    return fields.select(*keys, prompt.alias("prompt"))
 
 
 def judge_prompts(df: DataFrame, evidence_col: str, analyses_col: str = "analyses",
@@ -225,7 +226,8 @@ def judge_replies(df: DataFrame, reply_col: str = "reply", names: dict[str, str]
 
     entries = F.transform(F.map_entries("_r.scores"), lambda e: F.struct(
         model(e["key"]).alias("k"), e["value"].alias("v")))
-    known = F.map_from_entries(F.filter(entries, lambda e: e["k"].isNotNull()))
+    # Models may share a name to show; the last score stays.
+    known = map_of_last(F.filter(entries, lambda e: e["k"].isNotNull()), "k", "v")
     # All unknown labels fall on one name; the last score stays.
     last = F.try_element_at(F.filter(entries, lambda e: e["k"].isNull()), F.lit(-1))
     scores = F.when(last.isNull(), known).otherwise(

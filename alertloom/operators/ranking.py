@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertloom.functions.alerts import CATEGORIES, COMPLEXITIES, complexity
+from alertloom.functions.maps import last_entries
 
 COUNTED_POSITIONS = (1, 2, 3, 4)
 # The places an absent model or an empty cell gets.
@@ -97,42 +98,46 @@ def model_by_complexity(results: DataFrame, models: list[str] | None = None) ->
     return _by_kind(results, complexity(F.col("event_count")), COMPLEXITIES, "complexity", models)
 
 
-def model_names(results: DataFrame, most: int = 200) -> list[str]:
-    """The scored models, in name order (this runs a job). They become columns, so their number
-    is checked."""
-    found = [r[0] for r in scores(results).select("model").distinct().orderBy("model").take(most + 1)]
-    if len(found) > most:
-        raise ValueError(f"more than {most} models")
-    return found
+def last_places(rankings: Column) -> Column:
+    """Array of ``value`` (model) and ``key`` (place): of several places of a model the last."""
+    return last_entries(F.map_entries(rankings), "value")
 
 
 def head_to_head(results: DataFrame, models: list[str] | None = None,
                  absent_position: int = ABSENT_POSITION) -> DataFrame:
     """Share of results in which ``model`` stands before ``rival``; a model not ranked stands last.
 
-    Each pair is one conditional count over the results; no pair rows are built.
+    Rows are made for the pairs that a result ranks, a few each, and added up per task. Pairs with a
+    model that a result lacks follow from how often each stands before or after the absent place.
+    Without ``models`` these are the scored ones.
     """
-    models = model_names(results) if models is None else models
-    place = F.map_from_entries(F.transform(
-        F.map_entries("rankings"),
-        lambda e: F.struct(e["value"].alias("k"), e["key"].cast("int").alias("v"))))
-    placed = results.withColumn("place", place).select(*[
-        F.coalesce(F.try_element_at("place", F.lit(m)), F.lit(absent_position)).alias(f"p{i}")
-        for i, m in enumerate(models)
-    ])
-    pairs = [(i, j) for i in range(len(models)) for j in range(len(models)) if i != j]
-    counted = placed.agg(
-        F.count(F.lit(1)).alias("total"),
-        *[F.count_if(F.col(f"p{i}") < F.col(f"p{j}")).alias(f"w{i}_{j}") for i, j in pairs],
+    ranked = results.select(F.transform(last_places(F.col("rankings")), lambda e: F.struct(
+        e["value"].alias("model"), e["key"].cast("int").alias("place"))).alias("r"))
+    before, after = F.col("place") < absent_position, F.col("place") > absent_position
+    single = ranked.select(F.inline("r")).groupBy("model").agg(
+        F.count_if(before).alias("before"), F.count_if(after).alias("after"))
+    pairs = ranked.select("r", F.explode("r").alias("a")).select("a", F.explode("r").alias("b")).where(
+        F.col("a.model") != F.col("b.model"))
+    both = pairs.groupBy(F.col("a.model").alias("model"), F.col("b.model").alias("rival")).agg(
+        F.count_if(F.col("a.place") < F.col("b.place")).alias("first"),
+        F.count_if(F.col("a.place") < absent_position).alias("both_before"),
+        F.count_if(F.col("b.place") > absent_position).alias("both_after"))
+    names = results.sparkSession.createDataFrame([(list(models),)], "names array<string>") if models is not None \
+        else scores(results).agg(F.array_sort(F.collect_set("model")).alias("names"))
+    grid = names.select("names", F.explode("names").alias("model")).select("model", F.explode("names").alias("rival")).where(
+        "model <> rival")
+    total = results.agg(F.count(F.lit(1))).scalar()
+    none = F.lit(0)
+    wins = (F.coalesce("first", none) + F.coalesce("before", none) - F.coalesce("both_before", none)
+            + F.coalesce("rival_after", none) - F.coalesce("both_after", none))
+    counted = (
+        grid.join(both, ["model", "rival"], "left")
+        .join(single.select("model", "before"), "model", "left")
+        .join(single.select(F.col("model").alias("rival"), F.col("after").alias("rival_after")), "rival", "left")
+        .select("model", "rival", wins.alias("wins"), total.alias("total"))
     )
-    rows = F.array(*[
-        F.struct(F.lit(models[i]).alias("model"), F.lit(models[j]).alias("rival"),
-                 F.col(f"w{i}_{j}").alias("wins"))
-        for i, j in pairs
-    ])
     percent = F.coalesce(F.try_divide(100.0 * F.col("wins"), F.col("total")), F.lit(0.0))
-    return counted.select("total", F.inline(rows)).select("model", "rival", "wins", "total",
-                                                          percent.alias("win_percent"))
+    return counted.withColumn("win_percent", percent)
 
 
 def model_rank(stats: DataFrame) -> DataFrame:
@@ -154,13 +159,14 @@ def best_model(stats: DataFrame, cells: DataFrame) -> DataFrame:
 def judge_table(results: DataFrame, models: dict[str, str]) -> DataFrame:
     """One wide row per result: the four ranks, then score and place of each model. ``models``
     maps column prefix to model name; what a result lacks stays null."""
-    place = F.map_from_entries(F.transform(
-        F.map_entries("rankings"), lambda e: F.struct(e["value"].alias("k"), e["key"].alias("v"))))
-    return results.withColumn("place", place).select(
+    def place(model: str) -> Column:
+        return F.try_element_at(F.filter(F.map_entries("rankings"), lambda e: e["value"] == model), F.lit(-1))["key"]
+
+    return results.select(
         "incident_id", "category", "event_count", "threat_level",
         *[F.try_element_at("rankings", F.lit(str(p))).alias(f"rank_{p}") for p in COUNTED_POSITIONS],
         *[F.try_element_at("scores", F.lit(m)).alias(f"{c}_score") for c, m in models.items()],
-        *[F.try_element_at("place", F.lit(m)).cast("int").alias(f"{c}_position")
+        *[place(m).cast("int").alias(f"{c}_position")
           for c, m in models.items()],
     )
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertloom.functions.alerts import COMPLEXITIES, complexity
-from alertloom.operators.skew import salted_join
 
 # Up to this many rows per group Spark drops the surplus before it shuffles.
 FEW = 1000
@@ -61,7 +60,7 @@ def take_by_hash(df: DataFrame, id_col: str, n: int | None = None, fraction: flo
     )
     ends = last.unionByName(short)
     if by:
-        placed = salted_join(ranked, ends, by, row_id=[id_col])
+        placed = ranked.join(ends, by)
     else:  # one group, one end
         placed = ranked.withColumns({c: ends.select(c).scalar() for c in ("_last_slot", "_need")})
     inside = placed.where(F.col("_slot") < F.col("_last_slot"))
@@ -79,7 +78,7 @@ def sample_files(incidents: DataFrame, files: int, seed: int = 0) -> DataFrame:
     chosen = take_by_hash(incidents.select("source_file").distinct(), "source_file", n=files, seed=seed)
     if files <= MODERATE:
         return incidents.join(F.broadcast(chosen), "source_file", "left_semi")
-    return salted_join(incidents, chosen, ["source_file"], "left_semi", row_id=["incident_id"])
+    return incidents.join(chosen, ["source_file"], "left_semi")
 
 
 def sample_incidents(incidents: DataFrame, n: int | None = None, files: int | None = None,

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ipaddress
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.functions.once import evaluated_once
 from alertloom.functions.text import strip
-from alertloom.operators.feeds import blocks, bounded_rows, valid_regex
+from alertloom.operators.feeds import blocks, valid_regex
 
 # The signature language.
 NAMED_BLOCK = r"(?U)signature\s+([\w-]+)\s*\{([^}]+)\}"
@@ -137,70 +139,147 @@ def training_example(df: DataFrame, signature_col: str = "cleaned") -> DataFrame
     return df.where("valid").select("instruction", "input", F.col(signature_col).alias("output"))
 
 
+# The conditions of the signature language that flows can be tested for.
+COMPARED = re.compile(r"(src-ip|dst-ip|src-port|dst-port|ip-proto|payload-size)\s*(==|!=|<=|>=|<|>)\s*([\w.:/-]+(?:\s*,\s*[\w.:/-]+)*)")
+CONTENT = re.compile(
+    r"(payload|http-request-header|http-request-body|http-reply-header|http-reply-body|http-request|http-reply|ftp|finger)"
+    r"\s+/((?:[^/\\]|\\.)*)/([gimsx]*)")
+STATE = re.compile(r"(tcp-state|udp-state)\s+(\w+(?:\s*,\s*\w+)*)")
+SAME = re.compile(r"same-ip\b")
+EVENT = re.compile(r'event\s+"([^"]*)"')
+CONTENT_COLUMNS = {
+    "payload": "payload", "http-request": "uri", "http-reply": "reply",
+    "http-request-header": "request_header", "http-request-body": "request_body",
+    "http-reply-header": "reply_header", "http-reply-body": "reply_body", "ftp": "ftp", "finger": "finger",
+}
+HEADER_COLUMNS = {"src-ip": "src_ip", "dst-ip": "dst_ip", "src-port": "src_port", "dst-port": "dst_port",
+                  "ip-proto": "proto", "payload-size": "payload", "tcp-state": "tcp_state", "udp-state": "udp_state"}
+
+
 def ipv4_number(address: Column) -> Column:
     parts = F.transform(F.split(address, r"\."), lambda p: p.try_cast("bigint"))
     number = F.aggregate(parts, F.lit(0).cast("bigint"), lambda acc, p: acc * 256 + p)
     return F.when(F.size(parts) == 4, number)
 
 
-def _network(text: str) -> tuple[int, int]:
-    """First and last address number of ``a.b.c.d`` or ``a.b.c.d/bits``."""
-    address, _, bits = text.strip().partition("/")
-    number = reduce(lambda acc, part: acc * 256 + int(part), address.split("."), 0)
-    size = 1 << (32 - int(bits or 32))
-    first = number // size * size
-    return first, first + size - 1
-
-
-def _any(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
-def signature_condition(fields: dict[str, list[str]], patterns: list, payload_cols: dict[str, str]) -> Column:
-    """What a flow must fulfil: each line of the signature, one value of each list.
-
-    Content patterns are anchored at the start of the content.
-    """
-    needs = [F.lower("proto") == v.lower() for v in fields.get("ip-proto", [])]
-    for name, col in (("src-ip", "src_ip"), ("dst-ip", "dst_ip")):
-        for values in fields.get(name, []):
-            ranges = [_network(v) for v in values.split(",")]
-            needs.append(_any([ipv4_number(F.col(col)).between(*r) for r in ranges]))
-    for name, col in (("src-port", "src_port"), ("dst-port", "dst_port")):
-        for values in fields.get(name, []):
-            needs.append(F.col(col).isin(*[int(v) for v in values.split(",")]))
-    for p in patterns:
-        flags = "".join(f for f in p["flags"] if f in "imsx")
-        regex = f"(?{flags})^(?:{p['pattern']})" if flags else f"^(?:{p['pattern']})"
-        needs.append(F.col(payload_cols[p["type"]]).rlike(regex))
-    return reduce(lambda a, b: a & b, needs, F.lit(True))
+def ipv6_digits(address: Column) -> Column:
+    """The 32 hex digits of an IPv6 address; null for other texts."""
+    halves = F.split(F.lower(address), "::", 2)
+
+    def groups(text: Column) -> Column:
+        return F.filter(F.split(F.coalesce(text, F.lit("")), ":"), lambda g: g != "")
+
+    head, tail = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
+    gap = 8 - F.size(head) - F.size(tail)
+    whole = F.concat(head, F.array_repeat(F.lit("0"), F.when(F.size(halves) == 2, F.greatest(gap, F.lit(0))).otherwise(0)), tail)
+    sound = (F.size(whole) == 8) & F.forall(whole, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    return F.when(address.contains(":") & sound, F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))
+
+
+def _within(col: str, value: str) -> Column:
+    network = ipaddress.ip_network(value, strict=False)
+    first, last = int(network.network_address), int(network.broadcast_address)
+    if network.version == 4:
+        return F.coalesce(ipv4_number(F.col(col)).between(first, last), F.lit(False))
+    return F.coalesce(ipv6_digits(F.col(col)).between(f"{first:032x}", f"{last:032x}"), F.lit(False))
+
+
+def _compared(kind: str, sign: str, values: list[str], col: str) -> Column:
+    """One header line: any of the values for ``==``, none of them for ``!=``, else a bound."""
+    number = F.octet_length(col) if kind == "payload-size" else F.col(col)
+    if kind == "ip-proto":
+        any_of = F.lower(F.col(col)).isin(*[v.lower() for v in values])
+    elif kind.endswith("-ip"):
+        any_of = reduce(lambda a, b: a | b, [_within(col, v) for v in values])
+    else:
+        ranges = [[int(n) for n in v.split("-")] for v in values]
+        any_of = reduce(lambda a, b: a | b, [number.between(r[0], r[-1]) for r in ranges])
+    if sign == "==":
+        return any_of
+    if sign == "!=":
+        return F.col(col).isNotNull() & ~any_of
+    if kind not in ("src-port", "dst-port", "payload-size") or len(values) != 1:
+        raise ValueError(f"{kind} {sign} needs one number")
+    bound = int(values[0])
+    return {"<": number < bound, "<=": number <= bound, ">": number > bound, ">=": number >= bound}[sign]
+
+
+def signature_condition(spark: SparkSession, body: str, columns: list[str],
+                        content_cols: dict[str, str]) -> tuple[Column, str]:
+    """What a flow must fulfil, each line of the signature, and its event message. Content patterns
+    are anchored at the start of the content. A line that flows with these columns can't be tested
+    for is a ValueError."""
+    def needed(kind: str, named: dict[str, str]) -> str:
+        if named.get(kind) not in columns:
+            raise ValueError(f"no column for {kind}")
+        return named[kind]
+
+    needs, message, at = [], "", 0
+    while rest := body[at:].lstrip():
+        at = len(body) - len(rest)
+        if m := COMPARED.match(rest):
+            kind, sign, values = m.groups()
+            needs.append(_compared(kind, sign, [v.strip() for v in values.split(",")], needed(kind, HEADER_COLUMNS)))
+        elif m := CONTENT.match(rest):
+            kind, pattern, flags = m.groups()
+            kept = "".join(f for f in flags if f in "imsx")
+            regex = f"(?{kept})^(?:{pattern})" if kept else f"^(?:{pattern})"
+            if not valid_regex(spark, regex):
+                raise ValueError(f"bad pattern /{pattern}/")
+            needs.append(F.col(needed(kind, content_cols)).rlike(regex))
+        elif m := STATE.match(rest):
+            col = needed(m[1], HEADER_COLUMNS)
+            needs += [F.array_contains(col, s.strip()) for s in m[2].split(",")]
+        elif m := SAME.match(rest):
+            needs.append(F.col(needed("src-ip", HEADER_COLUMNS)) == F.col(needed("dst-ip", HEADER_COLUMNS)))
+        elif m := EVENT.match(rest):
+            message = m[1]
+        else:
+            raise ValueError(f"unsupported line: {rest.splitlines()[0].strip()}")
+        at += m.end()
+    return reduce(lambda a, b: a & b, needs, F.lit(True)), message
+
+
+def compiled(flows: DataFrame, signatures: DataFrame,
+             content_cols: dict[str, str] | None = None) -> tuple[list[tuple[str, Column, str]], list[tuple[str, str]]]:
+    """Usable signatures (name, condition, message) and the others (name, reason). Signatures, a list
+    that people keep, come to the driver."""
+    usable, rejects = [], []
+    for s in signatures.where(F.col("parsed").isNotNull()).select("parsed.*").toLocalIterator():
+        try:
+            usable.append((s["name"], *signature_condition(
+                flows.sparkSession, s["body"], flows.columns, content_cols or CONTENT_COLUMNS)))
+        except ValueError as reason:
+            rejects.append((s["name"], str(reason)))
+    return usable, rejects
 
 
 def match_signatures(flows: DataFrame, signatures: DataFrame,
-                     payload_cols: dict[str, str] | None = None) -> DataFrame:
+                     content_cols: dict[str, str] | None = None) -> DataFrame:
     """Flows with each signature they fulfil, once per connection and signature.
 
-    ``flows``: proto, src_ip, src_port, dst_ip, dst_port, payload and any other columns.
-    ``signatures``: parsed ones (column ``parsed``); their number is checked and each becomes an
-    expression on the flow, so flows are neither joined nor shuffled. Header bytes, dependencies
-    on other signatures, policy calls and file magic are not covered.
+    ``flows``: proto, src_ip, src_port, dst_ip, dst_port, payload and any other columns; ``tcp_state`` and
+    ``udp_state`` are arrays of what holds (established, originator, responder). ``signatures``: parsed
+    ones; each becomes an expression on the flow, so flows are neither joined nor shuffled. Signatures
+    that need anything else (header bytes, other signatures, policy calls, file magic) or can't be read
+    match nothing; ``signature_rejects`` lists them.
     """
-    payload_cols = payload_cols or {"payload": "payload", "http-request": "uri", "http-reply": "reply"}
-    spark = flows.sparkSession
-    usable = [
-        s for s in bounded_rows(signatures.where(F.col("parsed").isNotNull()).select("parsed.*"))
-        if all(p["type"] in payload_cols and payload_cols[p["type"]] in flows.columns
-               and valid_regex(spark, f"^(?:{p['pattern']})") for p in s["patterns"])
-    ]
-
-    def hit(s) -> Column:
-        event = (s["fields"].get("event") or [""])[0]
-        found = F.struct(F.lit(s["name"]).alias("signature"), F.lit(event).alias("message"))
-        return F.when(signature_condition(s["fields"], s["patterns"], payload_cols), found)
+    usable, _ = compiled(flows, signatures, content_cols)
+
+    def hit(s: tuple[str, Column, str]) -> Column:
+        name, condition, message = s
+        return F.when(condition, F.struct(F.lit(name).alias("signature"), F.lit(message).alias("message")))
 
     return blocks(flows, usable, hit, "struct<signature:string,message:string>")
 
 
+def signature_rejects(flows: DataFrame, signatures: DataFrame,
+                      content_cols: dict[str, str] | None = None) -> DataFrame:
+    """Signatures that can't be matched against these flows, with the reason."""
+    return flows.sparkSession.createDataFrame(
+        compiled(flows, signatures, content_cols)[1], "signature string, reason string")
+
+
 def signature_hits(matches: DataFrame) -> DataFrame:
     """Matches per signature, the most frequent first."""
     return matches.groupBy("signature").agg(F.count(F.lit(1)).alias("matches")) \

@@ -1,91 +1,30 @@
-"""Joins and text assembly that stay even when one key holds a large share of all rows."""
+"""Texts and numbers of lines for keys that may have very many."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertloom.session import shuffle_width, stored
-
-MOST_HOT_KEYS = 1000
-SLICES = 64
-
-
-def hot_keys(df: DataFrame, keys: list[str], min_rows: int, most: int = MOST_HOT_KEYS) -> list:
-    """The most frequent keys, at most ``most``, that have more than ``min_rows`` rows, as rows of
-    the keys and ``_rows`` (runs a job).
-
-    A key left out has at most one ``most``-th of all rows.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    heaviest = counts.where(F.col("_rows") > min_rows).orderBy(F.desc("_rows")).limit(most)
-    return heaviest.collect()
-
-
-def marked_hot(df: DataFrame, keys: list[str], hot: list, names: DataFrame) -> DataFrame:
-    """Adds ``_hot``, true for the rows of the given keys. Their number is bounded, so they travel
-    to the rows."""
-    schema = names.select(*keys).schema
-    listed = [tuple(row[k] for k in keys) for row in hot]
-    found = names.sparkSession.createDataFrame(listed, schema).withColumn("_hot", F.lit(True))
-    return df.join(F.broadcast(found), keys, "left")
-
-
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", *,
-                row_id: list[str], min_rows: int = 1_000_000, one_in: int = 16,
-                slices: int = SLICES) -> DataFrame:
-    """Join whose left side may repeat a key without limit.
-
-    Hot keys are looked for first, in one of ``one_in`` left rows chosen by a hash of ``row_id``;
-    a key missed or flagged in vain costs time only, never a row. Without hot keys this is a plain
-    join. Else rows of a hot key are spread over ``slices`` salts and the right rows of that key
-    are copied to each, so right keys should be unique or nearly so.
-    ``how``: inner, left, left_semi or left_anti.
-    """
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"unsupported join {how!r}")
-    seen = left.where(F.pmod(F.xxhash64(*row_id), F.lit(one_in)) == 0).select(*on)
-    hot = hot_keys(seen, on, max(min_rows // one_in, 1))
-    if not hot:
-        return left.join(right, on, how)
-    # A null key finds no partner but would still gather in one task.
-    missing = F.lit(False)
-    for key in on:
-        missing = missing | F.col(key).isNull()
-    salt = F.pmod(F.xxhash64(F.lit("salt"), *row_id), F.lit(slices)).cast("int")
-    salted = marked_hot(left, on, hot, left).withColumn(
-        "_salt", F.when(F.col("_hot") | missing, salt).otherwise(F.lit(0))
-    ).drop("_hot")
-    every = F.sequence(F.lit(0), F.lit(slices - 1))
-    copies = marked_hot(right, on, hot, left).withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
-    ).drop("_hot")
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
-
 
 def ordered_text(lines: DataFrame, keys: list[str], order: list[str], line: str,
-                 separator: str = "\n", lines_per_part: int = 10_000) -> DataFrame:
-    """Join the lines of each key, in order, to ``text``.
+                 separator: str = "\n") -> DataFrame:
+    """One text for each key: its lines in order, with their number."""
+    rows = F.array_sort(F.collect_list(F.struct(*order, line)))
+    text = F.array_join(F.transform(rows, lambda r: r[line]), separator)
+    return lines.groupBy(*keys).agg(text.alias("text"), F.count(F.lit(1)).alias("lines"))
 
-    A key with too many lines for one task is cut into parts: its lines are range partitioned by
-    their order and each partition gives one text, so the parts in ascending ``part`` make up the
-    whole. All other keys have the one part 0. The lines are written out once because they are
-    counted, then read.
-    """
-    lines = stored(lines.select(*keys, *order, line))
 
-    def joined(df: DataFrame, part: Column) -> DataFrame:
-        rows = F.array_sort(F.collect_list(F.struct(*order, line)))
-        text = F.array_join(F.transform(rows, lambda r: r[line]), separator)
-        return df.withColumn("part", part).groupBy(*keys, "part").agg(
-            text.alias("text"), F.count(F.lit(1)).alias("lines")
-        )
+def numbered_lines(lines: DataFrame, keys: list[str], pos: str, width: int = 10_000) -> DataFrame:
+    """Adds ``number``, the rank of each line in its key by ``pos``, an integer: for texts too long for one value.
 
-    hot = hot_keys(lines, keys, lines_per_part, most=100_000)
-    if not hot:
-        return joined(lines, F.lit(0))
-    parts = max(shuffle_width(lines.sparkSession), sum(r["_rows"] for r in hot) // lines_per_part + 1)
-    marked = marked_hot(lines, keys, hot, lines)
-    small = joined(marked.where(F.col("_hot").isNull()).drop("_hot"), F.lit(0))
-    large = marked.where(F.col("_hot")).drop("_hot").repartitionByRange(parts, *keys, *order)
-    return small.unionByName(joined(large, F.spark_partition_id()))
+    Lines are ranked within ranges of ``width`` places, and the lines of earlier ranges are added
+    up from their counts, so a key of any length is spread over its ranges. Equal places are
+    numbered in any order.
+    """
+    ranged = lines.withColumn("_range", F.floor(F.col(pos) / width))
+    counts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_lines"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*keys, "_range", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(pos)
+    return ranged.withColumn("_nth", F.row_number().over(inside)).join(before, [*keys, "_range"]).withColumn(
+        "number", F.col("_before") + F.col("_nth")).drop("_range", "_nth", "_before")

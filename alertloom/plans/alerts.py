@@ -33,7 +33,7 @@ def incident_report(spark, sf):
 
 
 def pattern_groups(spark, sf):
-    return I.pattern_groups(_linked(spark, sf)).withColumn("samples", F.array_join("samples", ","))
+    return I.pattern_groups(_linked(spark, sf)).drop("raw_chars").withColumn("samples", F.array_join("samples", ","))
 
 
 def evidence_text(spark, sf):
@@ -45,8 +45,7 @@ def raw_evidence_text(spark, sf):
 
 
 def size_reduction(spark, sf):
-    linked = _linked(spark, sf)
-    return I.size_reduction(linked, I.pattern_groups(linked)).withColumn(
+    return I.size_reduction(I.pattern_groups(_linked(spark, sf))).withColumn(
         "saved_percent", F.round("saved_percent", 6))
 
 
@@ -226,7 +225,7 @@ ORACLES = {
                  strftime(min(ts), '%Y-%m-%d %H:%M:%S') || ' to ' || strftime(max(ts), '%Y-%m-%d %H:%M:%S')
                    AS timeline
           FROM ranked GROUP BY incident_id, b, w)
-        SELECT i.incident_id, 0 AS part, source_ip, timewindow, timeline,
+        SELECT i.incident_id, source_ip, timewindow, timeline,
                CAST(threat_level AS DOUBLE) AS threat_level, event_count,
                repeat('=', 60) || chr(10) || 'Incident: ' || i.incident_id || chr(10)
                || 'Source IP: ' || source_ip || ' | Timewindow: ' || timewindow || chr(10)
@@ -239,13 +238,13 @@ ORACLES = {
     "pattern_groups": f"""WITH {EVENTS_SQL}, {PATTERNS_SQL}
         SELECT incident_id, pattern, events, first_pos, time_range, samples, description FROM pgroups""",
     "evidence_text": f"""WITH {EVENTS_SQL}, {PATTERNS_SQL}
-        SELECT incident_id, 0 AS part, string_agg(line, chr(10) ORDER BY events DESC, time_range, first_pos)
+        SELECT incident_id, string_agg(line, chr(10) ORDER BY events DESC, time_range, first_pos)
                AS text, count(*) AS lines
         FROM plines GROUP BY incident_id""",
     "raw_evidence_text": f"""WITH {EVENTS_SQL}
-        SELECT incident_id, pos // 10000 AS part, string_agg(short || ' | ' || description, chr(10)
+        SELECT incident_id, string_agg(short || ' | ' || description, chr(10)
                ORDER BY pos) AS text, count(*) AS lines
-        FROM alert GROUP BY incident_id, pos // 10000""",
+        FROM alert GROUP BY incident_id""",
     "size_reduction": f"""WITH {EVENTS_SQL}, {PATTERNS_SQL},
         r AS (SELECT incident_id, count(*) AS events,
                      CAST(sum(length(short || ' | ' || description)) + count(*) - 1 AS BIGINT) AS raw_chars

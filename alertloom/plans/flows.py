@@ -35,27 +35,26 @@ def report_alerts(alerts: Alerts) -> DataFrame:
 
 def model_analyses(incidents: DataFrame, linked: DataFrame, model: Model, kind: str = "summary",
                    grouped: bool = True, template: str | None = None) -> DataFrame:
-    """One record per incident (and part, if its evidence has several) with the model's text.
+    """One record per incident with the model's text.
 
     Grouping the evidence first is what keeps prompts and cost small. A failed call leaves its
     message as text; an incident without events is not asked about.
     """
     failed, cleaned, cut = ANALYSES[kind]
-    counts = linked.groupBy("incident_id").agg(F.count(F.lit(1)).alias("event_count"))
+    keys = I.record_keys(incidents)
+    counts = linked.groupBy(*keys).agg(F.count(F.lit(1)).alias("event_count"))
     evidence = I.evidence_text(I.pattern_groups(linked)) if grouped else I.raw_evidence_text(linked)
     prompts = P.incident_prompts(incidents, evidence, counts, kind, template)
     asked = P.apply_model(prompts, "prompt", model)
     message: Column = F.concat(F.replace(F.lit(failed), F.lit("{incident}"), F.col("incident_id")), "error")
     reply = X.clean_reply(F.col("reply"), cut) if cleaned else X.strip(F.col("reply"))
-    answers = asked.select("incident_id", "part",
-                           F.when(F.col("error").isNotNull(), message).otherwise(reply).alias("text"))
+    answers = asked.select(*keys, F.when(F.col("error").isNotNull(), message).otherwise(reply).alias("text"))
     nothing = F.format_string("Incident %s: No associated events found", "incident_id")
     return (
         I.incident_header(incidents)
-        .join(counts, "incident_id", "left")
-        .join(answers, "incident_id", "left")
-        .select("incident_id", F.coalesce("part", F.lit(0)).alias("part"), "source_ip", "timewindow",
-                "timeline", "threat_level", F.coalesce("event_count", F.lit(0)).alias("event_count"),
+        .join(counts, keys, "left")
+        .join(answers, keys, "left")
+        .select(*keys, "source_ip", "timewindow", "timeline", "threat_level", F.coalesce("event_count", F.lit(0)).alias("event_count"),
                 F.coalesce("text", nothing).alias(kind))
     )
 

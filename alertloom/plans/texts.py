@@ -239,7 +239,7 @@ def chat_records(spark, sf):
 def series_elapsed(spark, sf):
     readings = N.table(spark, sf, "events").select(
         F.col("event_type").alias("series"), "event_id", "ts", "value")
-    return R.elapsed(readings, "series", "ts", ["event_id"]).select(
+    return R.elapsed(readings, "series", "ts").select(
         "series", "event_id", "minutes", "value")
 
 
@@ -393,9 +393,9 @@ ORACLES = {
                  || ' ' || strftime(min(ts), '%Y-%m-%d %H:%M:%S') || ' ' || strftime(max(ts), '%Y-%m-%d %H:%M:%S')
                  || ' ' || count(*) AS head
           FROM alert GROUP BY incident_id, b)
-        SELECT incident_id, pos // 10000 AS part, any_value(head) || chr(10)
+        SELECT incident_id, any_value(head) || chr(10)
                || string_agg(short || ' | ' || description, chr(10) ORDER BY pos) AS prompt
-        FROM alert JOIN h USING (incident_id) GROUP BY incident_id, pos // 10000""",
+        FROM alert JOIN h USING (incident_id) GROUP BY incident_id""",
     "judge_prompts": f"""WITH {ORDERS_SQL},
         x AS (SELECT *, md5('0|' || incident_id || '|alpha') < md5('0|' || incident_id || '|beta') AS alpha_first FROM inc)
         SELECT incident_id, 'A, B ' || category || chr(10) || '### A' || chr(10)
@@ -428,7 +428,7 @@ ORACLES = {
         round(avg(n), 6) AS avg_turns, CAST(0 AS BIGINT) AS empty_conversations
         FROM (SELECT count(*) AS n FROM conversations GROUP BY conv_id)""",
     "role_distribution": "SELECT coalesce(role, 'unknown') AS role, count(*) AS turns FROM conversations GROUP BY 1",
-    "chat_render": """SELECT conv_id, 0 AS part, string_agg(
+    "chat_render": """SELECT conv_id, string_agg(
                CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || coalesce(text, ''), chr(10) ORDER BY turn)
                || chr(10) || 'Assistant:' AS text, count(*) + 1 AS lines FROM conversations GROUP BY conv_id""",
     "chat_records": """SELECT item_id, 'Assistant: You are a helpful assistant.' || chr(10) || 'User: Repeat'

@@ -32,7 +32,7 @@ def _by_label(prompt: str) -> str:
 def model_analyses(spark, sf):
     linked = I.link_events(N.alert_links(spark, sf), N.alert_events(spark, sf))
     return W.model_analyses(N.alert_incidents(spark, sf), linked, _count_lines, "cause").select(
-        "incident_id", "part", "event_count", "cause")
+        "incident_id", "event_count", "cause")
 
 
 def judged_models(spark, sf):
@@ -50,7 +50,7 @@ ORACLES = {
     "model_analyses": f"""WITH {EVENTS_SQL}, {PATTERNS_SQL},
         c AS (SELECT incident_id, any_value(b) AS b, count(*) AS event_count FROM alert GROUP BY incident_id),
         n AS (SELECT incident_id, count(*) AS patterns FROM pgroups GROUP BY incident_id)
-        SELECT incident_id, 0 AS part, event_count,
+        SELECT incident_id, event_count,
                CASE WHEN b = 3 THEN 'Cause analysis failed: busy' ELSE patterns || ' lines' END AS cause
         FROM c JOIN n USING (incident_id)""",
     "judged_models": f"""WITH s AS ({SAMPLING["sample_stratified"]}),

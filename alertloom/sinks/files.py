@@ -6,8 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.operators.skew import salted_join
-
 
 def sample_rows(sample: DataFrame, links: DataFrame, events: DataFrame) -> DataFrame:
     """The lines of a sample file: each incident, its category put in, then its events. Sort by
@@ -17,17 +15,20 @@ def sample_rows(sample: DataFrame, links: DataFrame, events: DataFrame) -> DataF
     with file scope.
     """
     keys = ["source_file", "incident_id"]
+    value = F.regexp_replace(F.to_json(F.array("category")), r"^\[|\]$", "")
+    # A category that the incident has gives way to the new one; else the field is added at the end.
+    own = r'(?<!\\)"category"\s*:\s*("(?:[^"\\]|\\.)*"|[^,}\]"\s]+)'
     head = F.regexp_replace("raw_json", r"\}\s*\z", "")
-    # An object that is not empty needs a comma before one more field.
     comma = F.when(head.rlike(r"\{\s*\z"), "").otherwise(", ")
-    category = F.concat(F.lit('"category": '), F.to_json(F.array("category")))
-    as_value = F.regexp_replace(category, r"\[(.*)\]$", "$1")
-    first = sample.select(*keys, F.lit(-1).cast("bigint").alias("pos"),
-                          F.concat(head, comma, as_value, F.lit("}")).alias("line"))
-    chosen = salted_join(links, sample.select(*keys).distinct(), keys, "left_semi",
-                         row_id=["incident_id", "pos"])
-    found = salted_join(chosen, events.select("source_file", "event_id", F.col("raw_json").alias("line")),
-                        ["source_file", "event_id"], row_id=["incident_id", "pos"])
+    literal = F.regexp_replace(value, r"([\\$])", r"\\$1")
+    line = F.when(
+        F.expr("try_parse_json(raw_json)").isNotNull() & F.col("raw_json").rlike(own),
+        F.regexp_replace(F.col("raw_json"), F.lit(own), F.concat(F.lit('"category": '), literal)),
+    ).otherwise(F.concat(head, comma, F.lit('"category": '), value, F.lit("}")))
+    first = sample.select(*keys, F.lit(-1).cast("bigint").alias("pos"), line.alias("line"))
+    chosen = links.join(sample.select(*keys).distinct(), keys, "left_semi")
+    found = chosen.join(events.select("source_file", "event_id", F.col("raw_json").alias("line")),
+                        ["source_file", "event_id"])
     return first.unionByName(found.select(*keys, F.col("pos").cast("bigint").alias("pos"), "line"))
 
 
@@ -50,13 +51,37 @@ def write_records(df: DataFrame, path: str, order: list[str] | None = None, sing
     _arranged(df, order, single).write.mode("overwrite").json(path)
 
 
-def json_array(df: DataFrame, order: list[str], wrapped: bool = False, most: int = 100_000) -> str:
-    """A small table as one JSON array, or wrapped with its count (runs a job; size is checked)."""
-    rows = df.orderBy(*order).select(F.to_json(F.struct(*df.columns))).take(most + 1)
-    if len(rows) > most:
-        raise ValueError(f"more than {most} records; use write_records")
-    text = "[" + ",\n".join(r[0] for r in rows) + "]"
-    return f'{{"total_incidents": {len(rows)}, "incidents": {text}}}' if wrapped else text
+def write_json_document(df: DataFrame, path: str, order: list[str], wrapped: bool = False,
+                        single: bool = False) -> None:
+    """One JSON array, or an object that wraps it with its count, written in parallel.
+
+    The part files in name order make up the document: it opens in the first and closes in the last.
+    ``single`` writes it as one file, for tools that need one; all records pass one task then.
+    """
+    total = df.agg(F.count(F.lit(1))).first()[0]
+    open_text = f'{{"total_incidents": {total}, "incidents": [' if wrapped else "["
+    names = [f"_o{i}" for i in range(len(order))]
+    records = df.select(
+        F.lit(1).alias("_part"), *[F.col(c).alias(n) for c, n in zip(order, names)],
+        F.xxhash64(*df.columns).alias("_tie"), F.to_json(F.struct(*df.columns)).alias("line"))
+    edges = df.sparkSession.createDataFrame([(0, open_text), (2, "]}" if wrapped else "]")], "_part int, line string")
+    lines = records.unionByName(edges, allowMissingColumns=True)
+    keys = ["_part", *names, "_tie"]
+    # Every record but the last ends its line with a comma. Rows equal to the last are told apart by number.
+    last = records.groupBy(F.struct(*keys, "line").alias("k")).agg(F.count(F.lit(1)).alias("copies")).agg(
+        F.max(F.struct("k", "copies")).alias("m")).first()["m"]
+    if last is not None:
+        at_end = F.struct(*keys).eqNullSafe(F.struct(*[F.lit(last["k"][c]) for c in keys]))
+        copies = df.sparkSession.range(last["copies"]).select(
+            *[F.lit(last["k"][c]).alias(c) for c in keys],
+            F.concat(F.lit(last["k"]["line"]), F.when(F.col("id") < last["copies"] - 1, ",").otherwise("")).alias("line"),
+            F.col("id").alias("_nth"))
+        lines = lines.where((F.col("_part") != 1) | ~at_end).withColumns({
+            "line": F.when(F.col("_part") == 1, F.concat("line", F.lit(","))).otherwise(F.col("line")),
+            "_nth": F.lit(0).cast("long")}).unionByName(copies)
+        keys = [*keys, "_nth"]
+    lines = lines.orderBy(*keys).select("line")
+    (lines.coalesce(1) if single else lines).write.mode("overwrite").text(path)
 
 
 def write_table(df: DataFrame, path: str, order: list[str] | None = None, single: bool = False) -> None:

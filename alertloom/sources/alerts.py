@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.functions import alerts as A
+from alertloom.functions.jsontext import is_json
 from alertloom.functions.once import evaluated_once
 from alertloom.functions.text import strip
 from alertloom.schemas import ALERT_LINE
@@ -20,6 +21,7 @@ class Alerts(NamedTuple):
     incidents: DataFrame
     events: DataFrame
     rejects: DataFrame
+    kinds: DataFrame
 
 
 def scan_lines(spark: SparkSession, paths: str | list[str], **options: str) -> DataFrame:
@@ -44,13 +46,15 @@ def scan_lines(spark: SparkSession, paths: str | list[str], **options: str) -> D
 
 
 def parse_lines(lines: DataFrame) -> Alerts:
-    """Route lines by their Status; what fits neither kind is kept with a reason."""
+    """Route lines by their Status; what fits neither kind is kept with a reason. A line must be
+    one JSON object and nothing else. Each incident gets a ``record`` key, its file and place, that
+    tells records with one id apart."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     parsed = evaluated_once(
-        lines.where(F.col("line") != ""), {"a": F.from_json("line", ALERT_LINE, options)}
+        lines.where(F.col("line") != ""), {"a": F.from_json("line", ALERT_LINE, options), "sound": is_json(F.col("line"))}
     ).withColumn("status", F.coalesce("a.Status", F.lit("")))
     parsed = evaluated_once(parsed, {"n": F.from_json("a.Note", "map<string,string>")})
-    broken = F.col("a._corrupt").isNotNull()
+    broken = F.col("a._corrupt").isNotNull() | ~F.col("sound")
     note = A.note_map(F.col("a.Note"), F.col("n"))
     common = (
         F.coalesce("a.StartTime", F.lit("")).alias("start_time"),
@@ -60,6 +64,7 @@ def parse_lines(lines: DataFrame) -> Alerts:
         "line_order",
     )
     incidents = parsed.where(~broken & (F.col("status") == "Incident")).select(
+        F.to_json(F.struct("line_order")).alias("record"),
         F.coalesce("a.ID", F.lit("")).alias("incident_id"),
         F.col("a.Severity").alias("severity"),
         F.col("a.category").alias("category"),
@@ -79,16 +84,15 @@ def parse_lines(lines: DataFrame) -> Alerts:
         A.ports(F.col("a.Target")).alias("target_ports"),
         *common,
     )
-    rejects = parsed.where(broken | ~F.col("status").isin("Incident", "Event")).select(
-        "source_file",
-        "line_order",
-        F.when(broken & F.try_parse_json("line").isNull(), "bad json")
+    reason = (
+        F.when(broken & ~F.col("sound"), "bad json")
         .when(broken, "bad record")
-        .otherwise("unknown status")
-        .alias("reason"),
-        F.col("line").alias("raw_json"),
+        .when(~F.col("status").isin("Incident", "Event"), "unknown status")
     )
-    return Alerts(incidents, events, rejects)
+    rejects = parsed.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(
+        "source_file", "line_order", "reason", F.col("line").alias("raw_json"))
+    kinds = parsed.select(F.coalesce(reason, F.lower("status")).alias("kind"))
+    return Alerts(incidents, events, rejects, kinds)
 
 
 def incident_note(note: Column) -> dict[str, Column]:
@@ -131,14 +135,7 @@ def path_metadata(df: DataFrame, root: str, file_col: str = "source_file") -> Da
 
 def parse_counts(alerts: Alerts) -> DataFrame:
     """How many lines of each kind were read."""
-    def counted(df: DataFrame, kind: Column) -> DataFrame:
-        return df.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("lines"))
-
-    return (
-        counted(alerts.incidents, F.lit("incident"))
-        .unionByName(counted(alerts.events, F.lit("event")))
-        .unionByName(counted(alerts.rejects, F.col("reason")))
-    )
+    return alerts.kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("lines"))
 
 
 def last_events(events: DataFrame, scope: str = "global") -> DataFrame:

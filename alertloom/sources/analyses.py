@@ -40,7 +40,7 @@ def read_analyses(spark: SparkSession, paths: list[str], shape: str = "any") ->
         documents = document if documents is None else documents.unionByName(document)
     bare = F.from_json("value", "array<string>")
     wrapped = F.from_json("value", "struct<incidents:array<string>>")["incidents"]
-    starts_array = F.ltrim(F.regexp_replace(F.substring("value", 1, 1024), r"^\s+", "")).startswith("[")
+    starts_array = F.col("value").rlike(r"^\s*\[")
     accepted = {
         "any": F.when(starts_array, bare).otherwise(wrapped),
         "wrapped": F.when(~starts_array, wrapped),

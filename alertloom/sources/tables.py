@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,17 +44,22 @@ def read_judge_results(spark: SparkSession, path: str, multiline: bool = True) -
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Pattern feed: a ``#fields`` line, then tab-separated ``/pattern/`` and description."""
+    """Pattern feed: tab-separated ``/pattern/`` and description, in the order that the file's ``#fields`` line
+    names them; without such a line the pattern comes first."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    header = lines.where(F.col("value").startswith("#fields")).first()
+    names = re.split(r"[\t ]+", header[0].strip())[1:] if header else ["regex", "description"]
+    if "regex" not in names:
+        raise ValueError(f"no field regex among {names}")
     cells = F.split("value", "\t")
-    pattern = F.get(cells, F.lit(0))
-    return (
-        spark.read.text(path)
-        .where(~F.col("value").startswith("#") & (F.trim("value") != ""))
-        .select(
-            F.regexp_replace(pattern, "^/|/$", "").alias("regex"),
-            F.coalesce(F.get(cells, F.lit(1)), F.lit("")).alias("description"),
-            F.monotonically_increasing_id().alias("line"),
-        )
+
+    def cell(name: str) -> Column:
+        return F.get(cells, F.lit(names.index(name))) if name in names else F.lit(None).cast("string")
+
+    return lines.where(~F.col("value").startswith("#")).select(
+        F.regexp_replace(cell("regex"), "^/|/$", "").alias("regex"),
+        F.coalesce(cell("description"), F.lit("")).alias("description"),
+        F.monotonically_increasing_id().alias("line"),
     )
 
 

@@ -27,7 +27,7 @@ def match_batch(batch: DataFrame, batch_id: int, read_feed: Callable[[], DataFra
     batch that is run again counts once.
     """
     spark = batch.sparkSession
-    feed_table(read_feed()).coalesce(1).write.mode("overwrite").parquet(f"{out}/feed/batch={batch_id}")
+    feed_table(read_feed()).write.mode("overwrite").parquet(f"{out}/feed/batch={batch_id}")
     feed = spark.read.parquet(f"{out}/feed/batch={batch_id}")
     before = _snapshot(spark, out, batch_id - 1) if batch_id > 0 else None
     changes = feed_changes(before if before is not None else feed.limit(0), feed)

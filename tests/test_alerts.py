@@ -216,16 +216,28 @@ def test_report_text(spark):
         ("Unknown", "Unknown", 0.0)
 
 
-def test_a_long_report_comes_in_parts(spark):
-    whole = {r["incident_id"]: r["analysis"]
-             for r in I.incident_report(_incidents(spark), _linked(spark, EVENTS)).collect()}
-    many = [("i1", n, "Info", "2024-01-01T10:00:00Z", f"d{n}", [f"1.1.1.{n}"], []) for n in range(200)]
-    full = I.incident_report(_incidents(spark), _linked(spark, many)).where("incident_id = 'i1'").collect()
-    cut = I.incident_report(_incidents(spark), _linked(spark, many), lines_per_part=20) \
-        .where("incident_id = 'i1'").orderBy("part").collect()
-    assert len(full) == 1 and len(cut) > 1
-    assert "\n".join(r["analysis"] for r in cut) == full[0]["analysis"]
-    assert len(whole) == 2
+def test_records_with_one_id_stay_apart(spark):
+    """Two records of one incident id, each with an event of its own."""
+    lines = [{"Status": "Event", "ID": "e1", "Severity": "Low", "Description": "one"},
+             {"Status": "Event", "ID": "e2", "Severity": "High", "Description": "two"},
+             {"Status": "Incident", "ID": "i", "CorrelID": ["e1"]}, {"Status": "Incident", "ID": "i", "CorrelID": ["e2", "e2"]}]
+    rows = spark.createDataFrame([(json.dumps(x), "f", n) for n, x in enumerate(lines)], "line string, source_file string, line_order int")
+    alerts = S.parse_lines(rows)
+    linked = I.link_events(I.explode_links(alerts.incidents), alerts.events)
+    reports = I.incident_report(alerts.incidents, linked).orderBy("record").collect()
+    assert [(r["incident_id"], r["event_count"]) for r in reports] == [("i", 1), ("i", 2)]
+    assert "one" in reports[0]["analysis"] and "two" not in reports[0]["analysis"]
+    assert [r["text"] for r in I.raw_evidence_text(linked).orderBy("record").collect()] == [" | one", " | two\n | two"]
+    assert I.pattern_groups(linked).count() == 2
+
+
+def test_words_after_a_record_are_no_record(spark):
+    event = json.dumps({"Status": "Event", "ID": "e"})
+    lines = [event, event + " trailing", event + event, event + ", " + event, f"  {event} "]
+    rows = spark.createDataFrame([(x.strip(), "f", n) for n, x in enumerate(lines)], "line string, source_file string, line_order int")
+    alerts = S.parse_lines(rows)
+    assert alerts.events.count() == 2 and [r["reason"] for r in alerts.rejects.collect()] == ["bad json"] * 3
+    assert {r["kind"]: r["lines"] for r in S.parse_counts(alerts).collect()} == {"event": 2, "bad json": 3}
 
 
 def test_true_ends_beside_the_text_range(spark):
@@ -248,9 +260,11 @@ def test_pattern_groups_and_evidence(spark):
     text = I.evidence_text(groups).first()["text"]
     assert text == ("10:01-10:05 | to 2.2.2.2 (4x similar, samples: 2.2.2.2, 1.1.1.1, 4.4.4.4)\n"
                     "11:00 | n 1 (2x similar, samples: various)\n09:00 | alone")
-    raw = I.raw_evidence_text(_linked(spark, rows), lines_per_part=3).orderBy("part").collect()
-    assert [r["lines"] for r in raw] == [3, 3, 1]
-    assert raw[0]["text"] == "10:05 | to 1.1.1.1\n10:01 | to 2.2.2.2\n10:03 | to 1.1.1.1"
+    raw = I.raw_evidence_text(_linked(spark, rows), range_width=3).collect()
+    assert [r["lines"] for r in raw] == [7]
+    assert raw[0]["text"].startswith("10:05 | to 1.1.1.1\n10:01 | to 2.2.2.2\n10:03 | to 1.1.1.1\n10:04")
+    tokens = I.size_reduction(groups, _linked(spark, rows), lambda c: F.size(F.split(c, " "))).first()
+    assert (tokens["events"], tokens["patterns"], tokens["raw_tokens"]) == (7, 3, 27)
 
 
 def test_reply_cleanup(spark):

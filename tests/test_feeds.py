@@ -40,15 +40,20 @@ def test_invalid_patterns_are_set_aside(spark):
 
 
 def test_more_patterns_than_one_block(spark, monkeypatch):
-    monkeypatch.setattr(W, "BLOCK", 3)
+    monkeypatch.setattr(W, "RULES_PER_SCAN", 3)
     uris = spark.range(20).selectExpr("concat('u', id) AS uri")
     feed = frame(spark, [(f"u{i}$", str(i)) for i in range(8)])
     assert sorted(r["uri"] for r in W.match_feed(uris, feed).collect()) == [f"u{i}" for i in range(8)]
     assert W.match_feed(uris, frame(spark, [("nowhere", "")])).count() == 0
     assert W.match_feed(uris, frame(spark, [("(", "")])).count() == 0
-    monkeypatch.setattr(W, "LARGEST_FEED", 5)
+
+
+def test_fields_line_names_the_columns(spark, tmp_path):
+    (tmp_path / "f").write_text("#fields\tdescription\tregex\nfirst\t/a+/\nsecond\t/b/\n")
+    assert [(r["regex"], r["description"]) for r in read_feed(spark, str(tmp_path / "f")).collect()] == [("a+", "first"), ("b", "second")]
+    (tmp_path / "g").write_text("#fields\tdescription\nfirst\n")
     with pytest.raises(ValueError):
-        W.bounded_rows(feed, 5)
+        read_feed(spark, str(tmp_path / "g"))
 
 
 def test_changes(spark):

@@ -87,16 +87,29 @@ def test_sample_file(spark, tmp_path):
     assert S.read_alerts(spark, str(tmp_path / "out")).incidents.count() == 2
 
 
+def test_a_category_of_the_incident_is_replaced(spark):
+    raw = ['{"ID": "i", "category": "old", "Note": "{\\"category\\": 1}"}', '{"category":null, "ID":"i"}', '{"ID": "i"}', "{}"]
+    sample = spark.createDataFrame([("f", f"i{n}", r, "a$1\\ \"b") for n, r in enumerate(raw)], "source_file string, incident_id string, raw_json string, category string")
+    links = spark.createDataFrame([], "source_file string, incident_id string, pos int, event_id string")
+    events = spark.createDataFrame([], "source_file string, event_id string, raw_json string")
+    for line, old in zip([r["line"] for r in K.sample_rows(sample, links, events).orderBy("incident_id").collect()], raw):
+        pairs = json.loads(line, object_pairs_hook=list)
+        assert [k for k, _ in pairs].count("category") == 1 and dict(pairs) == {**json.loads(old), "category": 'a$1\\ "b'}
+
+
 def test_tables_and_records(spark, tmp_path):
     df = spark.createDataFrame([("b", 2, None), ("a", 1, "x,y")], "incident_id string, n int, text string")
     K.write_table(df, str(tmp_path / "csv"), ["incident_id"], single=True)
     assert list(csv.reader(lines_of(tmp_path / "csv"))) == [["incident_id", "n", "text"], ["a", "1", "x,y"], ["b", "2", ""]]
     K.write_records(df, str(tmp_path / "json"), ["incident_id"])
     assert [json.loads(x)["incident_id"] for x in lines_of(tmp_path / "json")] == ["a", "b"]
-    assert [r["n"] for r in json.loads(K.json_array(df, ["incident_id"]))] == [1, 2]
-    assert json.loads(K.json_array(df, ["incident_id"], wrapped=True))["total_incidents"] == 2
-    with pytest.raises(ValueError):
-        K.json_array(df, ["n"], most=1)
+    for rows in (df, df.limit(0), df.union(df)):
+        for wrapped in (False, True):
+            K.write_json_document(rows, str(tmp_path / "doc"), ["incident_id"], wrapped=wrapped)
+            document = json.loads("\n".join(lines_of(tmp_path / "doc")))
+            records = document["incidents"] if wrapped else document
+            assert [r["n"] for r in records] == sorted(r["n"] for r in rows.collect())
+            assert not wrapped or document["total_incidents"] == len(records)
 
 
 def test_signature_text(spark, tmp_path):

@@ -74,7 +74,17 @@ def test_head_to_head_places_absent_models_last(spark):
     rows = [result(1, ["a", "b", "c"]), result(2, ["b"], {"a": 1.0, "b": 2.0, "c": 3.0}), result(3, ["c", "a"])]
     duels = {(r["model"], r["rival"]): r["wins"] for r in R.head_to_head(spark.createDataFrame(rows, RESULT)).collect()}
     assert duels == {("a", "b"): 2, ("b", "a"): 1, ("a", "c"): 1, ("c", "a"): 1, ("b", "c"): 2, ("c", "b"): 1}
-    assert R.model_names(spark.createDataFrame(rows, RESULT)) == ["a", "b", "c"]
+
+
+def test_a_model_placed_twice_keeps_its_last_place(spark):
+    rows = [result(1, ["a", "b", "a", "unknown", "unknown", "c"], {"a": 1.0, "b": 2.0, "c": 3.0}), result(2, ["b", "a"], {})]
+    df = spark.createDataFrame(rows, RESULT)
+    duels = {(r["model"], r["rival"]): (r["wins"], r["total"]) for r in R.head_to_head(df, ["a", "b", "c", "d"]).collect()}
+    # First result: b 2, a 3, c 6, d absent and so 5. Second: b 1, a 2, c and d absent.
+    assert duels == {("a", "b"): (0, 2), ("b", "a"): (2, 2), ("a", "c"): (2, 2), ("c", "a"): (0, 2), ("b", "c"): (2, 2), ("c", "b"): (0, 2),
+                     ("a", "d"): (2, 2), ("d", "a"): (0, 2), ("b", "d"): (2, 2), ("d", "b"): (0, 2), ("c", "d"): (0, 2), ("d", "c"): (1, 2)}
+    table = {r["incident_id"]: r for r in R.judge_table(df, {"a": "a", "b": "b"}).collect()}
+    assert sorted(r["a_position"] for r in table.values()) == [2, 3]
 
 
 def test_judge_table_leaves_gaps(spark):

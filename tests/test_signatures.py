@@ -69,3 +69,31 @@ def test_matching(spark):
     assert sorted((r["n"], r["signature"], r["message"]) for r in found.collect()) == [
         (1, "net", "net"), (1, "proto", ""), (1, "start", "start"), (3, "proto", "")]
     assert [(r["signature"], r["matches"]) for r in G.signature_hits(found).collect()][0] == ("proto", 2)
+
+
+def test_every_condition_counts(spark):
+    columns = ("n int, proto string, src_ip string, src_port int, dst_ip string, dst_port int, payload string, "
+               "tcp_state array<string>")
+    flows = spark.createDataFrame([
+        (1, "tcp", "2001:db8::1", 1500, "2001:db8::1", 80, "POST /a/update x malware", ["established", "responder"]),
+        (2, "tcp", "2001:DB9:0:0:0:0:0:5", 3000, "1.2.3.4", 443, "x" * 2000, ["originator"]),
+        (3, "udp", "1.2.3.4", 1024, None, 53, "", [])], columns)
+    bodies = {
+        "v6": "src-ip == 2001:db8::/32", "v6one": "src-ip == 2001:db9::5, 9.9.9.9", "range": "src-port == 1024-2048",
+        "not80": "dst-port != 80", "notin": "src-ip != 1.2.0.0/16", "big": "payload-size > 1000", "low": "src-port <= 1500",
+        "state": "tcp-state established,responder", "same": "same-ip", "slash": r"payload /POST.*\/update.*malware/",
+        "many": "ip-proto == tcp\n dst-port == 80, 443\n src-port >= 2000 event \"both\"",
+        "needs": "requires-signature other", "header": "header ip[16:4] == 1.2.3.4", "odd": "src-port == web", "bad": "payload /(/",
+        "mime": "http-request /x/", "call": "eval check",
+    }
+    signatures = texts(spark, *[f"signature {n} {{\n {b}\n}}" for n, b in bodies.items()])
+    parsed = G.parse_signatures(signatures, "text")
+    found = {}
+    for r in G.match_signatures(flows, parsed).collect():
+        found.setdefault(r["signature"], []).append(r["n"])
+    assert {k: sorted(v) for k, v in found.items()} == {
+        "v6": [1], "v6one": [2], "range": [1, 3], "not80": [2, 3], "notin": [1, 2], "big": [2], "low": [1, 3], "state": [1],
+        "same": [1], "slash": [1], "many": [2]}
+    rejects = {r["signature"]: r["reason"] for r in G.signature_rejects(flows, parsed).collect()}
+    assert set(rejects) == {"needs", "header", "odd", "bad", "mime", "call"}
+    assert rejects["mime"] == "no column for http-request" and rejects["call"].startswith("unsupported line")

@@ -1,72 +1,51 @@
-"""Joins and texts with one key far heavier than the rest."""
+"""Texts and joins with one key far heavier than the rest."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from alertloom.operators.skew import hot_keys, ordered_text, salted_join
-
-
-@pytest.fixture(scope="module")
-def sides(spark):
-    left = spark.range(3000).select(
-        F.col("id").alias("row"),
-        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, None)
-        .otherwise((F.col("id") % 40).cast("string")).alias("key"))
-    right = spark.createDataFrame([("hot", 1), ("1", 2), ("2", 3), ("unused", 4)], "key string, value int")
-    return left, right
-
-
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_the_plain_one(sides, how):
-    left, right = sides
-    plain = left.join(right, ["key"], how)
-    salted = salted_join(left, right, ["key"], how, row_id=["row"], min_rows=100, one_in=4)
-    assert "xxhash64" in salted._jdf.queryExecution().toString()
-    assert salted.columns == plain.columns
-    assert sorted(map(str, salted.collect())) == sorted(map(str, plain.collect()))
-
-
-def test_hot_rows_are_spread(sides):
-    left, right = sides
-    spark = left.sparkSession
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.shuffle.partitions", "4")
-    try:
-        salted = salted_join(left, right, ["key"], row_id=["row"], min_rows=100, one_in=4)
-        tasks = salted.where("key = 'hot'").select(F.spark_partition_id().alias("p")).groupBy("p").count()
-        sizes = [r["count"] for r in tasks.collect()]
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-        spark.conf.set("spark.sql.shuffle.partitions", "2")
-    assert sum(sizes) == 1000 and len(sizes) == 4 and max(sizes) < 500
-
-
-def test_hot_keys_are_bounded(sides):
-    left, _ = sides
-    assert [r["key"] for r in hot_keys(left, ["key"], 100)] == ["hot"]
-    assert len(hot_keys(left, ["key"], 1, most=5)) == 5
-
-
-def test_text_parts_make_up_the_whole(spark):
+from alertloom.operators import incidents as I
+from alertloom.operators.skew import numbered_lines, ordered_text
+
+
+def test_one_text_for_each_key(spark):
     lines = spark.range(500).select(
         F.when(F.col("id") < 400, "big").otherwise("small").alias("k"), F.col("id").alias("o"),
-        F.concat(F.lit("line "), F.col("id").cast("string")).alias("line"))
-    rows = ordered_text(lines, ["k"], ["o"], "line", lines_per_part=150).orderBy("k", "part").collect()
-    big = [r for r in rows if r["k"] == "big"]
-    assert len(big) > 1 and max(r["lines"] for r in big) < 400
-    assert "\n".join(r["text"] for r in big).split("\n") == [f"line {i}" for i in range(400)]
-    small = [r for r in rows if r["k"] == "small"]
-    assert len(small) == 1 and small[0]["lines"] == 100
+        F.concat(F.lit("line "), F.col("id").cast("string")).alias("line")).repartition(7)
+    for partitions in ("1", "5"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        rows = {r["k"]: r for r in ordered_text(lines, ["k"], ["o"], "line").collect()}
+        assert rows["big"]["text"].split("\n") == [f"line {i}" for i in range(400)] and rows["small"]["lines"] == 100
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+
+
+def test_lines_are_numbered_over_ranges(spark):
+    lines = spark.range(1000).select(
+        F.when(F.col("id") % 5 == 0, "a").otherwise("b").alias("k"), (F.col("id") * 7).alias("pos")).repartition(6)
+    rows = numbered_lines(lines, ["k"], "pos", width=100).collect()
+    for key in "ab":
+        own = sorted((r["pos"], r["number"]) for r in rows if r["k"] == key)
+        assert [n for _, n in own] == list(range(1, len(own) + 1))
+
+
+def test_building_a_query_runs_no_job(spark):
+    """Only what is written once, the counted descriptions of reports, runs before the result is asked for."""
+    links = spark.createDataFrame([("i", 0, "e")], "incident_id string, pos bigint, event_id string")
+    events = spark.createDataFrame([("e", "High", "2024-01-01T10:00:00Z", "d", ["1.1.1.1"], [80])],
+                                   "event_id string, severity string, start_time string, description string, "
+                                   "target_ips array<string>, target_ports array<int>")
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    linked = I.link_events(links, events)
+    I.evidence_text(I.pattern_groups(linked)), I.raw_evidence_text(linked), I.size_reduction(I.pattern_groups(linked))
+    I.missing_events(links, events), I.link_counts(links, events), I.incident_groups(linked)
+    assert len(tracker.getJobIdsForGroup(None)) == before
 
 
 def test_examples_are_cut_before_the_shuffle(spark):
-    from alertloom.operators.incidents import group_examples
     counts = spark.range(100).selectExpr(
         "cast(id % 2 AS string) AS incident_id", "cast(id % 3 AS string) AS severity",
         "cast(id % 5 AS string) AS target_summary", "id AS copies", "id AS first_pos")
-    plan = group_examples(counts)._jdf.queryExecution().toString()
+    plan = I.group_examples(counts)._jdf.queryExecution().toString()
     assert plan.count("WindowGroupLimit") >= 2 and "Partial" in plan
 
 
@@ -74,3 +53,20 @@ def test_texts_use_the_named_folder(spark):
     from alertloom.session import new_folder
     named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     assert named is None or new_folder(spark).startswith(named.rstrip("/"))
+
+
+def test_a_cluster_must_name_a_shared_folder(spark, monkeypatch):
+    from alertloom import session
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+
+    with pytest.raises(ValueError):
+        session.new_folder(Session())
