@@ -146,6 +146,11 @@ def model_rank(stats: DataFrame) -> DataFrame:
     return stats.withColumn("rank", F.row_number().over(order))
 
 
+def filled_cell() -> Column:
+    """Condition on cells: results were counted there. Report tables leave the others out."""
+    return F.col("count") > 0
+
+
 def best_model(stats: DataFrame, cells: DataFrame) -> DataFrame:
     """Best model overall and per category; a model without results there comes last."""
     overall = stats.agg(F.min_by("model", F.struct("avg_position", "model")).alias("model")).select(
