@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from alertloom.functions.alerts import COMPLEXITIES, complexity
 
-# Up to this many rows per group Spark drops the surplus before it shuffles.
-FEW = 1000
-# Up to this many rows an ordered limit of the whole table is merged in one task.
-MODERATE = 100_000
 _PREFIX = 4  # hex digits of the hash: 65,536 slots
 
 
@@ -23,61 +19,43 @@ def take_by_hash(df: DataFrame, id_col: str, n: int | None = None, fraction: flo
     """The first ``n`` rows, or ``int(rows * fraction)`` rows, in hash order - of each group of
     ``by`` or of the whole table. ``id_col`` should be unique within a group.
 
-    Neither the table nor a group is ever sorted in one task: small numbers are cut per task
-    first, large ones are placed by counts over slots of the hash, and only the rows of the one
-    slot in which the number is reached are ranked.
+    Neither the table nor a group is ever sorted in one task. One pass counts rows by slots of the
+    hash, which tells in which slot the number is reached; a second passes on the rows up to that
+    slot and ranks them within theirs. The slots of a group are as many rows as it has, 65,536 at most.
     """
     by = by or []
     if (n is None) == (fraction is None):
         raise ValueError("give n or fraction")
     ranked = df.withColumn("_hash", hash_rank(F.col(id_col), seed))
-    if n is not None and by and n <= FEW:
-        order = Window.partitionBy(*by).orderBy("_hash", id_col)
-        return ranked.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= n) \
-            .drop("_nth", "_hash")
-    if n is not None and not by and n <= MODERATE:
-        return ranked.orderBy("_hash", id_col).limit(n).drop("_hash")
-
-    slot = F.conv(F.substring("_hash", 1, _PREFIX), 16, 10).cast("int")
-    ranked = ranked.withColumn("_slot", slot)
+    ranked = ranked.withColumn("_slot", F.conv(F.substring("_hash", 1, _PREFIX), 16, 10).cast("int"))
     counts = ranked.groupBy(*by, "_slot").agg(F.count(F.lit(1)).alias("_rows"))
     whole = Window.partitionBy(*by)
     running = whole.orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
-    wanted = F.lit(n) if n is not None else \
-        F.floor(F.sum("_rows").over(whole) * F.lit(float(fraction)))
-    last = (
+    total = F.sum("_rows").over(whole)
+    wanted = F.least(F.lit(n), total) if n is not None else F.floor(total * F.lit(float(fraction)))
+    ends = (
         counts.withColumn("_upto", F.sum("_rows").over(running))
         .withColumn("_wanted", wanted)
         .withColumn("_before", F.col("_upto") - F.col("_rows"))
         .where((F.col("_before") < F.col("_wanted")) & (F.col("_wanted") <= F.col("_upto")))
-        .select(*by, F.col("_slot").alias("_last_slot"),
-                (F.col("_wanted") - F.col("_before")).alias("_need"))
+        .select(*by, F.struct(F.col("_slot").alias("slot"), (F.col("_wanted") - F.col("_before")).alias("need")).alias("_end"))
     )
-    short = (
-        counts.groupBy(*by).agg(F.sum("_rows").alias("_total"))
-        .where(F.col("_total") < (F.lit(n) if n is not None else F.lit(0)))
-        .select(*by, F.lit(1 << 4 * _PREFIX).alias("_last_slot"), F.lit(0).cast("bigint").alias("_need"))
-    )
-    ends = last.unionByName(short)
     if by:
         placed = ranked.join(ends, by)
     else:  # one group, one end
-        placed = ranked.withColumns({c: ends.select(c).scalar() for c in ("_last_slot", "_need")})
-    inside = placed.where(F.col("_slot") < F.col("_last_slot"))
-    edge_order = Window.partitionBy(*by, "_slot").orderBy("_hash", id_col)
-    edge = (
-        placed.where(F.col("_slot") == F.col("_last_slot"))
-        .withColumn("_nth", F.row_number().over(edge_order))
-        .where(F.col("_nth") <= F.col("_need"))
+        placed = ranked.withColumn("_end", ends.select("_end").scalar())
+    place = Window.partitionBy(*by, "_slot").orderBy("_hash", id_col)
+    return (
+        placed.where(F.col("_slot") <= F.col("_end.slot"))
+        .withColumn("_nth", F.row_number().over(place))
+        .where((F.col("_slot") < F.col("_end.slot")) | (F.col("_nth") <= F.col("_end.need")))
+        .select(df.columns)
     )
-    return inside.select(df.columns).unionByName(edge.select(df.columns))
 
 
 def sample_files(incidents: DataFrame, files: int, seed: int = 0) -> DataFrame:
     """Incidents of ``files`` files drawn from all files."""
     chosen = take_by_hash(incidents.select("source_file").distinct(), "source_file", n=files, seed=seed)
-    if files <= MODERATE:
-        return incidents.join(F.broadcast(chosen), "source_file", "left_semi")
     return incidents.join(chosen, ["source_file"], "left_semi")
 
 
@@ -221,6 +199,6 @@ def accept_first(attempts: DataFrame, count: int, attempt_col: str = "attempt",
     """The first ``count`` valid rows among the attempts 1 to ``per_wanted * count``, with the
     number still lacking."""
     tried = attempts.where(F.col(attempt_col) <= per_wanted * count)
-    kept = tried.where(valid_col).orderBy(attempt_col).limit(count)
-    found = F.count(F.lit(1)).over(Window.partitionBy())
-    return kept.withColumn("shortfall", F.lit(count) - found)
+    valid = tried.where(valid_col)
+    found = F.least(F.lit(count), valid.agg(F.count(F.lit(1))).scalar())
+    return valid.orderBy(attempt_col).limit(count).withColumn("shortfall", F.lit(count) - found)

@@ -13,6 +13,7 @@ from alertloom.operators import incidents as I
 from alertloom.operators import prompts as P
 from alertloom.operators import sampling as S
 from alertloom.operators import signatures as G
+from alertloom.session import stored
 from alertloom.sources.alerts import Alerts
 
 Model = Callable[[str], str]
@@ -77,10 +78,16 @@ def judged_results(dataset: DataFrame, models: dict[str, str], judge: Model, tar
 def generated_signatures(spark: SparkSession, count: int, model: Model,
                          dimensions: dict[str, list[str]] = P.DIMENSIONS, document: str | None = None,
                          seed: int = 0) -> DataFrame:
-    """Up to ``count`` training records with valid signatures, from three times as many prompts."""
-    attempts = spark.range(1, 3 * count + 1).select(F.col("id").alias("attempt"))
-    prompts = P.signature_prompts(S.prompt_grid(attempts, dimensions, "attempt", seed), document)
-    replies = G.validate_signatures(P.apply_model(prompts, "prompt", model), "reply")
+    """Up to ``count`` training records with valid signatures. The model is asked ``count`` times, and
+    again, at most three times in all, while there are too few. Replies are written once."""
+    replies = None
+    for tried in range(3):
+        attempts = spark.range(tried * count + 1, (tried + 1) * count + 1).select(F.col("id").alias("attempt"))
+        prompts = P.signature_prompts(S.prompt_grid(attempts, dimensions, "attempt", seed), document)
+        made = stored(G.validate_signatures(P.apply_model(prompts, "prompt", model), "reply"))
+        replies = made if replies is None else replies.unionByName(made)
+        if replies.where("valid").count() >= count:
+            break
     accepted = S.accept_first(replies, count)
     made = accepted.withColumns({
         "instruction": F.concat_ws(" ", F.lit("Write a detection signature for"), "threat"),

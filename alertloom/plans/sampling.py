@@ -51,7 +51,7 @@ def eval_sample_stats(spark, sf):
 def ratio_mix(spark, sf):
     turns = N.table(spark, sf, "conversations").withColumn(
         "turn_id", F.col("conv_id") * 1000 + F.col("turn"))
-    frames = [turns.where(F.col("role") == r) for r in ("user", "assistant")]
+    frames = [turns.where(F.col("role") == "user"), turns.where(~F.col("role").eqNullSafe("user"))]
     return S.mix(frames, [0.75, 0.25], "turn_id").select("turn_id", "role")
 
 
@@ -161,9 +161,8 @@ ORACLES = {
                round(avg(threat_level), 6) AS avg_threat_level
         FROM inc GROUP BY GROUPING SETS ((), (category))""",
     "ratio_mix": """WITH t AS (SELECT conv_id * 1000 + turn AS turn_id, role FROM conversations),
-        r AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY md5('42|' || turn_id)) AS n,
-                     count(*) OVER (PARTITION BY role) AS total
-              FROM t WHERE role IN ('user', 'assistant'))
+        r AS (SELECT *, row_number() OVER (PARTITION BY role IS NOT DISTINCT FROM 'user' ORDER BY md5('42|' || turn_id)) AS n,
+                     count(*) OVER (PARTITION BY role IS NOT DISTINCT FROM 'user') AS total FROM t)
         SELECT turn_id, role FROM r
         WHERE n <= floor(total * CASE role WHEN 'user' THEN 0.75 ELSE 0.25 END)""",
     "label_shuffle": f"""WITH {ORDERS_SQL},

@@ -30,27 +30,25 @@ def expected(rows, n, seed=0):
 
 
 @pytest.mark.parametrize("n", [0, 7, 1500, 99_999])
-def test_global_take_both_ways(pool, monkeypatch, n):
+def test_global_take(pool, n):
     rows = pool.collect()
     assert ids(S.take_by_hash(pool, "incident_id", n=n)) == expected(rows, n)
-    monkeypatch.setattr(S, "MODERATE", -1)
-    assert ids(S.take_by_hash(pool, "incident_id", n=n)) == expected(rows, n)
 
 
 @pytest.mark.parametrize("n", [3, 1100, 1700])
-def test_take_per_group_both_ways(pool, monkeypatch, n):
+def test_take_per_group(pool, n):
     files = {}
     for r in pool.collect():
         files.setdefault(r["source_file"], []).append(r)
     want = sorted(i for rows in files.values() for i in expected(rows, n))
     assert ids(S.take_by_hash(pool, "incident_id", n=n, by=["source_file"])) == want
-    monkeypatch.setattr(S, "FEW", -1)
-    assert ids(S.take_by_hash(pool, "incident_id", n=n, by=["source_file"])) == want
 
 
-def test_few_rows_per_group_are_cut_before_the_shuffle(pool):
-    plan = S.take_by_hash(pool, "incident_id", n=3, by=["source_file"])._jdf.queryExecution().toString()
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+def test_rows_behind_the_last_slot_are_dropped_before_ranking(pool):
+    for by in ([], ["source_file"]):
+        plan = S.take_by_hash(pool, "incident_id", n=3, by=by)._jdf.queryExecution().optimizedPlan().toString()
+        ranking = plan.index("row_number")
+        assert "<=" in plan[ranking:] and "_slot" in plan[ranking:] and plan.count("Join") <= len(by)
 
 
 def test_sample_follows_its_filters(pool):
