@@ -17,7 +17,7 @@ from alertloom.llm.quality import held_out
 from alertloom.session import stored
 
 #: Most frequent tokens whose counts are sent to the tasks, at most; the others are joined.
-HEAD = 1 << 20
+HEAD = 1 << 18
 #: Word classes, rows of hashed features, tokens of one update.
 CLASSES, ROWS, STEP = 32, 1 << 14, 8192
 #: The end of a text is a token of its own: a byte that no UTF-8 text holds.
