@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.session import stored
@@ -19,6 +21,13 @@ _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 2**64)
 
 
+def with_package(spark: SparkSession) -> SparkSession:
+    """The session, whose Python workers look for this package where the driver has it too, also
+    when the driver was started in another folder. On a cluster that ships it, nothing changes."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    return spark
+
+
 def text_of(column: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -77,6 +86,17 @@ def as_signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join with an aggregate by the same keys, whose hot keys Spark can split.
+
+    By itself Spark leaves both sides where the aggregation put them, and then all rows of a key
+    meet in one task. A second key, made from the others, has it exchange both sides for the
+    join alone.
+    """
+    again = F.xxhash64(*on)
+    return left.withColumn("_again", again).join(right.withColumn("_again", again), [*on, "_again"], how).drop("_again")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of a graph given by its edges of long node numbers.
 
@@ -94,11 +114,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # Larger neighbours of u go to the least node around u.
         both = links.union(links.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(
+        large = split_join(both.where(F.col("v") > F.col("u")), least, ["u"]).select(
             F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Smaller neighbours of u, and u itself, go to the least of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(
+        small = split_join(large, least, ["u"]).select(
             F.explode(F.array(F.struct("u", F.col("m").alias("v")),
                               F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
         ).select("e.*").where(F.col("u") != F.col("v")).distinct()
