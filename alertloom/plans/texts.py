@@ -85,13 +85,13 @@ def signature_hits(spark, sf):
 
 
 FEED = [
-    (r"https:\/\/.*\.html", "page over https"),
-    (r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "address"),
-    (r"(?s:http.*utm)", "tracked"),
-    (r"[^/]+\?page=", "page number"),
-    (r"en/[0-9]+", "English"),
-    (r"([a-zA-Z0-9_-]+\.)+[a-zA-Z0-9_-]+", "domain"),
-    (r"broken(", "no pattern"),
+    (r"^http://m[.]", "mobile without encryption"),
+    (r"/(de|es)/\d+", "German or Spanish"),
+    (r"pills|casino", "shop"),
+    (r"utm_\w+=feed$", "came by a feed"),
+    (r"[.]org/[a-z]{2}/\d*7\b", "ends in seven"),
+    (r"#top$", "to the top"),
+    (r"unclosed[", "no pattern"),
 ]
 
 
