@@ -222,6 +222,34 @@ def filled_cells(spark, sf):
     return R.model_by_category(N.judge_results(spark, sf), [*N.MODELS, "never seen"]).where(R.filled_cell()).select("category", "model", "count")
 
 
+def _one_file_each(spark, sf):
+    """The benchmark texts as files, every fifth blank and every seventh of other items very long."""
+    path = new_folder(spark)
+    item = F.col("item_id")
+    text = F.when(item % 5 == 0, F.lit("  ")).when(item % 7 == 0, F.repeat("text", F.lit(3000))).otherwise(F.col("text"))
+    N.table(spark, sf, "benchmark").select(item.alias("name"), text.alias("value")).repartition("name").write.partitionBy("name").text(path)
+    return f"{path}/*/*.txt"
+
+
+def _named(df):
+    return df.withColumn("item_id", F.regexp_extract("source_file", "name=([0-9]+)", 1).cast("bigint")).drop("source_file")
+
+
+def signature_files(spark, sf):
+    return _named(B.read_signature_files(spark, _one_file_each(spark, sf))).select("item_id", F.md5("text").alias("text_md5"))
+
+
+def reference_documents(spark, sf):
+    path = _one_file_each(spark, sf)
+    read = _named(B.read_reference_documents(spark, path)).select("item_id", F.lit("read").alias("reason"), F.md5("text").alias("text_md5"))
+    left_out = _named(B.document_rejects(spark, path)).select("item_id", "reason", F.lit("").alias("text_md5"))
+    return read.unionByName(left_out)
+
+
+def prompt_files(spark, sf):
+    return _named(B.read_prompts(spark, _one_file_each(spark, sf))).select("item_id", F.md5("prompt").alias("prompt_md5"))
+
+
 def variation_prompts(spark, sf):
     valid = N.signature_replies(spark, sf).select("event_id", F.col("reply").alias("signature"))
     return P.variation_prompts(valid, "semantic", 3).select("event_id", F.col("prompt").contains(F.col("signature")).alias("holds"),
@@ -232,14 +260,21 @@ QUERIES = {f.__name__: f for f in (
     repeated_incidents, judge_repeats, spoiled_lines, json_outputs, rubric_assertions, signature_conditions, signature_rejects,
     signature_examples, feed_file, csv_table, nested_json, analysis_lines, analysis_document, judge_file, series_file,
     found_incident, pass_rate_without, category_cells, sample_per_file, model_file_names, reasoning_chats, hand_written_rows,
-    filled_cells, variation_prompts,
+    filled_cells, variation_prompts, signature_files, reference_documents, prompt_files,
 )}
 
 _FLOWS = f"""{EVENTS_SQL},
 flow AS (SELECT event_id, k, user_id % 7 AS net, upper(event_type) || ' ' || k AS payload, k + 1000 AS src_port,
                 CASE k % 3 WHEN 0 THEN 53 WHEN 1 THEN 80 ELSE 443 END AS dst_port FROM ev)"""
 
+_FILES = """WITH f AS (SELECT item_id, CASE WHEN item_id % 5 = 0 THEN '  ' WHEN item_id % 7 = 0 THEN repeat(text, 3000) ELSE text END AS t FROM benchmark),
+    b AS (SELECT *, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS bare FROM f)"""
+
 ORACLES = {
+    "signature_files": f"{_FILES} SELECT item_id, md5(bare) AS text_md5 FROM b WHERE bare <> ''",
+    "reference_documents": f"""{_FILES} SELECT item_id, CASE WHEN strlen(t) + 1 > 51200 THEN 'too large' WHEN bare = '' THEN 'blank' ELSE 'read' END AS reason,
+        CASE WHEN strlen(t) + 1 > 51200 OR bare = '' THEN '' ELSE md5(bare) END AS text_md5 FROM b""",
+    "prompt_files": f"{_FILES} SELECT item_id, md5(t || chr(10)) AS prompt_md5 FROM b",
     "repeated_incidents": f"""WITH {EVENTS_SQL},
         r AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END AS record FROM ranked),
         c AS (SELECT record, incident_id, count(*) AS n, count(DISTINCT (severity, target_summary)) AS g FROM r GROUP BY ALL),

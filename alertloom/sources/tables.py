@@ -112,14 +112,22 @@ def read_signature_files(spark: SparkSession, paths: str | list[str]) -> DataFra
 
 def read_reference_documents(spark: SparkSession, paths: str | list[str],
                              largest: int = LARGEST_DOCUMENT) -> DataFrame:
-    """Texts for a prompt; too large, blank or non-UTF-8 files yield no row."""
-    text = strip(F.try_validate_utf8(F.col("content").cast("string")))
-    return (
-        spark.read.format("binaryFile").load(paths)
-        .where(F.col("length") <= largest)
-        .select(F.col("path").alias("source_file"), text.alias("text"))
-        .where(F.col("text") != "")
-    )
+    """Texts for a prompt; too large, blank or non-UTF-8 files yield no row but one of
+    ``document_rejects``."""
+    return _documents(spark, paths, largest).where(F.col("reason").isNull()).select("source_file", "text")
+
+
+def document_rejects(spark: SparkSession, paths: str | list[str], largest: int = LARGEST_DOCUMENT) -> DataFrame:
+    """Files that ``read_reference_documents`` leaves out, and why."""
+    return _documents(spark, paths, largest).where(F.col("reason").isNotNull()).select("source_file", "reason")
+
+
+def _documents(spark: SparkSession, paths: str | list[str], largest: int) -> DataFrame:
+    small = F.col("length") <= largest
+    text = strip(F.try_validate_utf8(F.when(small, F.col("content")).cast("string")))
+    reason = F.when(~small, "too large").when(F.col("text").isNull(), "not UTF-8").when(F.col("text") == "", "blank")
+    return spark.read.format("binaryFile").load(paths).select(
+        F.col("path").alias("source_file"), "length", text.alias("text")).withColumn("reason", reason)
 
 
 def read_prompts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
