@@ -7,14 +7,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.llm.common import text_of
+from alertloom.session import stored
 
 OTHER = "(other)"
 
 
 def n_tokens(text: Column) -> Column:
     """Words of a text, split at ASCII white space."""
-    words = F.split(F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     ")), " +")
-    return F.when(F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     ")) == "", F.lit(0)).otherwise(F.size(words)).cast("long")
+    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def layout_topic(text: Column) -> Column:
@@ -58,8 +58,15 @@ def rake(mass: np.ndarray, targets: list[np.ndarray], rounds: int = 500, toleran
     return table
 
 
+def token_counts(docs: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
+    """Tokens by combination of values: a column for each dimension and ``tokens``. Written to the
+    checkpoint folder, so that texts are read once for targets and cells."""
+    return stored(docs.select(*[c.cast("string").alias(d) for d, c in dimensions.items()], n_tokens(text_of()).alias("tokens")).groupBy(
+        *dimensions).agg(F.sum("tokens").alias("tokens")))
+
+
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]], dimensions: dict[str, Column], *,
-        share: float | None = None, seed: str = "mix") -> DataFrame:
+        counts: DataFrame | None = None, share: float | None = None, seed: str = "mix") -> DataFrame:
     """Adds ``mix_weight``, ``mix_probability`` and ``sampled`` to the documents.
 
     ``targets`` gives for each dimension the wanted share of tokens by value; values not named
@@ -68,7 +75,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]], dimensions: dict[
     marginals. A cell's weight is its raked share by its own share. Documents are drawn with
     probabilities in proportion to the weights: scaled so that the heaviest cell is taken whole, or, with
     ``share``, so that about this share of all tokens is drawn. Probabilities end at 1 then, and
-    cells that reach it give less than their weight.
+    cells that reach it give less than their weight. ``counts`` are ``token_counts`` if already known.
 
     The draw compares a hash of ``seed``, id and text with the probability: a rerun draws the same rows, and
     rows that repeat id and text go together. No row is shuffled. Null values and values not
@@ -76,29 +83,27 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]], dimensions: dict[
     An empty table gives no rows. Columns of ``docs`` with the names of the three are replaced.
     """
     names = {d: [*[n for n in targets[d] if n != OTHER], OTHER] for d in dimensions}
-    text = text_of()
-    cells = {f"_c{k}": listed(dimensions[d].cast("string"), names[d]) for k, d in enumerate(dimensions)}
-    counts = docs.select(*[c.alias(n) for n, c in cells.items()], n_tokens(text).alias("_t")).groupBy(*cells).agg(
-        F.sum("_t").alias("t")).collect()
+    counts = token_counts(docs, dimensions) if counts is None else counts
+    cells = counts.groupBy(*[listed(F.col(d), names[d]).alias(d) for d in dimensions]).agg(F.sum("tokens").alias("tokens")).collect()
     mass = np.zeros([len(names[d]) for d in dimensions])
-    for row in counts:
-        mass[tuple(names[d].index(row[f"_c{k}"]) for k, d in enumerate(dimensions))] = row["t"] or 0
+    for row in cells:
+        mass[tuple(names[d].index(row[d]) for d in dimensions)] = row["tokens"] or 0
     wanted = [np.array([targets[d].get(n, 0.0) for n in names[d]]) for d in dimensions]
     raked = rake(mass, wanted)
     own = mass / max(mass.sum(), 1)
     weight = np.divide(raked, own, out=np.ones_like(own), where=own > 0)
     probability = np.minimum(1.0, weight * scale_of(weight, own, share))
-    entries = [F.lit(x) for key in np.ndindex(mass.shape) for x in (
-        "|".join(str(i) for i in key), float(weight[key]))]
-    chances = [F.lit(x) for key in np.ndindex(mass.shape) for x in (
-        "|".join(str(i) for i in key), float(probability[key]))]
-    place = F.concat_ws("|", *[
-        (F.array_position(F.array(*[F.lit(n) for n in names[d]]), cells[f"_c{k}"]) - 1).cast("string")
-        for k, d in enumerate(dimensions)])
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), text), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    added = {"mix_weight": F.try_element_at(F.create_map(*entries), F.col("cell")),
-             "mix_probability": F.try_element_at(F.create_map(*chances), F.col("cell")),
-             "sampled": F.col("draw") < F.try_element_at(F.create_map(*chances), F.col("cell"))}
+
+    place = F.lit(0)
+    for d, c in dimensions.items():
+        at = F.array_position(F.array(*[F.lit(n) for n in names[d]]), listed(c.cast("string"), names[d])).cast("int") - 1
+        place = place * len(names[d]) + at
+
+    def of_cell(table: np.ndarray) -> Column:
+        return F.get(F.array(*[F.lit(float(x)) for x in table.ravel()]), F.col("cell"))
+
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), text_of()), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    added = {"mix_weight": of_cell(weight), "mix_probability": of_cell(probability), "sampled": F.col("draw") < of_cell(probability)}
     kept = [F.col("row").getField(name).alias(name) for name in docs.columns if name.lower() not in added]
     return docs.select(F.struct("*").alias("row"), place.alias("cell"), draw.alias("draw")).select(
         *kept, *[c.alias(name) for name, c in added.items()])
@@ -118,14 +123,14 @@ def scale_of(weight: np.ndarray, own: np.ndarray, share: float | None) -> float:
     return high
 
 
-def tempered(docs: DataFrame, value: Column, power: float, most: int = 64) -> dict[str, float]:
+def tempered(counts: DataFrame, dimension: str, power: float, most: int = 64) -> dict[str, float]:
     """Targets in proportion to a power of the token counts, for the ``most`` largest values.
 
     The others, and null, are left to ``(other)`` with the power of their common count.
     """
-    counts = docs.groupBy(value.cast("string").alias("v")).agg(F.sum(n_tokens(text_of())).alias("t"))
-    total = counts.agg(F.sum("t")).first()[0] or 0
-    top = counts.where("v IS NOT NULL AND t > 0").orderBy(F.desc("t"), "v").limit(most).collect()
+    by_value = counts.groupBy(F.col(dimension).alias("v")).agg(F.sum("tokens").alias("t"))
+    total = by_value.agg(F.sum("t")).first()[0] or 0
+    top = by_value.where("v IS NOT NULL AND t > 0").orderBy(F.desc("t"), "v").limit(most).collect()
     rest = total - sum(r["t"] for r in top)
     found = {r["v"]: float(r["t"]) ** power for r in top} | {OTHER: float(max(rest, 0)) ** power if rest > 0 else 0.0}
     whole = sum(found.values()) or 1.0
@@ -142,6 +147,6 @@ def mixed_documents(docs: DataFrame, power: float = 0.7, share: float = 0.8) ->
     topics those of ``TOPIC_TARGETS``; about ``share`` of all tokens is drawn.
     """
     dimensions = {"source": F.col("source"), "lang": F.col("lang"), "topic": layout_topic(text_of())}
-    targets = {"source": tempered(docs, F.col("source"), power), "lang": tempered(docs, F.col("lang"), power, 16),
-               "topic": TOPIC_TARGETS}
-    return mix(docs, targets, dimensions, share=share)
+    counts = token_counts(docs, dimensions)
+    targets = {"source": tempered(counts, "source", power), "lang": tempered(counts, "lang", power, 16), "topic": TOPIC_TARGETS}
+    return mix(docs, targets, dimensions, counts=counts, share=share)
