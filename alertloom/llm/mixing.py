@@ -20,9 +20,7 @@ def n_tokens(text: Column) -> Column:
 def layout_topic(text: Column) -> Column:
     """A topic by layout: rows of a table, shouting, marked words or prose."""
     size = F.greatest(F.char_length(text), F.lit(1))
-    bars = F.char_length(text) - F.char_length(F.translate(text, "|", ""))
-    marks = F.char_length(text) - F.char_length(F.translate(text, "*&%$#", ""))
-    capitals = F.char_length(text) - F.char_length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+    bars, marks, capitals = (F.regexp_count(text, F.lit(p)) for p in (r"[|]", r"[*&%$#]", r"[A-Z]"))
     return (F.when(bars * 50 > size, "table").when(capitals * 3 > size, "shouting").when(marks * 10 > size, "marked").otherwise("prose"))
 
 
