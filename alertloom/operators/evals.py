@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from alertloom.session import stored
+
 
 # From how many tokens per second a model counts as fast, and how many of the
 # suites, in name order, the mean takes in when asked to leave the last one out.
@@ -55,7 +57,9 @@ def speed_of_best(best: DataFrame, bench: DataFrame) -> DataFrame:
 
 
 def best_fast_per_suite(long: DataFrame, bench: DataFrame, threshold: float = FAST) -> DataFrame:
-    """Best provider of each suite beside the best among those that are fast and best somewhere."""
+    """Best provider of each suite beside the best among those that are fast and best somewhere. The
+    scores, a row for each provider and suite, are read three times and so written once."""
+    long = stored(long)
     best = best_per_suite(long)
     fast = speed_of_best(best, bench).where(F.col("tokens_per_second") > threshold)
     quick = best_per_suite(
