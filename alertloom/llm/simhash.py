@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import as_signed, components, row_key, text_of
+from alertloom.llm.common import as_signed, components, row_key, split_join, text_of
 from alertloom.session import stored
 
 #: Keys with more fingerprints than this are split once more.
@@ -145,7 +145,7 @@ def fingerprint_links(distinct: DataFrame, distance: int = 3, blocks: int = 6, s
     masks = block_masks(bits, blocks, distance)
     keyed = distinct.select("fp", _keys(masks, F.col("fp")).alias("k")).select("fp", "k.t", "k.key")
     counts = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    keyed = stored(keyed.join(counts, ["t", "key"]))
+    keyed = stored(split_join(keyed, counts, ["t", "key"]))
     whole = keyed.where(F.col("n") <= large).select("t", "key", F.lit(-1).alias("s"), F.lit(0).cast("long").alias("sub"), "fp")
     subs = F.array(*[F.array(*[F.lit(_signed(m)) for m in block_masks([b for b in bits if not mask >> b & 1], sub_blocks, distance)])
                      for mask in masks])
@@ -178,7 +178,7 @@ def _grouped(docs: DataFrame, distance: int, width: int, seed: int) -> DataFrame
     roots = distinct.join(found, distinct.fp == found.node, "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     names = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = roots.join(names, "root").select("fp", "component_id")
+    named = split_join(roots, names, ["root"]).select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "key", "fp", "component_id")
 
 
