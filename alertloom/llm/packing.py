@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ class WordEncoder:
 
     TAIL = b".,!*&%$#|;:?)"
 
-    def __init__(self, spec: str, most_words: int = 1_500_000) -> None:
+    def __init__(self, spec: str, most_words: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
@@ -105,15 +106,24 @@ class WordEncoder:
         total = int(ends[-1]) if len(ends) else 0
         return self.ids[np.repeat(self.starts[rows] - (ends - lengths), lengths) + np.arange(total)]
 
-    def __call__(self, text: bytes) -> np.ndarray:
-        words = text.split()
+    def many(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text. New words of all of them are learned together."""
         if len(self.rows) > self.most_words:
             self.clear()
+        split = [text.split() for text in texts]
+        words = list(chain.from_iterable(split))
         rows = list(map(self.rows.get, words))
         if None in rows:
-            self._learn(list({w for w, r in zip(words, rows) if r is None}))
-            rows = list(map(self.rows.__getitem__, words))
-        return self.gather(np.array(rows, np.int64))
+            new = [k for k, row in enumerate(rows) if row is None]
+            self._learn(list({words[k] for k in new}))
+            for k in new:
+                rows[k] = self.rows[words[k]]
+        at = np.array(rows, np.int64)
+        ends = np.concatenate([[0], np.cumsum(self.lengths[at])])[np.cumsum([len(w) for w in split])]
+        return np.split(self.gather(at), ends[:-1])
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        return self.many([text])[0]
 
 
 _ENCODERS: dict[int, WordEncoder] = {}
@@ -140,6 +150,20 @@ def blocks_of(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
     yield text[begin:]
 
 
+def _grouped(texts: Iterable[bytes], size: int = 1 << 16) -> Iterator[list[tuple[bytes, bool]]]:
+    """Blocks of the texts, each with whether it is the last of its text, in lists of about ``size`` bytes."""
+    group, room = [], size
+    for text in texts:
+        for block in (blocks := list(blocks_of(text))):
+            group.append((block, block is blocks[-1]))
+            room -= len(block)
+            if room < 0:
+                yield group
+                group, room = [], size
+    if group:
+        yield group
+
+
 def token_pieces(docs: DataFrame, spec: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """Pieces of the documents' token ids: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``.
 
@@ -151,21 +175,22 @@ def token_pieces(docs: DataFrame, spec: str, capacity: int = 4096, end_id: int =
     sent = docs.sparkSession.sparkContext.broadcast(spec)
 
     def pieces(batches):
-        encode = encoder_of(sent.value)
+        encoder = encoder_of(sent.value)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids = batch.column(0)
             out: dict[str, list] = {k: [] for k in ("row", "piece", "start", "length", "crc")}
-            for row in range(batch.num_rows):
-                rest, at = np.zeros(0, np.uint32), 0
-                text = texts[row].as_buffer().to_pybytes()
-                for block in blocks_of(text):
-                    rest = np.concatenate([rest, encode(block)])
+            row, rest, at = 0, np.zeros(0, np.uint32), 0
+            for blocks in _grouped(t.as_buffer().to_pybytes() for t in batch.column(1)):
+                for (_, last), found in zip(blocks, encoder.many([b for b, _ in blocks])):
+                    rest = np.concatenate([rest, found])
                     whole = len(rest) // capacity
                     for k in range(whole):
                         _add(out, row, at, rest[k * capacity:(k + 1) * capacity], capacity)
                         at += capacity
                     rest = rest[whole * capacity:]
-                _add(out, row, at, np.append(rest, np.uint32(end_id)), capacity)
+                    if last:
+                        _add(out, row, at, np.append(rest, np.uint32(end_id)), capacity)
+                        row, rest, at = row + 1, np.zeros(0, np.uint32), 0
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(out["row"], pa.int32())), pa.array(out["piece"], pa.int32()),
                  pa.array(out["start"], pa.int64()), pa.array(out["length"], pa.int64()),
@@ -234,7 +259,7 @@ def fractional_round(counts: np.ndarray, steps: int, pace: float) -> list[tuple[
     return [(np.frombuffer(key, np.int64), times / most) for key, times in used.items()]
 
 
-def packing_plan(counts: np.ndarray, steps: int = 700, rounds: int = 3, pace: float = 0.5) -> list[tuple[np.ndarray, int]]:
+def packing_plan(counts: np.ndarray, steps: int = 500, rounds: int = 3, pace: float = 0.5) -> list[tuple[np.ndarray, int]]:
     """Patterns and how many sequences have each, for ``counts[size]`` pieces of each size.
 
     Rounds of the fractional program, each rounded down; what is left goes to sequences filled
