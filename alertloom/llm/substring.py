@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import as_signed, mixed, span_hashes, text_of, word_spans
+from alertloom.llm.common import as_signed, mixed, span_hashes, split_join, text_of, word_spans
 from alertloom.llm.packing import blocks_of
 from alertloom.session import stored
 
@@ -296,11 +296,11 @@ def without_repeats(docs: DataFrame, window: int = 35, anchor: int = ANCHOR, lar
     scan = keyed.select("id", "k", "text").mapInArrow(
         _segments(window, anchor), "anchor long, seg long, id long, k long, place long")
     often = scan.select("anchor").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    found = stored(scan.join(often, "anchor", "left_semi"))
+    found = stored(split_join(scan, often, ["anchor"], "left_semi"))
     place = F.struct("id", "k", "place")
     segments = stored(found.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")))
     around = segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("around")).where("around > 1")
-    wanted = segments.join(around, "anchor").select("first.*", "anchor", "seg", "n", "around")
+    wanted = split_join(segments, around, ["anchor"]).select("first.*", "anchor", "seg", "n", "around")
     wanted = wanted.groupBy("id", "k").agg(F.collect_list(F.struct("place", "anchor", "seg", "n", "around")).alias("wanted"))
     packed = keyed.select("id", "k", F.col("text").cast("binary").alias("text"), "doc_id").mapInArrow(
         _packed, "id long, k long, text binary, doc_id long")
@@ -315,7 +315,7 @@ def without_repeats(docs: DataFrame, window: int = 35, anchor: int = ANCHOR, lar
         marks, ["route", "seg"]).select("id", "k", "place", "mask")
     windows = cut.where("words IS NULL").select("route", "id", "k", "place", "times").distinct()
     again = windows.groupBy("route").agg(F.sum("times").alias("n")).where("n > 1").drop("n")
-    heavy = windows.where("times = 1").join(again, "route", "left_semi").select("id", "k", "place", F.lit(1).cast("long").alias("mask"))
+    heavy = split_join(windows.where("times = 1"), again, ["route"], "left_semi").select("id", "k", "place", F.lit(1).cast("long").alias("mask"))
     whole = found.join(segments.where("n > 1").select("anchor", "seg"), ["anchor", "seg"], "left_semi").select(
         "id", "k", "place", (F.expr(f"shiftleft(1L, CAST((place & 255) - {window - 1} AS int))") - 1).alias("mask"))
     covers = light.union(heavy).union(whole).distinct().groupBy("id", "k").agg(
