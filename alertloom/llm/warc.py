@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from alertloom.functions.once import evaluated_once
+
 # Names of character references, without those of the ampersand, which come last.
 ENTITIES = {
     "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "reg": "®", "middot": "·",
@@ -45,28 +47,43 @@ def unescaped(text: Column) -> Column:
 
     Each reference is read once: those of the ampersand come last.
     """
-    for name, char in ENTITIES.items():
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    for pattern, base in ((r"&#([0-9]{1,7});", 10), (r"&#[xX]([0-9a-fA-F]{1,6});", 16)):
-        found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-        text = F.aggregate(found, text, _numbered(base))
+    return F.when(text.contains("&"), _ampersands_read(_numbers_read(_names_read(text)))).otherwise(text)
+
+
+def _names_read(text: Column) -> Column:
+    chars = F.create_map(*[F.lit(x) for name, char in ENTITIES.items() for x in (f"&{name};", char)])
+    named = F.array_distinct(F.regexp_extract_all(text, F.lit("&[a-z]+;"), F.lit(0)))
+    return F.aggregate(named, text, lambda a, x: F.coalesce(F.replace(a, x, F.try_element_at(chars, x)), a))
+
+
+def _ampersands_read(text: Column) -> Column:
     return F.regexp_replace(text, r"&(amp|#0*38|#[xX]0*26);", "&")
 
 
-def plain_text(html: Column) -> Column:
-    """What a reader sees of a page, a line for each block.
+def _numbers_read(text: Column) -> Column:
+    read = text
+    for pattern, base in ((r"&#([0-9]{1,7});", 10), (r"&#[xX]([0-9a-fA-F]{1,6});", 16)):
+        found = F.array_distinct(F.regexp_extract_all(read, F.lit(pattern), F.lit(0)))
+        read = F.aggregate(found, read, _numbered(base))
+    return F.when(text.contains("&#"), read).otherwise(text)
+
+
+def with_plain_text(pages: DataFrame, html: str, name: str) -> DataFrame:
+    """Adds what a reader sees of a page, a line for each block.
 
     Comments, scripts, styles and the title are left out, tags of blocks end a line, other tags go,
-    character references are read, runs of blanks and of line ends become one.
+    character references are read, runs of blanks and of line ends become one. Each step that a later one
+    reads more than once is worked out once.
     """
-    text = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    for name in UNREAD:
-        text = F.regexp_replace(text, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", " ")
+    text = F.regexp_replace(F.col(html), r"(?s)<!--.*?-->", " ")
+    text = F.regexp_replace(text, rf"(?is)<({'|'.join(UNREAD)})\b[^>]*>.*?</\1\s*>", " ")
     text = F.regexp_replace(text, r"[\x09-\x0D ]+", " ")
     text = F.regexp_replace(text, rf"(?i)</?({BREAKS})\b[^>]*>", "\n")
-    text = unescaped(F.regexp_replace(text, r"<[a-zA-Z/!?][^>]*>", ""))
-    text = F.regexp_replace(text, r"[ \x09\x0B-\x0D]+", " ")
-    return F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+    flat = evaluated_once(pages, {"_flat": F.regexp_replace(text, r"<[a-zA-Z/!?][^>]*>", "")})
+    named = evaluated_once(flat, {"_named": _names_read(F.col("_flat"))})
+    text = F.regexp_replace(_ampersands_read(_numbers_read(F.col("_named"))), r"[ \x09\x0B-\x0D]+", " ")
+    text = F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+    return evaluated_once(named, {name: text}).drop("_flat", "_named")
 
 
 def responses(pages: DataFrame, date: str) -> DataFrame:
@@ -105,7 +122,8 @@ def derivatives(records: DataFrame) -> DataFrame:
     title = F.trim(F.regexp_replace(unescaped(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)), blanks, " "))
     language = F.regexp_extract(F.regexp_extract(html, r"(?is)<html\b[^>]*>", 0), r"""(?i)\blang\s*=\s*["']?([a-zA-Z-]+)""", 1)
     links = F.regexp_extract_all(html, F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""), F.lit(1))
-    base = base.select("*", plain_text(html).alias("_text"), title.alias("_title"), language.alias("_lang"), links.alias("_links"))
+    base = with_plain_text(base, "payload", "_text")
+    base = evaluated_once(base, {"_title": title, "_lang": language, "_links": links})
     lines = F.concat_ws(
         "", F.lit("title: "), F.col("_title"), F.lit("\r\nlanguage: "), F.col("_lang"), F.lit("\r\nlinks: "),
         F.size("_links").cast("string"), F.lit("\r\ncharacters: "), F.char_length("_text").cast("string"), F.lit("\r\n"),
@@ -116,10 +134,11 @@ def derivatives(records: DataFrame) -> DataFrame:
         return F.struct(F.lit(kind).alias("record_type"), ids[kind].alias("record_id"), ids[other].alias("concurrent_to"),
                         F.lit(content_type).alias("content_type"), block.alias("block"))
 
-    both = F.array(derived("metadata", "conversion", "application/warc-fields", lines),
+    base = evaluated_once(base, {"_lines": lines, "_digest": labelled_digest(html)})
+    both = F.array(derived("metadata", "conversion", "application/warc-fields", F.col("_lines")),
                    derived("conversion", "metadata", "text/plain; charset=UTF-8", F.col("_text")))
     return base.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", "warc_date",
-                       F.col("headers").alias("source_headers"), labelled_digest(html).alias("source_digest"),
+                       F.col("headers").alias("source_headers"), F.col("_digest").alias("source_digest"),
                        F.explode(both).alias("d")).select(
         "page_id", "d.record_type", "d.record_id", "refers_to", "d.concurrent_to", "target_uri", "warc_date", "d.content_type",
         F.octet_length("d.block").cast("long").alias("content_length"), labelled_digest(F.col("d.block")).alias("block_digest"),
