@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import text_of
+from alertloom.llm.common import split_join, text_of
 from alertloom.session import stored
 
 OTHER = "(other)"
+#: Cells raked on the driver and sent to the tasks, at most.
+ON_DRIVER = 1 << 17
 
 
 def n_tokens(text: Column) -> Column:
@@ -36,26 +39,61 @@ def rake(mass: np.ndarray, targets: list[np.ndarray], rounds: int = 500, toleran
     Iterative proportional fitting: one axis at a time, again and again. Targets of slices
     without mass are spread over the rest, since nothing can be scaled to them.
     """
+    return rake_cells(mass.ravel(), list(np.indices(mass.shape).reshape(mass.ndim, -1)), targets, rounds, tolerance).reshape(mass.shape)
+
+
+def rake_cells(mass: np.ndarray, places: list[np.ndarray], targets: list[np.ndarray], rounds: int = 500,
+               tolerance: float = 1e-9) -> np.ndarray:
+    """``rake`` of listed cells: ``places`` has the number of each cell's slice along each axis."""
     table = mass / max(mass.sum(), 1e-300)
-    axes = range(table.ndim)
+    axes = range(len(targets))
 
     def margin(k: int) -> np.ndarray:
-        return table.sum(axis=tuple(a for a in axes if a != k))
+        return np.bincount(places[k], table, len(targets[k])).astype(np.float64)
 
     wanted = []
     for k in axes:
         want = np.where(margin(k) > 0, targets[k], 0.0)
         wanted.append(want / want.sum() if want.sum() > 0 else margin(k))
-    for _ in range(rounds):
+    for _ in range(rounds if len(table) else 0):
         for k in axes:
             now = margin(k)
-            factor = np.divide(wanted[k], now, out=np.zeros_like(now), where=now > 0)
-            table = table * factor.reshape([-1 if a == k else 1 for a in axes])
+            table = table * np.divide(wanted[k], now, out=np.zeros_like(now), where=now > 0)[places[k]]
         if max(np.abs(margin(k) - wanted[k]).max() for k in axes) < tolerance:
             break
     return table
 
 
+def rake_table(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 500, tolerance: float = 1e-9) -> DataFrame:
+    """``rake`` of a table of any number of cells: a column for each dimension and ``tokens``.
+
+    Adds ``own`` and ``raked``, shares of the whole. ``targets`` has ``value`` and ``target`` for each
+    dimension. Each step is a grouped sum by one dimension and a join with it, written to the checkpoint folder.
+    """
+    dimensions = list(targets)
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    if not total:
+        return cells.withColumns({"own": F.lit(0.0), "raked": F.lit(0.0)})
+    table = stored(cells.withColumn("own", F.col("tokens") / F.lit(float(total))).withColumn("raked", F.col("own")))
+    wanted = {}
+    for d in dimensions:
+        there = table.groupBy(d).agg(F.sum("raked").alias("m")).join(targets[d].withColumnRenamed("value", d), d, "left").select(
+            d, "m", F.when(F.col("m") > 0, F.coalesce("target", F.lit(0.0))).otherwise(0.0).alias("want"))
+        there = stored(there)
+        whole = there.agg(F.sum("want")).first()[0] or 0.0
+        wanted[d] = stored(there.select(d, (F.col("want") / F.lit(whole) if whole > 0 else F.col("m")).alias("want")))
+    for _ in range(rounds):
+        for d in dimensions:
+            now = table.groupBy(d).agg(F.sum("raked").alias("m"))
+            factor = now.join(wanted[d], d).select(d, F.when(F.col("m") > 0, F.col("want") / F.col("m")).otherwise(0.0).alias("f"))
+            table = stored(split_join(table, factor, [d]).withColumn("raked", F.col("raked") * F.col("f")).drop("f"))
+        gaps = [table.groupBy(d).agg(F.sum("raked").alias("m")).join(wanted[d], d).agg(F.max(F.abs(F.col("m") - F.col("want")))).first()[0]
+                for d in dimensions]
+        if max(gaps) < tolerance:
+            break
+    return table
+
+
 def token_counts(docs: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
     """Tokens by combination of values: a column for each dimension and ``tokens``. Written to the
     checkpoint folder, so that texts are read once for targets and cells."""
@@ -63,76 +101,76 @@ def token_counts(docs: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
         *dimensions).agg(F.sum("tokens").alias("tokens")))
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]], dimensions: dict[str, Column], *,
-        counts: DataFrame | None = None, share: float | None = None, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict[str, float] | DataFrame], dimensions: dict[str, Column], *,
+        counts: DataFrame | None = None, share: float | None = None, seed: str = "mix", on_driver: int = ON_DRIVER) -> DataFrame:
     """Adds ``mix_weight``, ``mix_probability`` and ``sampled`` to the documents.
 
-    ``targets`` gives for each dimension the wanted share of tokens by value; values not named
-    share the weight under ``(other)``. The tokens by cell (a combination of named values) are
-    summed by Spark; the table of cells, bounded by the targets, is raked on the driver to all
-    marginals. A cell's weight is its raked share by its own share. Documents are drawn with
-    probabilities in proportion to the weights: scaled so that the heaviest cell is taken whole, or, with
-    ``share``, so that about this share of all tokens is drawn. Probabilities end at 1 then, and
-    cells that reach it give less than their weight. ``counts`` are ``token_counts`` if already known.
-
-    The draw compares a hash of ``seed``, id and text with the probability: a rerun draws the same rows, and
-    rows that repeat id and text go together. No row is shuffled. Null values and values not
-    named go to ``(other)``; null text has no tokens, and a cell without tokens has weight 1.
-    An empty table gives no rows. Columns of ``docs`` with the names of the three are replaced.
+    ``targets`` gives for each dimension the wanted share of tokens by value: a dictionary, whose
+    unnamed values share the weight under ``(other)``, or a table ``value``, ``target`` of all values.
+    The tokens by cell (a combination of values that occurs) are summed by Spark and raked to all
+    marginals: on the driver up to ``on_driver`` cells, else as a Spark table; the results are the same.
+    A cell's weight is its raked share by its own share. Each document has an expected number of
+    copies in proportion to the weight: scaled so that the heaviest cell is taken once, or, with
+    ``share``, so that this share of all tokens is drawn, repeats counted. ``sampled`` draws it,
+    at most once: cells above 1 give less than their weight.
+
+    The draw compares a hash of ``seed``, id and text with the fraction: a rerun draws the same rows, and
+    rows that repeat id and text go together. No row is shuffled up to ``on_driver`` cells; more cells are joined.
+    Null values, and values that a dictionary does not name, go to ``(other)``; null text has no tokens, and a cell
+    without tokens has weight 1. An empty table gives no rows. Columns of ``docs`` with the names of the four are replaced.
     """
-    names = {d: [*[n for n in targets[d] if n != OTHER], OTHER] for d in dimensions}
-    counts = token_counts(docs, dimensions) if counts is None else counts
-    cells = counts.groupBy(*[listed(F.col(d), names[d]).alias(d) for d in dimensions]).agg(F.sum("tokens").alias("tokens")).collect()
-    mass = np.zeros([len(names[d]) for d in dimensions])
-    for row in cells:
-        mass[tuple(names[d].index(row[d]) for d in dimensions)] = row["tokens"] or 0
-    wanted = [np.array([targets[d].get(n, 0.0) for n in names[d]]) for d in dimensions]
-    raked = rake(mass, wanted)
-    own = mass / max(mass.sum(), 1)
-    weight = np.divide(raked, own, out=np.ones_like(own), where=own > 0)
-    probability = np.minimum(1.0, weight * scale_of(weight, own, share))
-
-    place = F.lit(0)
-    for d, c in dimensions.items():
-        at = F.array_position(F.array(*[F.lit(n) for n in names[d]]), listed(c.cast("string"), names[d])).cast("int") - 1
-        place = place * len(names[d]) + at
-
-    def of_cell(table: np.ndarray) -> Column:
-        return F.get(F.array(*[F.lit(float(x)) for x in table.ravel()]), F.col("cell"))
+    spark = docs.sparkSession
+
+    def value(d: str, column: Column) -> Column:
+        return listed(column, list(targets[d])) if isinstance(targets[d], dict) else F.coalesce(column, F.lit(OTHER))
 
+    wanted = {d: spark.createDataFrame([(v, float(t)) for v, t in ({OTHER: 0.0} | targets[d]).items()], "value string, target double")
+              if isinstance(targets[d], dict) else targets[d] for d in dimensions}
+    counts = token_counts(docs, dimensions) if counts is None else counts
+    cells = stored(counts.groupBy(*[value(d, F.col(d)).alias(d) for d in dimensions]).agg(
+        F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")))
+    few = cells.count() <= on_driver
+    raked = rake_here(cells, wanted) if few else rake_table(cells, wanted)
+    scale = F.lit(share)
+    weight = F.when(F.col("own") > 0, F.col("raked") / F.col("own")).otherwise(1.0)
+    if share is None:
+        scale = F.lit(1.0 / (raked.where("own > 0").agg(F.max(weight)).first()[0] or 1.0))
+    names = [f"_cell_{k}" for k in range(len(dimensions))]
+    weights = raked.select(*[F.col(d).alias(n) for d, n in zip(dimensions, names)], weight.alias("_weight"))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), text_of()), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    added = {"mix_weight": of_cell(weight), "mix_probability": of_cell(probability), "sampled": F.col("draw") < of_cell(probability)}
+    placed = docs.select(F.struct("*").alias("row"), draw.alias("draw"), *[value(d, c.cast("string")).alias(n) for (d, c), n in zip(dimensions.items(), names)])
+    placed = placed.join(F.broadcast(weights) if few else weights, names, "left").withColumn("_weight", F.coalesce("_weight", F.lit(1.0)))
+    # A product of inverses can end a rounding error above the whole number.
+    expected = F.round(F.col("_weight") * scale, 12)
+    added = {"mix_weight": F.col("_weight"), "mix_probability": F.least(expected, F.lit(1.0)), "sampled": F.col("draw") < expected}
     kept = [F.col("row").getField(name).alias(name) for name in docs.columns if name.lower() not in added]
-    return docs.select(F.struct("*").alias("row"), place.alias("cell"), draw.alias("draw")).select(
-        *kept, *[c.alias(name) for name, c in added.items()])
+    return placed.select(*kept, *[c.alias(name) for name, c in added.items()])
 
 
-def scale_of(weight: np.ndarray, own: np.ndarray, share: float | None) -> float:
-    """The factor from weights to probabilities."""
-    there = own > 0
-    if not there.any():
-        return 1.0
-    if share is None:
-        return 1.0 / weight[there].max()
-    low, high = 0.0, 1.0 / max(weight[there & (weight > 0)].min(), 1e-12)
-    for _ in range(100):  # the drawn share grows with the factor
-        middle = (low + high) / 2
-        low, high = (middle, high) if (own * np.minimum(1, weight * middle)).sum() < share else (low, middle)
-    return high
+def rake_here(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """``rake_table`` on the driver."""
+    spark, found = cells.sparkSession, cells.toPandas()
+    mass = found["tokens"].to_numpy(np.float64)
+    places, wanted = [], []
+    for d, target in targets.items():
+        place, values = pd.factorize(found[d], sort=True)
+        aims = target.join(F.broadcast(cells.select(F.col(d).alias("value")).distinct()), "value", "left_semi").toPandas().set_index("value")["target"]
+        places.append(place)
+        wanted.append(aims.reindex(values).fillna(0.0).to_numpy(np.float64))
+    rows = [(*names, float(own), float(raked)) for *names, own, raked in zip(
+        *[found[d] for d in targets], mass / max(mass.sum(), 1), rake_cells(mass, places, wanted))]
+    return spark.createDataFrame(rows, ", ".join([*[f"`{d}` string" for d in targets], "own double", "raked double"]))
 
 
-def tempered(counts: DataFrame, dimension: str, power: float, most: int = 64) -> dict[str, float]:
-    """Targets in proportion to a power of the token counts, for the ``most`` largest values.
+def tempered(counts: DataFrame, dimension: str, power: float) -> DataFrame:
+    """Targets in proportion to a power of the token counts, for every value: ``value``, ``target``.
 
-    The others, and null, are left to ``(other)`` with the power of their common count.
+    Null is a value of its own, ``(other)``.
     """
-    by_value = counts.groupBy(F.col(dimension).alias("v")).agg(F.sum("tokens").alias("t"))
-    total = by_value.agg(F.sum("t")).first()[0] or 0
-    top = by_value.where("v IS NOT NULL AND t > 0").orderBy(F.desc("t"), "v").limit(most).collect()
-    rest = total - sum(r["t"] for r in top)
-    found = {r["v"]: float(r["t"]) ** power for r in top} | {OTHER: float(max(rest, 0)) ** power if rest > 0 else 0.0}
-    whole = sum(found.values()) or 1.0
-    return {k: v / whole for k, v in found.items()}
+    by_value = stored(counts.groupBy(F.coalesce(F.col(dimension), F.lit(OTHER)).alias("value")).agg(F.sum("tokens").alias("t")).where(
+        "t > 0").select("value", F.pow("t", F.lit(power)).alias("p")))
+    whole = by_value.agg(F.sum("p")).first()[0] or 1.0
+    return by_value.select("value", (F.col("p") / F.lit(whole)).alias("target"))
 
 
 TOPIC_TARGETS = {"prose": 0.85, "table": 0.05, "marked": 0.05, "shouting": 0.05, OTHER: 0.0}
@@ -142,9 +180,9 @@ def mixed_documents(docs: DataFrame, power: float = 0.7, share: float = 0.8) ->
     """``mix`` over the documents' source, language and layout topic.
 
     Sources and languages get tempered targets (large ones less than their size, small ones more),
-    topics those of ``TOPIC_TARGETS``; about ``share`` of all tokens is drawn.
+    topics those of ``TOPIC_TARGETS``; about ``share`` of all tokens is drawn, repeats counted.
     """
     dimensions = {"source": F.col("source"), "lang": F.col("lang"), "topic": layout_topic(text_of())}
     counts = token_counts(docs, dimensions)
-    targets = {"source": tempered(counts, "source", power), "lang": tempered(counts, "lang", power, 16), "topic": TOPIC_TARGETS}
+    targets = {"source": tempered(counts, "source", power), "lang": tempered(counts, "lang", power), "topic": TOPIC_TARGETS}
     return mix(docs, targets, dimensions, counts=counts, share=share)

@@ -63,3 +63,18 @@ def test_topics_and_token_counts(spark):
     df = spark.createDataFrame([("a | b | c",), ("LOUD WORDS",), ("w&&& x***",), ("quiet words",), ("",), (" \n",)], "text string")
     rows = df.select(M.layout_topic(F.col("text")).alias("t"), M.n_tokens(F.col("text")).alias("n")).collect()
     assert [(r.t, r.n) for r in rows] == [("table", 5), ("shouting", 2), ("marked", 2), ("prose", 2), ("prose", 0), ("prose", 0)]
+
+
+def test_every_source_has_its_own_target(spark):
+    """200 equal sources: none is lumped with others, on the driver or as a table."""
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("w w w").alias("text"), F.lit("en").alias("lang"),
+                                  F.concat(F.lit("s"), F.col("id") % 200).alias("source"), F.lit(5).alias("n_chars"))
+    weights = [r.mix_weight for r in M.mixed_documents(df).select("mix_weight").distinct().collect()]
+    assert np.allclose(weights, 1)
+    dimensions = {"source": F.col("source"), "lang": F.when(F.col("doc_id") % 3 == 0, "de").otherwise("en")}
+    counts = M.token_counts(df.where("doc_id % 7 > 0 OR source = 's7'"), dimensions)
+    targets = {"source": M.tempered(counts, "source", 0.5), "lang": {"de": 0.5, M.OTHER: 0.5}}
+    assert targets["source"].count() == 200
+    here, table = ({r.doc_id: (r.mix_weight, r.sampled) for r in M.mix(df, targets, dimensions, counts=counts, share=0.8, on_driver=n).collect()}
+                   for n in (M.ON_DRIVER, 0))
+    assert here.keys() == table.keys() and all(np.isclose(here[i][0], table[i][0]) and here[i][1] == table[i][1] for i in here)
