@@ -103,7 +103,7 @@ def token_counts(docs: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float] | DataFrame], dimensions: dict[str, Column], *,
         counts: DataFrame | None = None, share: float | None = None, seed: str = "mix", on_driver: int = ON_DRIVER) -> DataFrame:
-    """Adds ``mix_weight``, ``mix_probability`` and ``sampled`` to the documents.
+    """Adds ``mix_weight``, ``mix_probability``, ``mix_copies`` and ``sampled`` to the documents.
 
     ``targets`` gives for each dimension the wanted share of tokens by value: a dictionary, whose
     unnamed values share the weight under ``(other)``, or a table ``value``, ``target`` of all values.
@@ -111,8 +111,9 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float] | DataFrame], dimen
     marginals: on the driver up to ``on_driver`` cells, else as a Spark table; the results are the same.
     A cell's weight is its raked share by its own share. Each document has an expected number of
     copies in proportion to the weight: scaled so that the heaviest cell is taken once, or, with
-    ``share``, so that this share of all tokens is drawn, repeats counted. ``sampled`` draws it,
-    at most once: cells above 1 give less than their weight.
+    ``share``, so that this share of all tokens is drawn, repeats counted. ``mix_copies`` is that number rounded up
+    or down at random, ``sampled`` whether it is above 0, ``mix_probability`` the chance of that. So a
+    cell that needs more than it has is repeated, and the copies have the target weights.
 
     The draw compares a hash of ``seed``, id and text with the fraction: a rerun draws the same rows, and
     rows that repeat id and text go together. No row is shuffled up to ``on_driver`` cells; more cells are joined.
@@ -142,7 +143,8 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float] | DataFrame], dimen
     placed = placed.join(F.broadcast(weights) if few else weights, names, "left").withColumn("_weight", F.coalesce("_weight", F.lit(1.0)))
     # A product of inverses can end a rounding error above the whole number.
     expected = F.round(F.col("_weight") * scale, 12)
-    added = {"mix_weight": F.col("_weight"), "mix_probability": F.least(expected, F.lit(1.0)), "sampled": F.col("draw") < expected}
+    copies = (F.floor(expected) + (F.col("draw") < expected - F.floor(expected)).cast("long")).cast("long")
+    added = {"mix_weight": F.col("_weight"), "mix_probability": F.least(expected, F.lit(1.0)), "mix_copies": copies, "sampled": copies > 0}
     kept = [F.col("row").getField(name).alias(name) for name in docs.columns if name.lower() not in added]
     return placed.select(*kept, *[c.alias(name) for name, c in added.items()])
 

@@ -75,6 +75,17 @@ def test_every_source_has_its_own_target(spark):
     counts = M.token_counts(df.where("doc_id % 7 > 0 OR source = 's7'"), dimensions)
     targets = {"source": M.tempered(counts, "source", 0.5), "lang": {"de": 0.5, M.OTHER: 0.5}}
     assert targets["source"].count() == 200
-    here, table = ({r.doc_id: (r.mix_weight, r.sampled) for r in M.mix(df, targets, dimensions, counts=counts, share=0.8, on_driver=n).collect()}
+    here, table = ({r.doc_id: (r.mix_weight, r.mix_copies) for r in M.mix(df, targets, dimensions, counts=counts, share=0.8, on_driver=n).collect()}
                    for n in (M.ON_DRIVER, 0))
     assert here.keys() == table.keys() and all(np.isclose(here[i][0], table[i][0]) and here[i][1] == table[i][1] for i in here)
+
+
+def test_copies_have_the_target_weights(spark):
+    """A topic of which there is too little is repeated."""
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, "LOUD WORDS").otherwise("quiet words").alias("text"),
+                                    F.lit("en").alias("lang"), F.lit("web").alias("source"), F.lit(11).alias("n_chars"))
+    rows = M.mixed_documents(df).toPandas()
+    copies = rows.mix_copies
+    assert abs(copies.sum() / len(rows) - 0.8) < 0.02 and (rows.sampled == (copies > 0)).all()
+    loud = copies[rows.text == "LOUD WORDS"].sum() / copies.sum()
+    assert abs(loud - 0.05 / 0.9) < 0.003  # of the topics that occur
