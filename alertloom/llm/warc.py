@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import re
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.functions.once import evaluated_once
 
-# Names of character references, without those of the ampersand, which come last.
+# Frequent names of character references, looked up first; the SQL twin reads these.
 ENTITIES = {
     "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "reg": "®", "middot": "·",
     "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“",
     "rdquo": "”", "bull": "•", "euro": "€", "laquo": "«", "raquo": "»",
 }
+_ALL = ENTITIES | {name[:-1]: chars.replace("\xa0", " ") for name, chars in html5.items() if name.endswith(";") and name[:-1] not in ENTITIES}
+#: Names whose characters could make up another reference are read last, all at once.
+LAST = {name: chars for name, chars in _ALL.items() if re.search("[&#;A-Za-z0-9]", chars)}
+NAMES = {name: chars for name, chars in _ALL.items() if name not in LAST}
 UNREAD = ("script", "style", "noscript", "template", "title")
 BREAKS = "p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|article|section|nav|main|aside|header|footer|blockquote|pre|form|hr"
 
@@ -43,21 +50,30 @@ def _numbered(base: int):
 
 
 def unescaped(text: Column) -> Column:
-    """Character references replaced: the named ones of ``ENTITIES``, decimal and hexadecimal ones.
+    """Character references replaced: the names of HTML 5, decimal and hexadecimal ones.
 
     Each reference is read once: those of the ampersand come last.
     """
     return F.when(text.contains("&"), _ampersands_read(_numbers_read(_names_read(text)))).otherwise(text)
 
 
+def _looked_up(names: dict[str, str]) -> Column:
+    return F.map_from_arrays(*[F.split(F.lit("\x01".join(x)), "\x01") for x in ([f"&{n};" for n in names], names.values())])
+
+
 def _names_read(text: Column) -> Column:
-    chars = F.create_map(*[F.lit(x) for name, char in ENTITIES.items() for x in (f"&{name};", char)])
-    named = F.array_distinct(F.regexp_extract_all(text, F.lit("&[a-z]+;"), F.lit(0)))
+    chars = _looked_up(NAMES)
+    named = F.array_distinct(F.regexp_extract_all(text, F.lit("&[A-Za-z][A-Za-z0-9]*;"), F.lit(0)))
     return F.aggregate(named, text, lambda a, x: F.coalesce(F.replace(a, x, F.try_element_at(chars, x)), a))
 
 
 def _ampersands_read(text: Column) -> Column:
-    return F.regexp_replace(text, r"&(amp|#0*38|#[xX]0*26);", "&")
+    others = [name for name in LAST if LAST[name] != "&"]
+    pattern = rf"&({'|'.join(LAST)}|#0*38|#[xX]0*26);"
+    references = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    read = F.transform(references, lambda x: F.coalesce(F.try_element_at(_looked_up(LAST), x), F.lit("&")))
+    each = F.array_join(F.zip_with(F.split(text, pattern, -1), read, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(text.rlike(f"&({'|'.join(others)});"), each).otherwise(F.regexp_replace(text, r"&(amp|AMP|#0*38|#[xX]0*26);", "&"))
 
 
 def _numbers_read(text: Column) -> Column:
@@ -121,7 +137,7 @@ def derivatives(records: DataFrame) -> DataFrame:
     blanks = r"[\x09-\x0D ]+"
     title = F.trim(F.regexp_replace(unescaped(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)), blanks, " "))
     language = F.regexp_extract(F.regexp_extract(html, r"(?is)<html\b[^>]*>", 0), r"""(?i)\blang\s*=\s*["']?([a-zA-Z-]+)""", 1)
-    links = F.regexp_extract_all(html, F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""), F.lit(1))
+    links = F.regexp_extract_all(html, F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']?((?<=["'])[^"']*(?=["'])|(?<!["'])[^\s"'>][^\s>]*)"""), F.lit(1))
     base = with_plain_text(base, "payload", "_text")
     base = evaluated_once(base, {"_title": title, "_lang": language, "_links": links})
     lines = F.concat_ws(

@@ -52,3 +52,15 @@ def test_records_parse_back(spark):
         assert fields["WARC-Refers-To"] == own.refers_to and fields["WARC-Record-ID"] == own.record_id
         assert rest.encode()[:int(fields["Content-Length"])].decode() == own.block and rest.endswith("\r\n\r\n")
         assert "WARC-Source-Header: Content-Type: text/html; charset=utf-8\r\n" in head + "\r\n"
+
+
+def test_all_names_and_links_without_quotes(spark):
+    import html
+
+    names = [n for n in html.entities.html5 if n.endswith(";") and html.unescape(f"&{n}").strip()]
+    odd = "&amp;semi; &amp&semi; &&num;233; &eacute&semi; &AMP;lt;"
+    page = f"<title>&Auml;&frac12;</title><p>{'|'.join(f'&{n}' for n in names)}|{odd}</p><a href=/x?a=1&amp;b=&eacute; id=y>a</a><A HREF = z>b</A><a href='/q'>c</a>"
+    rows = {r.record_type: r.block for r in derive(spark, [(1, "u", page)]).collect()}
+    assert rows["conversion"].split("|&semi;")[0] == "|".join(html.unescape(f"&{n}") for n in names)
+    assert rows["conversion"].startswith("|".join(html.unescape(f"&{n}") for n in names) + "|&semi; &amp; &#233; &eacute; &lt;")
+    assert rows["metadata"].split("\r\n")[0] == "title: Ä½" and rows["metadata"].split("\r\n")[4:] == ["outlink: /x?a=1&b=é", "outlink: z", "outlink: /q", ""]
