@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import permutations
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm import exact, language, lm, mixing, packing, quality, simhash, sketch, substring, warc
+from alertloom.llm import audit, exact, language, lines, lm, mixing, packing, quality, simhash, sketch, substring, warc, whiten
 from alertloom.llm.common import with_package
 from alertloom.session import stored
 
@@ -82,6 +83,48 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edit_trial(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.without_frequent_lines(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def _audit_sql() -> str:
+    """The twin of op13_filter_audit: rows by the set of filters they fail, against every step of every order."""
+    steps = [(order, k + 1, 1 << "ABCDE".index(f), sum(1 << "ABCDE".index(x) for x in order[:k]))
+             for order in map("".join, permutations("ABCDE")) for k, f in enumerate(order)]
+    return rf"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, list_filter(string_split_regex(t, '[ 	-]+'), lambda x: x <> '') AS ws,
+                     doc_id > min(doc_id) OVER (PARTITION BY t) AS later FROM d),
+        l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+              FROM labels GROUP BY doc_id),
+        m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                     (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+                     + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t))::INT
+                     + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(later, false)::INT AS fails
+              FROM w LEFT JOIN l USING (doc_id)),
+        c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, fails),
+        s (filter_order, step, own, earlier) AS (VALUES {", ".join(map(str, steps))}),
+        r AS (SELECT part, filter_order, step, own,
+                     sum(CASE WHEN fails & (own | earlier) = 0 THEN n ELSE 0 END) AS kept,
+                     sum(CASE WHEN fails & own > 0 AND fails & earlier = 0 THEN n ELSE 0 END) AS removed,
+                     sum(CASE WHEN fails & own > 0 AND fails & earlier > 0 THEN n ELSE 0 END) AS redundant,
+                     sum(CASE WHEN fails = own THEN n ELSE 0 END) AS unique_fails,
+                     sum(CASE WHEN fails & own > 0 AND fails & earlier = 0 THEN good ELSE 0 END) AS good_lost,
+                     sum(CASE WHEN fails & own > 0 AND fails & earlier = 0 THEN toxic ELSE 0 END) AS toxic_lost
+              FROM c CROSS JOIN s GROUP BY part, filter_order, step, own)
+        SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+               unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r"""
+
+
 def _warc_sql() -> str:
     """The twin of op1_warc; lists of names are the operator's fixed values."""
     def char_references(text: str) -> str:
@@ -139,6 +182,9 @@ QUERIES = {
     "op8_lm_scores": op8_lm_scores,
     "op9_packing": op9_packing,
     "op10_fingerprints": op10_fingerprints,
+    "op11_whitening": op11_whitening,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES = {
@@ -152,4 +198,14 @@ ORACLES = {
                row_number() OVER w = 1 AS kept,
                sha256(bare) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY bare ORDER BY n DESC, doc_id)""",
+    "op12_line_dedup": r"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        k AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM d),
+        m AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM k),
+        f AS (SELECT key FROM m WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+        SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
+        FROM m LEFT JOIN f USING (key) GROUP BY doc_id""",
+    "op13_filter_audit": _audit_sql(),
 }
