@@ -1,35 +1,105 @@
-"""Texts that are to be one JSON document and nothing else."""
+"""Texts that are to be one JSON document and nothing else, and the JSON objects inside longer texts."""
 
 from __future__ import annotations
 
+import re
+import uuid
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Reading JSON as it is defined: no single quotes, no raw control characters inside strings.
+STRICT = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "allowUnquotedControlChars": "false"}
+#: A text that no document holds: where it is read, what stands before it was read whole.
+END_MARK = f"end-{uuid.uuid4().hex}"
 
 
 def is_json(text: Column) -> Column:
-    """Whether the text is one JSON value. Spark's parsers stop at the end of the first value; put
-    between brackets and as a field, words after it can't pass in both. Like many writers of JSON, it
-    takes NaN and Infinity for numbers. Null text is none."""
-    text = F.regexp_replace(text, r"([:\[,]\s*)-?(?:NaN|Infinity)(?=\s*[,\]}])", "$1 0")
-    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
-    keys = F.json_object_keys(F.concat(F.lit('{"v":'), text, F.lit(',"e":1}')))
-    return F.coalesce(alone & (keys == F.array(F.lit("v"), F.lit("e"))), F.lit(False))
-
-
-def json_objects(text: Column) -> Column:
-    """The JSON objects in a text, one after the other: at each opening brace that is not in an
-    earlier object, up to the first closing brace that completes it. Meant for short texts: pairs of
-    braces are tried."""
-    places = F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1)))
-
-    def at(brace: str) -> Column:
-        return F.filter(places, lambda i: F.substring(text, i, F.lit(1)) == brace)
-
-    def next_object(found: Column, start: Column) -> Column:
-        ends = F.filter(at("}"), lambda end: (end > start) & is_json(F.substring(text, start, end - start + 1)))
-        end = F.get(ends, F.lit(0))
-        taken = F.struct(end.alias("end"), F.concat(found["texts"], F.array(F.substring(text, start, end - start + 1))).alias("texts"))
-        return F.when((start > found["end"]) & end.isNotNull(), taken).otherwise(found)
-
-    nothing = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("texts"))
-    return F.when(text.contains("{"), F.aggregate(at("{"), nothing, next_object)["texts"]).otherwise(F.array().cast("array<string>"))
+    """Whether the text is one JSON value, strictly. Put before a mark in an array, the text is one value if
+    the array has two elements, the second of them the mark. NaN and Infinity are numbers, as many writers of
+    JSON have it. Null text is none."""
+    whole = F.from_json(F.concat(F.lit("["), text, F.lit(f',"{END_MARK}"]')), "array<string>", STRICT)
+    return F.coalesce((F.size(whole) == 2) & (F.get(whole, F.lit(1)) == END_MARK), F.lit(False))
+
+
+def with_end_mark(text: Column) -> Column:
+    """The text of an object with a last field ``END_MARK``. Read into a struct that has this field, it is
+    null if the object ended early or words follow it. Null for texts that can't be an object."""
+    text = F.rtrim(F.regexp_replace(text, r"\s+$", ""))
+    body = F.substring(text, F.lit(1), F.char_length(text) - 1)
+    glue = F.when(text.rlike(r"^\s*\{\s*\}$"), F.lit("")).otherwise(F.lit(","))
+    return F.when(text.startswith("{") & text.endswith("}"), F.concat(body, glue, F.lit(f'"{END_MARK}":1}}')))
+
+
+_TOKEN = re.compile(
+    r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")'
+    r"|(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|true|false|null|NaN|-?Infinity))")
+#: What may follow: the states of the automaton.
+_KEY_OR_END, _KEY, _COLON, _VALUE, _VALUE_OR_END, _NEXT = range(6)
+
+
+def _read(text: str, start: int, done: dict[int, int], failed: set[int]) -> None:
+    """Read the object that opens at ``start`` as far as it is JSON, each token once.
+
+    Objects inside it that are complete go to ``done`` (start to end), open ones to ``failed``. What
+    makes the outer object fail makes the open inner ones fail as well, so none of them is read again.
+    """
+    stack: list[tuple[str, int]] = []
+    state, at = _VALUE, start
+    while True:
+        token = _TOKEN.match(text, at)
+        if token is None:
+            break
+        at = token.end()
+        mark = token[1]
+        if mark == "{" and state in (_VALUE, _VALUE_OR_END):
+            stack.append(("{", at - 1))
+            state = _KEY_OR_END
+        elif mark == "[" and state in (_VALUE, _VALUE_OR_END):
+            stack.append(("[", at - 1))
+            state = _VALUE_OR_END
+        elif mark == "}" and stack[-1][0] == "{" and state in (_KEY_OR_END, _NEXT) or mark == "]" and stack[-1][0] == "[" and state in (_VALUE_OR_END, _NEXT):
+            kind, opened = stack.pop()
+            if kind == "{":
+                done[opened] = at
+            if not stack:
+                return
+            state = _NEXT
+        elif mark == "," and state == _NEXT:
+            state = _KEY if stack[-1][0] == "{" else _VALUE
+        elif mark == ":" and state == _COLON:
+            state = _VALUE
+        elif token[2] and state in (_KEY_OR_END, _KEY):
+            state = _COLON
+        elif mark is None and state in (_VALUE, _VALUE_OR_END):
+            state = _NEXT
+        else:
+            break
+    failed.update(opened for kind, opened in stack if kind == "{")
+
+
+def objects_in(text: str) -> list[str]:
+    """The JSON objects in a text, one after the other, each the outermost that is complete.
+
+    One pass: the automaton reads from a brace to where the text stops being JSON. Braces it has read on the way are
+    settled; only those it took for part of a string are tried again, where quotes open and close the other way round.
+    """
+    done: dict[int, int] = {}
+    failed: set[int] = set()
+    found, at = [], text.find("{")
+    while at >= 0:
+        if at not in done and at not in failed:
+            _read(text, at, done, failed)
+        end = done.get(at)
+        if end is not None:
+            found.append(text[at:end])
+        at = text.find("{", at + 1 if end is None else end)
+    return found
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def json_objects(texts: pd.Series) -> pd.Series:
+    """The JSON objects in each text, in time linear in its length. Null texts have none."""
+    return texts.map(lambda t: [] if t is None else objects_in(t))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from alertloom.functions.jsontext import is_json, json_objects
 from alertloom.functions.once import evaluated_once
 from alertloom.operators.feeds import blocks
+from alertloom.session import package_on_workers
 
 # JSON schema types and the variant types they cover.
 JSON_TYPES = {
@@ -54,10 +55,20 @@ def fits_schema(value: Column, schema: dict, path: str = "$") -> Column:
     return F.coalesce(_all(needs), F.lit(False))
 
 
-def documents(output: Column) -> dict[str, Column]:
-    """The JSON documents of an output: itself if it is one, and the objects found in it."""
-    whole = F.when(is_json(output), F.array(output)).otherwise(F.array().cast("array<string>"))
-    return {"is-json": whole, "contains-json": json_objects(output)}
+def documents(outputs: DataFrame, kinds: set[str]) -> DataFrame:
+    """Add the JSON documents of an output: ``is-json`` itself if it is one, ``contains-json`` the objects found in
+    it. An output that is one object holds just that; only the others are searched, each once."""
+    none = F.array().cast("array<string>")
+    whole = F.when(is_json(F.col("output")), F.array("output")).otherwise(none)
+    outputs = evaluated_once(outputs, {"_is-json": whole})
+    if "contains-json" in kinds:
+        package_on_workers(outputs.sparkSession)
+        alone = (F.size("`_is-json`") == 1) & F.col("output").rlike(r"^\s*\{")
+        searched = F.when(~alone & F.col("output").contains("{"), F.col("output"))
+        outputs = outputs.withColumn("_found", json_objects(searched))
+        outputs = evaluated_once(outputs, {"_contains-json": F.when(alone, F.array(F.btrim("output", F.lit(" \t\r\n")))).otherwise(
+            F.coalesce("_found", none))})
+    return outputs
 
 
 def holds(assertion: dict, output: Column, parsed: dict[str, Column]) -> Column:
@@ -86,8 +97,7 @@ def check_outputs(outputs: DataFrame, assertions: list[dict], rubric_col: str |
     kinds = [k for k in ("is-json", "contains-json") if any(a["type"] == k for _, a in usable)]
     given = outputs.columns
     if kinds:
-        made = documents(F.col("output"))
-        outputs = evaluated_once(outputs, {f"_{k}": made[k] for k in kinds})
+        outputs = documents(outputs, set(kinds))
     parsed = {k: F.col(f"`_{k}`") for k in kinds}
 
     def hit(numbered: tuple[int, dict]) -> Column:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from alertloom.functions.alerts import CATEGORIES, COMPLEXITIES, complexity
 from alertloom.functions.maps import last_entries
+from alertloom.functions.once import evaluated_once
+from alertloom.session import stored
 
 COUNTED_POSITIONS = (1, 2, 3, 4)
 # The places an absent model or an empty cell gets.
@@ -98,9 +100,21 @@ def model_by_complexity(results: DataFrame, models: list[str] | None = None) ->
     return _by_kind(results, complexity(F.col("event_count")), COMPLEXITIES, "complexity", models)
 
 
-def last_places(rankings: Column) -> Column:
-    """Array of ``value`` (model) and ``key`` (place): of several places of a model the last."""
-    return last_entries(F.map_entries(rankings), "value")
+def _duels(results: DataFrame, absent_position: int) -> DataFrame:
+    """For each two models that some result ranks together, and each model beside itself: in how many
+    results ``model`` stands before ``rival``, before the absent place, and ``rival`` behind it.
+
+    Of several places of a model the last counts. A result's entries are worked out once and give its few
+    pairs in one pass over the table.
+    """
+    ranked = evaluated_once(results.select("rankings"), {"entries": F.map_entries("rankings")})
+    ranked = evaluated_once(ranked.select("entries"), {"r": F.transform(last_entries(F.col("entries"), "value"), lambda e: F.struct(
+        e["value"].alias("model"), e["key"].cast("int").alias("place")))})
+    pairs = ranked.select("r", F.explode("r").alias("a")).select("a", F.explode("r").alias("b"))
+    return pairs.groupBy(F.col("a.model").alias("model"), F.col("b.model").alias("rival")).agg(
+        F.count_if(F.col("a.place") < F.col("b.place")).alias("first"),
+        F.count_if(F.col("a.place") < absent_position).alias("before"),
+        F.count_if(F.col("b.place") > absent_position).alias("after"))
 
 
 def head_to_head(results: DataFrame, models: list[str] | None = None,
@@ -111,17 +125,9 @@ def head_to_head(results: DataFrame, models: list[str] | None = None,
     model that a result lacks follow from how often each stands before or after the absent place.
     Without ``models`` these are the scored ones.
     """
-    ranked = results.select(F.transform(last_places(F.col("rankings")), lambda e: F.struct(
-        e["value"].alias("model"), e["key"].cast("int").alias("place"))).alias("r"))
-    before, after = F.col("place") < absent_position, F.col("place") > absent_position
-    single = ranked.select(F.inline("r")).groupBy("model").agg(
-        F.count_if(before).alias("before"), F.count_if(after).alias("after"))
-    pairs = ranked.select("r", F.explode("r").alias("a")).select("a", F.explode("r").alias("b")).where(
-        F.col("a.model") != F.col("b.model"))
-    both = pairs.groupBy(F.col("a.model").alias("model"), F.col("b.model").alias("rival")).agg(
-        F.count_if(F.col("a.place") < F.col("b.place")).alias("first"),
-        F.count_if(F.col("a.place") < absent_position).alias("both_before"),
-        F.count_if(F.col("b.place") > absent_position).alias("both_after"))
+    # A row for each two models, read three times below.
+    duels = stored(_duels(results, absent_position))
+    single, both = duels.where("model = rival"), duels.where("model <> rival").toDF("model", "rival", "first", "both_before", "both_after")
     names = results.sparkSession.createDataFrame([(list(models),)], "names array<string>") if models is not None \
         else scores(results).agg(F.array_sort(F.collect_set("model")).alias("names"))
     grid = names.select("names", F.explode("names").alias("model")).select("model", F.explode("names").alias("rival")).where(

@@ -52,12 +52,14 @@ def judge_repeats(spark, sf):
 
 
 def spoiled_lines(spark, sf):
-    """Alert lines followed by words, by a second record, or doubled by a comma; what is left counts."""
+    """Alert lines followed by words, by a second record, doubled by a comma, in single quotes or with a raw tab in
+    a string; what is left counts."""
     k = F.col("k")
     line = F.format_string('{"Status": "Event", "ID": "%d", "Confidence": NaN}', "event_id")
     lines = N.event_base(spark, sf).select(
         F.when(k % 5 == 0, F.concat(line, F.lit(" and words"))).when(k % 5 == 1, F.concat(line, line))
-        .when(k % 5 == 2, F.concat_ws(", ", line, line)).otherwise(F.concat(F.lit("  "), line)).alias("line"),
+        .when(k % 5 == 2, F.concat_ws(", ", line, line)).when(k % 10 == 3, F.replace(line, F.lit('"'), F.lit("'")))
+        .when(k % 10 == 8, F.replace(line, F.lit("Event"), F.lit("Ev\tent"))).otherwise(line).alias("line"),
         F.lit("f").alias("source_file"), F.col("event_id").alias("line_order"))
     alerts = A.parse_lines(lines)
     return alerts.events.select("event_id", F.lit("event").alias("kind")).unionByName(
@@ -65,11 +67,14 @@ def spoiled_lines(spark, sf):
 
 
 def json_outputs(spark, sf):
-    """Outputs with several documents, or words after one, against assertions on JSON."""
+    """Outputs with several documents, words after one, single quotes, raw control characters or hundreds of braces that
+    nobody closes, against assertions on JSON."""
     k = F.col("k")
     first, second = F.format_string('{"n": %d}', "k"), F.lit('{"ok": {"deep": [1, "}"]}}')
-    output = (F.when(k % 4 == 0, first).when(k % 4 == 1, F.concat(first, F.lit(" trailing words")))
-              .when(k % 4 == 2, F.concat(F.lit("first "), first, F.lit(" then "), second)).otherwise(F.concat(F.lit("{broken "), first)))
+    output = (F.when(k % 8 == 0, first).when(k % 8 == 1, F.concat(first, F.lit(" trailing words")))
+              .when(k % 8 == 2, F.concat(F.lit("first "), first, F.lit(" then "), second)).when(k % 8 == 3, F.concat(F.lit("{broken "), first))
+              .when(k % 8 == 4, F.lit("{'ok': 1}")).when(k % 8 == 5, F.lit('{"ok": "a\tb"}'))
+              .when(k % 8 == 6, F.concat(F.repeat(F.lit('{"a": '), F.lit(500)), second)).otherwise(F.concat(F.repeat(F.lit("{"), F.lit(500)), F.lit('"'), first)))
     outputs = N.event_base(spark, sf).select(
         F.lit("m").alias("provider"), F.lit("s").alias("suite"), F.lit("t").alias("test"), F.col("event_id").alias("run"), output.alias("output"))
     checks = [{"suite": "s", "test": "t", "type": "is-json"}, {"suite": "s", "test": "t", "type": "contains-json"},
@@ -290,11 +295,11 @@ ORACLES = {
                round(100.0 * count(*) FILTER (a.place < b.place) / count(*), 6) AS win_percent
         FROM p a JOIN p b ON a.incident_id = b.incident_id AND a.model <> b.model GROUP BY ALL""",
     "spoiled_lines": f"""WITH {EVENTS_SQL}
-        SELECT CAST(event_id AS VARCHAR) AS event_id, CASE WHEN k % 5 < 3 THEN 'bad json' ELSE 'event' END AS kind FROM ev""",
+        SELECT CAST(event_id AS VARCHAR) AS event_id, CASE WHEN k % 5 < 4 THEN 'bad json' ELSE 'event' END AS kind FROM ev""",
     "json_outputs": f"""WITH {EVENTS_SQL}
-        SELECT event_id AS run, 0 AS assertion, k % 4 = 0 AS passed FROM ev
-        UNION ALL SELECT event_id, 1, true FROM ev
-        UNION ALL SELECT event_id, 2, k % 4 = 2 FROM ev""",
+        SELECT event_id AS run, 0 AS assertion, k % 8 = 0 AS passed FROM ev
+        UNION ALL SELECT event_id, 1, k % 8 NOT IN (4, 5) FROM ev
+        UNION ALL SELECT event_id, 2, k % 8 IN (2, 6) FROM ev""",
     "rubric_assertions": f"""WITH {EVENTS_SQL}
         SELECT event_id AS run, 'llm-rubric' AS type, event_id % 3 = 0 AS passed FROM ev WHERE w < 2""",
     "signature_conditions": f"""WITH {_FLOWS}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.functions import alerts as A
-from alertloom.functions.jsontext import is_json
+from alertloom.functions.jsontext import END_MARK, STRICT, is_json, with_end_mark
 from alertloom.functions.once import evaluated_once
 from alertloom.functions.text import strip
 from alertloom.schemas import ALERT_LINE
@@ -47,14 +47,15 @@ def scan_lines(spark: SparkSession, paths: str | list[str], **options: str) -> D
 
 def parse_lines(lines: DataFrame) -> Alerts:
     """Route lines by their Status; what fits neither kind is kept with a reason. A line must be
-    one JSON object and nothing else. Each incident gets a ``record`` key, its file and place, that
-    tells records with one id apart."""
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    one JSON object and nothing else, as JSON is defined; it is parsed once. Each incident gets a ``record`` key, its
+    file and place, that tells records with one id apart."""
+    marked = f"{ALERT_LINE}, `{END_MARK}` int"
+    options = STRICT | {"columnNameOfCorruptRecord": "_corrupt"}
     parsed = evaluated_once(
-        lines.where(F.col("line") != ""), {"a": F.from_json("line", ALERT_LINE, options), "sound": is_json(F.col("line"))}
+        lines.where(F.col("line") != ""), {"a": F.from_json(with_end_mark(F.col("line")), marked, options)}
     ).withColumn("status", F.coalesce("a.Status", F.lit("")))
-    parsed = evaluated_once(parsed, {"n": F.from_json("a.Note", "map<string,string>")})
-    broken = F.col("a._corrupt").isNotNull() | ~F.col("sound")
+    parsed = evaluated_once(parsed, {"n": F.from_json("a.Note", "map<string,string>", STRICT)})
+    broken = F.col("a").isNull() | F.col("a._corrupt").isNotNull() | F.col(f"a.`{END_MARK}`").isNull()
     note = A.note_map(F.col("a.Note"), F.col("n"))
     common = (
         F.coalesce("a.StartTime", F.lit("")).alias("start_time"),
@@ -85,7 +86,7 @@ def parse_lines(lines: DataFrame) -> Alerts:
         *common,
     )
     reason = (
-        F.when(broken & ~F.col("sound"), "bad json")
+        F.when(broken & ~is_json(F.col("line")), "bad json")
         .when(broken, "bad record")
         .when(~F.col("status").isin("Incident", "Event"), "unknown status")
     )
