@@ -4,8 +4,8 @@ import pytest
 
 import corpus_pipeline as P
 from alertloom.llm import exact, language, mixing
+from tests.llm.test_near import brute_kept
 from tests.llm.test_packing import check as check_packing
-from tests.llm.test_simhash import brute_components, brute_fingerprint
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -43,8 +43,7 @@ def test_exact_stage_keeps_one_of_each_group(stages):
 
 
 def test_near_stage_keeps_the_first_of_each_component(stages):
-    fps = {r.doc_id: brute_fingerprint(r.text) for r in stages[2].collect()}
-    assert ids(stages[3]) == set(brute_components(fps).values())
+    assert ids(stages[3]) == brute_kept([(r.doc_id, r.text) for r in stages[2].collect()])
 
 
 def test_mixing_stage_keeps_what_is_drawn(stages):
