@@ -101,7 +101,8 @@ def _audit_sql() -> str:
              for order in map("".join, permutations("ABCDE")) for k, f in enumerate(order)]
     return rf"""
         WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
-        w AS (SELECT *, list_filter(string_split_regex(t, '[ 	-]+'), lambda x: x <> '') AS ws,
+        w AS (SELECT *, list_filter(string_split_regex(t, '[ 	-
+]+'), lambda x: x <> '') AS ws,
                      doc_id > min(doc_id) OVER (PARTITION BY t) AS later FROM d),
         l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
               FROM labels GROUP BY doc_id),
@@ -126,28 +127,51 @@ def _audit_sql() -> str:
 
 
 def _warc_sql() -> str:
-    """The twin of op1_warc; lists of names are the operator's fixed values."""
-    def char_references(text: str) -> str:
-        for name, char in warc.ENTITIES.items():
-            text = f"replace({text}, '&{name};', '{char.replace(chr(39), chr(39) * 2)}')"
-        for pattern, digits in (("&#[0-9]{1,7};", "regexp_extract(x, '([0-9]+);', 1)"),
-                                ("&#[xX][0-9a-fA-F]{1,6};", "'0x' || regexp_extract(x, '([0-9a-fA-F]+);', 1)")):
-            n = f"CAST({digits} AS INTEGER)"
-            text = (f"list_reduce(list_distinct(regexp_extract_all({text}, '{pattern}')), lambda a, x: CASE WHEN {n} = 38 THEN a ELSE "
-                    f"replace(a, x, chr(CASE WHEN {n} BETWEEN 1 AND 1114111 AND {n} NOT BETWEEN 55296 AND 57343 THEN {n} ELSE 65533 END)) END, {text})")
-        return f"regexp_replace({text}, '&(amp|#0*38|#[xX]0*26);', '&', 'g')"
+    """The twin of op1_warc; the names of references and the lists of tags are the operator's."""
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    names = f"MAP {{{', '.join(f'{quoted(n)}: {quoted(c)}' for n, c in warc.NAMES.items())}}}"
+    meant = f"MAP {{{', '.join(f'{n}: {quoted(c)}' for n, c in warc.NUMBERED.items())}}}"
+    inside, attributes = quoted(warc.INSIDE_RE2)[1:-1], quoted(warc.ATTRIBUTE)
+
+    def char_references(text: str, in_attribute: bool = False) -> str:
+        """Distinct references with what they stand for, put between the pieces."""
+        body = "CASE WHEN ends_with(x, '=') THEN x[:-2] ELSE x END"
+        bare = f"regexp_extract({body}, '^&({'|'.join(warc.BARE)})')"
+        named = f"named[{body}]"
+        named = f"coalesce({named}, {body})" if in_attribute else \
+            f"coalesce({named}, CASE WHEN {bare} <> '' THEN named[{bare}] || substr({body}, length({bare}) + 1) END, {body})"
+        named = f"{named} || CASE WHEN ends_with(x, '=') THEN '=' ELSE '' END"
+        if in_attribute:
+            named = f"CASE WHEN ends_with(x, '=') THEN x ELSE {named} END"
+        digits = "ltrim(regexp_extract(x, '([0-9a-fA-F]+);?$', 1), '0')"
+        number = (f"CASE WHEN length({digits}) NOT BETWEEN 1 AND 7 THEN 0 WHEN lower(x[3]) = 'x' THEN CAST('0x' || {digits} AS INTEGER) "
+                  f"ELSE CAST({digits} AS INTEGER) END")
+        plain = f"chr(CASE WHEN {number} BETWEEN 1 AND 1114111 AND {number} NOT BETWEEN 55296 AND 57343 THEN {number} ELSE 65533 END)"
+        read = f"CASE WHEN starts_with(x, '&#') THEN coalesce(meant[{number}], {plain}) ELSE {named} END"
+        found = f"regexp_extract_all({text}, '{warc.REFERENCE}')"
+        pieces = f"string_split_regex({text}, '{warc.REFERENCE}')"
+        return (f"CASE WHEN contains({text}, '&') THEN array_to_string(list_transform(list_zip({pieces}, list_transform({found}, lambda x: {read})), "
+                f"lambda z: z[1] || coalesce(z[2], '')), '') ELSE {text} END")
+
+    def attribute(tag: str, name: str) -> str:
+        at = f"list_position(list_transform(regexp_extract_all({tag}, {attributes}, 1), lambda n: lower(n)), '{name}')"
+        value = f"regexp_extract_all({tag}, {attributes}, 2)[{at}]"
+        return f"regexp_replace({value}, '^(\"(.*)\"|''(.*)'')$', '\\2\\3', 's')"
 
     bare = r"regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
     for name in warc.UNREAD:
-        bare = rf"regexp_replace({bare}, '(?is)<{name}\b[^>]*>.*?</{name}\s*>', ' ', 'g')"
+        bare = rf"regexp_replace({bare}, '(?is)<{name}\b{inside}.*?</{name}\s*>', ' ', 'g')"
     return rf"""
         WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
-        t AS (SELECT *, {bare} AS bare, regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1) AS title,
-                     regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["'']', 1) AS links FROM p),
-        s AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(bare, '[\x09-\x0D ]+', ' ', 'g'),
-                     '(?i)</?({warc.BREAKS})\b[^>]*>', chr(10), 'g'), '<[a-zA-Z/!?][^>]*>', '', 'g') AS flat FROM t),
+        t AS (SELECT *, {bare} AS bare, regexp_extract(html, '(?is)<title\b{inside}(.*?)</title\s*>', 1) AS title,
+                     list_filter(list_transform(regexp_extract_all(html, '(?i)<a\s{inside}'), lambda tag: {attribute("tag", "href")}), lambda l: l IS NOT NULL) AS links,
+                     coalesce({attribute("regexp_extract(html, '(?i)<html(?:[ >]|" + chr(92) + "s)" + inside + "')", "lang")}, '') AS lang FROM p),
+        s AS (SELECT *, {names} AS named, {meant} AS meant, regexp_replace(regexp_replace(regexp_replace(bare, '[\x09-\x0D ]+', ' ', 'g'),
+                     '(?i)</?({warc.BREAKS})\b{inside}', chr(10), 'g'), '<[a-zA-Z/!?]{inside}', '', 'g') AS flat FROM t),
         u AS (SELECT *, {char_references("flat")} AS read, {char_references("title")} AS heading,
-                     list_transform(links, lambda l: 'outlink: ' || {char_references("l")} || chr(13) || chr(10)) AS outlinks FROM s),
+                     list_transform(links, lambda l: 'outlink: ' || {char_references("l", True)} || chr(13) || chr(10)) AS outlinks FROM s),
         v AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(read, '[ \x09\x0B-\x0D]+', ' ', 'g'),
                      ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS text,
                      md5('response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || url || '|' || md5(html)) AS h FROM u),
@@ -158,7 +182,7 @@ def _warc_sql() -> str:
                      chr(13) || chr(10) AS nl FROM m),
         d AS (SELECT *, 'metadata' AS record_type, im AS record_id, ic AS concurrent_to, 'application/warc-fields' AS content_type,
                      'title: ' || trim(regexp_replace(heading, '[\x09-\x0D ]+', ' ', 'g')) || nl || 'language: ' ||
-                     regexp_extract(regexp_extract(html, '(?is)<html\b[^>]*>'), '(?i)\blang\s*=\s*["'']?([a-zA-Z-]+)', 1) || nl ||
+                     lang || nl ||
                      'links: ' || len(links) || nl || 'characters: ' || length(text) || nl || array_to_string(outlinks, '') AS block FROM k
               UNION ALL BY NAME
               SELECT *, 'conversion' AS record_type, ic AS record_id, im AS concurrent_to, 'text/plain; charset=UTF-8' AS content_type,
