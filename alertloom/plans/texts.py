@@ -104,6 +104,14 @@ def uri_feed_match(spark, sf):
     return W.match_feed(pages, _feed(spark, FEED), "url")
 
 
+def uri_feed_large(spark, sf):
+    """A feed with a pattern for each page, all met by their literals."""
+    pages = N.table(spark, sf, "pages").select("page_id", "url")
+    path = F.regexp_extract("url", r"^https?://[^/]+(/[a-z]+/[0-9]+)", 1)
+    feed = pages.where(path != "").select(F.concat(path, F.lit("($|[^0-9])")).alias("regex"), F.col("page_id").cast("string").alias("description"))
+    return W.match_feed(pages, feed, "url").select("page_id", "regex")
+
+
 def _page_feed(spark, sf, older: bool):
     """Two versions of a feed made from the pages: one per page, described by part of its address."""
     pages = N.table(spark, sf, "pages")
@@ -245,7 +253,7 @@ def series_elapsed(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     normalised_documents, signature_clean, signature_validate, signature_parse, signature_split,
-    signature_accept, signature_match, signature_hits, uri_feed_match, feed_changes, assertions,
+    signature_accept, signature_match, signature_hits, uri_feed_match, uri_feed_large, feed_changes, assertions,
     assertion_suites, prompt_fill, incident_prompts, judge_prompts, apply_model, token_count,
     response_cleanup, judge_reply_parse, risk_sections, usage_stats, conversation_stats,
     role_distribution, chat_render, chat_records, series_elapsed,
@@ -371,6 +379,10 @@ ORACLES = {
     "signature_match": f"WITH {FLOW_SQL} SELECT event_id, signature, message FROM hits",
     "signature_hits": f"WITH {FLOW_SQL} SELECT signature, count(*) AS matches FROM hits GROUP BY signature",
     "uri_feed_match": _feed_sql(),
+    "uri_feed_large": r"""WITH
+        u AS (SELECT page_id, url, regexp_extract(url, '^https?://[^/]+(/[a-z]+/[0-9]+)', 1) AS path FROM pages),
+        f AS (SELECT DISTINCT path, path || '($|[^0-9])' AS regex FROM u WHERE path <> '')
+        SELECT page_id, regex FROM u JOIN f ON contains(u.url, f.path) AND regexp_matches(u.url, f.regex)""",
     "feed_changes": r"""WITH
         p AS (SELECT page_id || ' ' || url AS regex, url, regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) AS path FROM pages),
         o AS (SELECT regex, CASE WHEN contains(url, '?') THEN 'old' ELSE path END AS d FROM p WHERE NOT starts_with(url, 'http://blog')),

@@ -1,5 +1,9 @@
+import random
+import re
+
 import pytest
 
+from alertloom.functions.literals import literals_of
 from alertloom.operators import feeds as W
 from alertloom.sources.tables import read_feed
 from alertloom.streaming.feeds import stream_match, stream_series
@@ -99,3 +103,47 @@ def test_series_stream(spark, tmp_path):
     assert query.awaitTermination(60)
     assert sorted(tuple(r) for r in spark.sql("SELECT * FROM readings").collect()) == [
         ("one.csv", 0.0, 40.5), ("one.csv", 1.0, 41.0)]
+
+
+@pytest.mark.parametrize("regex, found", [
+    (r"http:\/\/.*\.exe", ["http://"]), (r"[^/]+\.php\?", [".php?"]), ("abc|defg", ["abc", "defg"]), ("abcd*ef", ["abc"]), ("abc+def", ["abc"]),
+    ("(?i)HeLLo", ["hello"]), (r"ab\dcdef{2}g", ["cde"]), ("foo(?:bar)?baz", ["foo"]), (r"foo\(bar", ["foo(bar"]), ("abc|de", []), ("(?x)a b c", []),
+    (r"\Qabc\E", []), (r"\x41bcd", []), ("", []), ("[]abc]", []), ("(?s:GET.*POST)", []), ("abc{0}", []), ("ab[c[d]e]fgh", ["fgh"])])
+def test_required_literals(regex, found):
+    assert literals_of(regex) == found
+
+
+def test_a_match_holds_a_required_literal():
+    draw, tried = random.Random(2), 0
+    parts = ["a", "b", "abc", "/", ".", "\\.", "\\d", "[ab]", "(a|bc)", "x*", "c+", "d?", "e{2}", "|", "^", "$", ".*", "(?:q)", "[^c]", "\\/", "-"]
+    for _ in range(20_000):
+        regex = "".join(draw.choices(parts, k=draw.randrange(1, 8)))
+        try:
+            pattern = re.compile(regex)
+        except re.error:
+            continue
+        text = "".join(draw.choices(["a", "b", "c", "d", "e", "ee", "abc", "/", ".", "1", "x", "q", "-", "bc"], k=14))
+        if (needed := literals_of(regex)) and pattern.search(text):
+            tried += 1
+            assert any(x in text for x in needed), (regex, text)
+    assert tried > 100
+
+
+def test_thousands_of_patterns_equal_trying_each(spark):
+    """Patterns with literals meet their URIs by key only; the plan holds no pattern."""
+    draw = random.Random(7)
+    words = ["".join(draw.choices("abcde", k=draw.randrange(2, 9))) for _ in range(400)]
+    rows = list({"/".join(draw.choices(words, k=2)) + draw.choice(["$", "", r"\.php", r"\d+", "|" + draw.choice(words)]): None for _ in range(3000)})
+    rows += [*dict.fromkeys("(?i)" + w.upper() for w in words[:50]), "(", None]
+    uris = ["/" + "/".join(draw.choices(words, k=4)) + draw.choice(["", ".php", "7", "?Q=" + words[3].upper()]) for _ in range(300)] + [uris_same := "/abc", uris_same, ""]
+    feed = frame(spark, [(r, str(i)) for i, r in enumerate(rows)])
+    found = W.match_feed(spark.createDataFrame([(u, i) for i, u in enumerate(uris)], "uri string, n int").withColumn("key", W.F.lit("x")), feed)
+    got = sorted((r["n"], r["regex"]) for r in found.collect())
+    patterns = [(r, re.compile(r)) for r in rows if r not in ("(", None)]
+    assert got == sorted((n, r) for n, u in enumerate(uris) for r, p in patterns if p.search(u)) and len(got) > 300
+
+
+def test_too_many_patterns_without_a_literal_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(W, "MOST_WITHOUT_LITERAL", 2)
+    with pytest.raises(ValueError, match="without a literal"):
+        W.match_feed(spark.createDataFrame([("/a",)], "uri string"), frame(spark, [("a", "1"), ("b", "2"), ("c", "3")]))
