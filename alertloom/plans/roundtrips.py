@@ -111,10 +111,22 @@ def signature_conditions(spark, sf):
 
 
 def signature_rejects(spark, sf):
-    """What can't be matched, counted beside the flows it would have been tried on."""
-    flows, signatures = _conditions(spark, sf)
-    total = flows.agg(F.count(F.lit(1)))
-    return G.signature_rejects(flows, signatures).select("signature", total.scalar().alias("flows"))
+    """A signature for each event, most with a line that flows can't be tested for, counted by reason."""
+    k = F.col("k") % 5
+    line = (F.when(k == 0, F.concat(F.lit("dst-port == "), F.col("k").cast("string"))).when(k == 1, "requires-signature other")
+            .when(k == 2, "header ip[16:4] == 1.2.3.4").when(k == 3, "payload /(/").otherwise("http-request /x/"))
+    texts = N.event_base(spark, sf).select(F.concat(F.lit("signature s"), F.col("event_id").cast("string"), F.lit(" {\n "), line, F.lit("\n}")).alias("text"))
+    rejects = G.signature_rejects(N.flows(spark, sf), G.parse_signatures(texts, "text"))
+    return rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("signatures"))
+
+
+def signature_index(spark, sf):
+    """A signature for each user that the events name: its address, a range of ports, met by the index."""
+    user = F.col("user_id")
+    bodies = F.format_string("signature u%d {\n src-ip == 10.%d.0.%d\n src-port == %d-%d, 1099\n event \"%d\"\n}", user, user % 7, user % 250,
+                             1000 + user % 50, 1010 + user % 50, user)
+    texts = N.event_base(spark, sf).select(bodies.alias("text")).distinct()
+    return G.match_signatures(N.flows(spark, sf), G.parse_signatures(texts, "text")).select("event_id", "signature", "message")
 
 
 def signature_examples(spark, sf):
@@ -262,7 +274,7 @@ def variation_prompts(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    repeated_incidents, judge_repeats, spoiled_lines, json_outputs, rubric_assertions, signature_conditions, signature_rejects,
+    repeated_incidents, judge_repeats, spoiled_lines, json_outputs, rubric_assertions, signature_conditions, signature_rejects, signature_index,
     signature_examples, feed_file, csv_table, nested_json, analysis_lines, analysis_document, judge_file, series_file,
     found_incident, pass_rate_without, category_cells, sample_per_file, model_file_names, reasoning_chats, hand_written_rows,
     filled_cells, variation_prompts, signature_files, reference_documents, prompt_files,
@@ -310,7 +322,14 @@ ORACLES = {
         UNION ALL SELECT event_id, 'outside' FROM flow WHERE net > 1
         UNION ALL SELECT event_id, 'slash' FROM flow WHERE k % 5 = 0
         UNION ALL SELECT event_id, 'state' FROM flow WHERE src_port % 4 = 0""",
-    "signature_rejects": """SELECT unnest(['other', 'bytes', 'broken']) AS signature, (SELECT count(*) FROM events) AS flows""",
+    "signature_rejects": f"""WITH {EVENTS_SQL}
+        SELECT CASE k % 5 WHEN 1 THEN 'unsupported line: requires-signature other' WHEN 2 THEN 'unsupported line: header ip[16:4] == 1.2.3.4'
+               WHEN 3 THEN 'bad pattern /(/' ELSE 'no column for http-request' END AS reason, count(*) AS signatures FROM ev WHERE k % 5 > 0 GROUP BY 1""",
+    "signature_index": f"""WITH {EVENTS_SQL},
+        f AS (SELECT event_id, user_id % 7 AS net, user_id % 250 AS host, k + 1000 AS src_port FROM ev),
+        u AS (SELECT DISTINCT user_id AS u FROM ev)
+        SELECT event_id, 'u' || u AS signature, CAST(u AS VARCHAR) AS message FROM f JOIN u ON net = u % 7 AND host = u % 250
+               AND (src_port BETWEEN 1000 + u % 50 AND 1010 + u % 50 OR src_port = 1099)""",
     "signature_examples": f"""WITH c AS ({texts.ORACLES["signature_clean"]}), v AS ({texts.ORACLES["signature_validate"]})
         SELECT 'Write one' AS instruction, CAST(event_id AS VARCHAR) AS input, cleaned AS output
         FROM c JOIN v USING (event_id) WHERE valid""",

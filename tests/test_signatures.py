@@ -1,3 +1,6 @@
+import ipaddress
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +100,52 @@ def test_every_condition_counts(spark):
     rejects = {r["signature"]: r["reason"] for r in G.signature_rejects(flows, parsed).collect()}
     assert set(rejects) == {"needs", "header", "odd", "bad", "mime", "call"}
     assert rejects["mime"] == "no column for http-request" and rejects["call"].startswith("unsupported line")
+
+
+def test_dyadic_blocks_cover_ranges_exactly():
+    draw = random.Random(3)
+    for _ in range(300):
+        ranges = G._joined_ranges([tuple(sorted(draw.choices(range(65536), k=2))) for _ in range(draw.randrange(1, 4))])
+        keys = G._dyadic_keys("p", ranges)
+        blocks = [(int(n) << int(level), ((int(n) + 1) << int(level)) - 1) for _, level, n in (k.split("/") for k in keys)]
+        assert G._joined_ranges(blocks) == ranges and len(keys) <= 32 * len(ranges)
+        assert sum(b - a + 1 for a, b in blocks) == sum(b - a + 1 for a, b in ranges)
+    assert G._dyadic_keys("p", [(-2**62, 2**62)]) == ["p/16/0"]
+
+
+def test_many_signatures_equal_testing_each(spark):
+    """Networks of every prefix length, port ranges, protocols and signatures without any of them, against plain Python."""
+    draw = random.Random(11)
+    flows, signatures, wanted = [], [], {}
+    for n in range(250):
+        address = f"10.{draw.randrange(3)}.{draw.randrange(4)}.{draw.randrange(256)}" if n % 5 else f"2001:db8:{draw.randrange(3):x}::{draw.randrange(99):x}"
+        flows.append((n, draw.choice(["tcp", "UDP"]), address, draw.randrange(65536), "192.168.0.1", draw.choice([53, 80, 443]), draw.choice(["GET /a", "x", None])))
+    for n in range(2000):
+        lines = []
+        if n % 3 == 0:
+            bits = draw.randrange(6, 33)
+            lines.append(("ip", [f"10.{draw.randrange(3)}.{draw.randrange(4)}.{draw.randrange(256)}/{bits}", "10.1.0.0/17"][:draw.randrange(1, 3)]))
+        if n % 7 == 0:
+            lines.append(("ip", [f"2001:db8:{draw.randrange(3):x}::/{draw.randrange(30, 128)}"]))
+        if n % 4 == 0:
+            low = draw.randrange(65000)
+            lines.append(("port", [(low, low + draw.randrange(500)), (53, 53)]))
+        if n % 50 == 1:
+            lines.append(("proto", ["TCP"]))
+        signatures.append(f"signature s{n} {{\n" + "\n".join(
+            "src-ip == " + ", ".join(v) if k == "ip" else "src-port == " + ", ".join(f"{a}-{b}" for a, b in v) if k == "port" else "ip-proto == " + v[0]
+            for k, v in lines) + ("\nsrc-port > 65000" if not lines else "") + "\n}")
+        wanted[f"s{n}"] = lines
+    df = spark.createDataFrame(flows, "n int, proto string, src_ip string, src_port int, dst_ip string, dst_port int, payload string")
+    found = G.match_signatures(df.withColumn("key", F.lit("x")).withColumn("name", F.lit("y")), G.parse_signatures(texts(spark, *signatures), "text"))
+    got = sorted((r["n"], r["signature"]) for r in found.collect())
+    want = []
+    for n, proto, address, port, *_ in flows:
+        for name, lines in wanted.items():
+            ok = port > 65000 if not lines else True
+            for kind, values in lines:
+                ok &= (any(ipaddress.ip_address(address) in ipaddress.ip_network(v, strict=False) for v in values) if kind == "ip" else
+                       any(a <= port <= b for a, b in values) if kind == "port" else proto.lower() == values[0].lower())
+            if ok:
+                want.append((n, name))
+    assert got == sorted(want) and len(got) > 1000
