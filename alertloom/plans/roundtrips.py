@@ -66,6 +66,17 @@ def spoiled_lines(spark, sf):
         alerts.rejects.select(F.col("line_order").cast("string").alias("event_id"), F.col("reason").alias("kind")))
 
 
+def reject_lines(spark, sf):
+    """Event lines in files, some blank or spoiled; which lines of which file were rejected."""
+    path = new_folder(spark)
+    k = F.col("k")
+    line = F.when(k % 6 == 0, "").when(k % 6 == 1, "{'Status': 'Event'}").when(k % 6 == 2, '{"Status": "Other"}').otherwise('{"Status": "Event", "ID": "x"}')
+    rows = N.event_base(spark, sf).select("w", "event_id", line.alias("value")).repartition("w").sortWithinPartitions("w", "event_id")
+    rows.select("w", "value").write.partitionBy("w").text(path)
+    rejects = A.read_alerts(spark, path).rejects
+    return rejects.select(F.regexp_extract("source_file", "/w=([0-9]+)/", 1).cast("long").alias("w"), "line_num", "reason")
+
+
 def json_outputs(spark, sf):
     """Outputs with several documents, words after one, single quotes, raw control characters or hundreds of braces that
     nobody closes, against assertions on JSON."""
@@ -274,7 +285,7 @@ def variation_prompts(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    repeated_incidents, judge_repeats, spoiled_lines, json_outputs, rubric_assertions, signature_conditions, signature_rejects, signature_index,
+    repeated_incidents, judge_repeats, spoiled_lines, reject_lines, json_outputs, rubric_assertions, signature_conditions, signature_rejects, signature_index,
     signature_examples, feed_file, csv_table, nested_json, analysis_lines, analysis_document, judge_file, series_file,
     found_incident, pass_rate_without, category_cells, sample_per_file, model_file_names, reasoning_chats, hand_written_rows,
     filled_cells, variation_prompts, signature_files, reference_documents, prompt_files,
@@ -308,6 +319,9 @@ ORACLES = {
         FROM p a JOIN p b ON a.incident_id = b.incident_id AND a.model <> b.model GROUP BY ALL""",
     "spoiled_lines": f"""WITH {EVENTS_SQL}
         SELECT CAST(event_id AS VARCHAR) AS event_id, CASE WHEN k % 5 < 4 THEN 'bad json' ELSE 'event' END AS kind FROM ev""",
+    "reject_lines": f"""WITH {EVENTS_SQL},
+        n AS (SELECT CAST(w AS BIGINT) AS w, k, row_number() OVER (PARTITION BY w ORDER BY event_id) AS line_num FROM ev)
+        SELECT w, line_num, CASE WHEN k % 6 = 1 THEN 'bad json' ELSE 'unknown status' END AS reason FROM n WHERE k % 6 IN (1, 2)""",
     "json_outputs": f"""WITH {EVENTS_SQL}
         SELECT event_id AS run, 0 AS assertion, k % 8 = 0 AS passed FROM ev
         UNION ALL SELECT event_id, 1, k % 8 NOT IN (4, 5) FROM ev

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alertloom.functions import alerts as A
@@ -105,8 +105,28 @@ def incident_note(note: Column) -> dict[str, Column]:
     }
 
 
+def with_line_numbers(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Add ``line_num``, from 1, to rows with the ``line_order`` of scanned lines.
+
+    Lines, blank ones included, are counted per split of a file, a row each; the sum over the splits before
+    (one row for each split) and the place in its own split give a line's number. ``lines`` must be what the rows
+    come from, read in the same session settings.
+    """
+    splits = lines.groupBy("line_order.file", "line_order.block").agg(F.min("line_order.row").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("file", "block", (before - F.col("first") + 1).alias("_shift"))
+    return rows.withColumns({"file": F.col("line_order.file"), "block": F.col("line_order.block")}).join(splits, ["file", "block"]).withColumn(
+        "line_num", F.col("line_order.row") + F.col("_shift")).drop("file", "block", "_shift")
+
+
+def _numbered(lines: DataFrame) -> Alerts:
+    alerts = parse_lines(lines)
+    return alerts._replace(rejects=with_line_numbers(alerts.rejects, lines))
+
+
 def read_alerts(spark: SparkSession, paths: str | list[str]) -> Alerts:
-    return parse_lines(scan_lines(spark, paths))
+    """Incidents, events, what was rejected with its line number, and the kinds of all lines."""
+    return _numbered(scan_lines(spark, paths))
 
 
 def discover_alerts(spark: SparkSession, base: str, category: str | None = None) -> Alerts:
@@ -118,9 +138,7 @@ def discover_alerts(spark: SparkSession, base: str, category: str | None = None)
         if not folders:
             raise ValueError(f"category must be one of {CATEGORY_FOLDERS}, not {category!r}")
     pattern = f"{base.rstrip('/')}/{{{','.join(folders)}}}"
-    return parse_lines(
-        scan_lines(spark, pattern, recursiveFileLookup="true", pathGlobFilter=ALERT_FILE)
-    )
+    return _numbered(scan_lines(spark, pattern, recursiveFileLookup="true", pathGlobFilter=ALERT_FILE))
 
 
 def path_metadata(df: DataFrame, root: str, file_col: str = "source_file") -> DataFrame:

@@ -272,3 +272,20 @@ def test_reply_cleanup(spark):
     assert one(spark, X.model_file_name(F.lit("org/m:3b"))) == "org_m:3b"
     assert one(spark, X.model_file_name(F.lit("org/m:3b"), drop_size=True)) == "org_m"
     assert one(spark, X.truncated(F.lit("abcdef"), 3)) == "abc..."
+
+
+def test_line_numbers_over_many_splits(spark, tmp_path):
+    """Files cut into splits of 200 bytes; blank lines count."""
+    wanted = set()
+    for name, n in (("a.json", 300), ("b.json", 90)):
+        lines = ["" if k % 4 == 0 else f"bad {k}" if k % 4 == 1 else '{"Status": "Event", "ID": "%d"}' % k for k in range(n)]
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+        wanted |= {(name, k + 1) for k in range(n) if k % 4 == 1}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        rejects = S.read_alerts(spark, str(tmp_path)).rejects
+        assert rejects.select("line_order.file", "line_order.block").distinct().count() > 20
+        assert {(r.source_file.rsplit("/", 1)[1], r.line_num) for r in rejects.collect()} == wanted
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
