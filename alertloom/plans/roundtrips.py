@@ -182,12 +182,29 @@ def analysis_lines(spark, sf):
     return Y.read_record_lines(spark, [path]).select("incident_id", "category", "threat_level", "event_count", "summary", "file_order")
 
 
-def analysis_document(spark, sf):
-    """The nations as one wrapped document, since a document is read by one task."""
+def _order_documents(spark, sf, wrapped: bool):
+    """The orders as JSON documents, one for each status, read back in one scan."""
     path = new_folder(spark)
-    nations = N.table(spark, sf, "nation").select(F.col("n_name").alias("incident_id"), F.col("n_regionkey").alias("event_count"))
-    K.write_json_document(nations, path, ["incident_id"], wrapped=True, single=True)
-    return Y.read_analyses(spark, [path]).records.select("incident_id", "event_count", "pos")
+    orders = N.order_incidents(spark, sf).select("incident_id", "status", F.to_json(F.struct("incident_id", "event_count", F.lit('a "}" [b').alias("summary"))).alias("record"))
+    lines = orders.select("status", F.concat("record", F.lit(",")).alias("value"), F.lit(1).alias("part"), "incident_id")
+    edge = lambda part, text: orders.select("status").distinct().select("status", F.lit(text).alias("value"), F.lit(part).alias("part"), F.lit("").alias("incident_id"))
+    begin, end = ('{"note": [{"x": 1}], "incidents": [', '{"incident_id": "last"}]}') if wrapped else ("[", '{"incident_id": "last"}]')
+    whole = lines.union(edge(0, begin)).union(edge(2, end)).repartition("status").sortWithinPartitions("status", "part", "incident_id")
+    whole.select("status", "value").write.partitionBy("status").text(path)
+    return [f"{path}/status={s}" for s in ("P", "O", "F")]
+
+
+def analysis_document(spark, sf):
+    """Arrays of records, one document for each order status."""
+    return Y.read_analyses(spark, _order_documents(spark, sf, False), "array").records.select("incident_id", "event_count", "summary", "pos", "file_order")
+
+
+def wrapped_documents(spark, sf):
+    """Objects that wrap the records, beside another array; documents of the other shape are rejected."""
+    good = Y.read_analyses(spark, _order_documents(spark, sf, True), "wrapped")
+    bad = Y.read_analyses(spark, _order_documents(spark, sf, False), "wrapped")
+    counts = good.records.groupBy("file_order").agg(F.count(F.lit(1)).alias("records"), F.max("pos").alias("last"), F.sum("event_count").alias("events"))
+    return counts.join(bad.rejects.select("file_order", F.lit("rejected").alias("other")), "file_order")
 
 
 def judge_file(spark, sf):
@@ -286,7 +303,7 @@ def variation_prompts(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     repeated_incidents, judge_repeats, spoiled_lines, reject_lines, json_outputs, rubric_assertions, signature_conditions, signature_rejects, signature_index,
-    signature_examples, feed_file, csv_table, nested_json, analysis_lines, analysis_document, judge_file, series_file,
+    signature_examples, feed_file, csv_table, nested_json, analysis_lines, analysis_document, wrapped_documents, judge_file, series_file,
     found_incident, pass_rate_without, category_cells, sample_per_file, model_file_names, reasoning_chats, hand_written_rows,
     filled_cells, variation_prompts, signature_files, reference_documents, prompt_files,
 )}
@@ -355,8 +372,13 @@ ORACLES = {
         o_orderstatus AS metrics_deep_x FROM orders""",
     "analysis_lines": f"""WITH {ORDERS_SQL} SELECT incident_id, category, threat_level, event_count, severity AS summary,
         0 AS file_order FROM inc""",
-    "analysis_document": """SELECT n_name AS incident_id, CAST(n_regionkey AS BIGINT) AS event_count,
-        CAST(row_number() OVER (ORDER BY n_name) - 1 AS INT) AS pos FROM nation""",
+    "analysis_document": f"""WITH {ORDERS_SQL},
+        o AS (SELECT status, incident_id, event_count, 'a "}}" [b' AS summary FROM inc UNION ALL SELECT DISTINCT status, 'last', NULL, NULL FROM inc)
+        SELECT incident_id, event_count, summary, row_number() OVER (PARTITION BY status ORDER BY incident_id = 'last', incident_id) - 1 AS pos,
+               CASE status WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS file_order FROM o""",
+    "wrapped_documents": f"""WITH {ORDERS_SQL}
+        SELECT CASE status WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS file_order, count(*) + 1 AS records, count(*) AS "last",
+               CAST(sum(event_count) AS BIGINT) AS events, 'rejected' AS other FROM inc GROUP BY status""",
     "judge_file": ranking.ORACLES["judge_long"],
     "series_file": "SELECT CAST(event_id AS DOUBLE) AS x, round(value, 6) AS y, CAST(1 AS BIGINT) AS streamed FROM events",
     "found_incident": f"""WITH {EVENTS_SQL}

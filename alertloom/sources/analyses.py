@@ -1,5 +1,5 @@
 """Analysis files: one JSON document per file, either an array of records or an object that wraps
-the array as ``incidents``. JSON lines, which Spark can split, are read by ``read_record_lines``."""
+the array as ``incidents``; JSON lines are read by ``read_record_lines``."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.schemas import ANALYSIS
+from alertloom.session import stored
+from alertloom.sources.documents import document_records
 
 SHAPES = ("any", "wrapped", "array")
 
@@ -26,49 +28,56 @@ def _typed(raw: DataFrame) -> DataFrame:
     )
 
 
+def _file_orders(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``file`` and its place ``file_order`` in the caller's list, which may name files, folders and patterns; a file named twice
+    has two. Paths are resolved by the file system that Spark reads them from; the files themselves are listed by Spark."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    named = []
+    for order, path in enumerate(paths):
+        path = jvm.org.apache.hadoop.fs.Path(path)
+        for status in path.getFileSystem(conf).globStatus(path) or []:
+            named.append((status.getPath().toUri().toString().rstrip("/"), order))
+    named = spark.createDataFrame(named, "named string, file_order int")
+    files = spark.read.format("binaryFile").load(list(dict.fromkeys(paths))).select(F.col("_metadata.file_path").alias("file"), "path")
+    parts = F.split("file", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    # File systems print a path with one slash or three behind the scheme.
+    plain = F.regexp_replace("named", "^(file:)/+", "$1/")
+    return files.select("file", "path", F.explode(F.transform(above, lambda p: F.regexp_replace(p, "^(file:)/+", "$1/"))).alias("named")).join(
+        named.select(plain.alias("named"), "file_order"), "named").select("file", "path", "file_order").distinct()
+
+
+def _distinct_files(orders: DataFrame) -> list[str]:
+    """The files to read, each once; those of several folders and patterns may be the same."""
+    return [r.path for r in orders.select("path").distinct().collect()]
+
+
 def read_analyses(spark: SparkSession, paths: list[str], shape: str = "any") -> Analyses:
-    """Records of the files in the caller's order, and the files whose shape was not accepted."""
+    """Records of the files in the caller's order, and the files whose shape was not accepted.
+
+    All files are read in one scan, a large one by many tasks (``document_records``).
+    """
     if shape not in SHAPES:
         raise ValueError(f"shape must be one of {SHAPES}")
-    documents = None
-    for order, path in enumerate(paths):
-        document = spark.read.text(path, wholetext=True).select(
-            F.lit(order).alias("file_order"),
-            F.col("_metadata.file_path").alias("source_file"),
-            F.col("value"),
-        )
-        documents = document if documents is None else documents.unionByName(document)
-    bare = F.from_json("value", "array<string>")
-    wrapped = F.from_json("value", "struct<incidents:array<string>>")["incidents"]
-    starts_array = F.col("value").rlike(r"^\s*\[")
+    orders = stored(_file_orders(spark, paths))
+    records, seen = document_records(spark, _distinct_files(orders))
     accepted = {
-        "any": F.when(starts_array, bare).otherwise(wrapped),
-        "wrapped": F.when(~starts_array, wrapped),
-        "array": F.when(starts_array, bare),
+        "any": F.col("found"),
+        "wrapped": F.col("found") & (F.col("first") == "{"),
+        "array": F.col("first") == "[",
     }[shape]
-    documents = documents.withColumn("elements", accepted)
-    raw = documents.where(F.col("elements").isNotNull()).select(
-        "file_order", "source_file", F.posexplode("elements").alias("pos", "raw")
-    )
-    rejects = documents.where(F.col("elements").isNull()).select("file_order", "source_file")
+    accepted = orders.drop("path").join(seen.where("whole").where(accepted).select("file"), "file")
+    raw = records.join(accepted, "file").select("file_order", "pos", F.col("file").alias("source_file"), "raw")
+    rejects = orders.join(accepted.select("file", "file_order"), ["file", "file_order"], "left_anti").select("file_order", F.col("file").alias("source_file"))
     return Analyses(_typed(raw), rejects)
 
 
 def read_record_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The same records from JSON-lines files."""
-    frames = [
-        spark.read.text(path).where(F.trim("value") != "").select(
-            F.lit(order).alias("file_order"),
-            F.monotonically_increasing_id().alias("pos"),
-            F.col("_metadata.file_path").alias("source_file"),
-            F.col("value").alias("raw"),
-        )
-        for order, path in enumerate(paths)
-    ]
-    raw = frames[0]
-    for frame in frames[1:]:
-        raw = raw.unionByName(frame)
-    return _typed(raw)
+    """The same records from JSON-lines files, in one scan; ``pos`` orders the records of a file."""
+    orders = stored(_file_orders(spark, paths))
+    lines = spark.read.text(_distinct_files(orders)).select(
+        F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("raw"))
+    return _typed(lines.where(F.trim("raw") != "").join(orders.drop("path").withColumnRenamed("file", "source_file"), "source_file"))
 
 
 def file_name(path: Column) -> Column:
