@@ -66,7 +66,7 @@ def test_paths_keep_their_order(spark, tmp_path):
     (tmp_path / "dir").mkdir()
     for name, k in (("dir/one.json", 1), ("dir/two words.json", 2), ("b.json", 3)):
         (tmp_path / name).write_text(json.dumps([{"incident_id": str(k)}]))
-    (tmp_path / "gone.json").write_text("")
+    (tmp_path / "gone.json").write_text("{}")
     found = N.read_analyses(spark, [str(tmp_path / "b.json"), str(tmp_path / "dir"), str(tmp_path / "dir/o*.json"), str(tmp_path / "gone.json")])
     assert sorted((r.file_order, r.incident_id) for r in found.records.collect()) == [(0, "3"), (1, "1"), (1, "2"), (2, "1")]
     assert [r.file_order for r in found.rejects.collect()] == [3]
