@@ -30,10 +30,8 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights, probabilities and the draw for every document."""
-    return mixing.mixed_documents(_table(spark, sf_dir, "documents")).select(
-        "doc_id", "source", "lang", mixing.layout_topic(F.coalesce("text", F.lit(""))).alias("topic"),
-        mixing.n_tokens(F.coalesce("text", F.lit(""))).alias("n_tokens"), "mix_weight", "mix_probability", "sampled")
+    """Weights, probabilities, copies and the draw for every document."""
+    return mixing.mixing_table(_table(spark, sf_dir, "documents"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,3 +89,53 @@ def test_copies_have_the_target_weights(spark):
     assert abs(copies.sum() / len(rows) - 0.8) < 0.02 and (rows.sampled == (copies > 0)).all()
     loud = copies[rows.text == "LOUD WORDS"].sum() / copies.sum()
     assert abs(loud - 0.05 / 0.9) < 0.003  # of the topics that occur
+
+
+def test_the_query_holds_the_target_weights(spark, sf):
+    """Copies as the query returns them, against raking in numpy."""
+    from alertloom.llm import queries
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = queries.op4_mixing(spark, sf).toPandas()
+    assert sorted(rows.doc_id) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert all(len(texts[i].encode().split()) == n for i, n in zip(rows.doc_id, rows.n_tokens))
+    cells = rows.groupby(["source", "lang", "topic"]).n_tokens.sum().reset_index()
+    places, targets = [], []
+    for d in ("source", "lang"):
+        sums = cells.groupby(d).n_tokens.sum() ** 0.7
+        targets.append((sums / sums.sum()).to_numpy())
+        places.append(cells[d].map({v: k for k, v in enumerate(sums.index)}).to_numpy())
+    topics = sorted(set(cells.topic))
+    targets.append(np.array([M.TOPIC_TARGETS[t] for t in topics]))
+    places.append(cells.topic.map({t: k for k, t in enumerate(topics)}).to_numpy())
+    cells["weight"] = M.rake_cells(cells.n_tokens.to_numpy(float), places, targets) / (cells.n_tokens / cells.n_tokens.sum())
+    joined = rows.merge(cells[["source", "lang", "topic", "weight"]], on=["source", "lang", "topic"])
+    assert np.allclose(joined.mix_weight, joined.weight, rtol=1e-6)
+    assert (rows.sampled == (rows.mix_copies > 0)).all() and (rows.mix_copies <= M.MOST_COPIES).all()
+    factor = (joined.mix_probability / joined.mix_weight)[joined.mix_probability < 1]
+    assert np.allclose(factor, factor.iloc[0]) and (np.abs(rows.mix_copies - np.minimum(rows.mix_weight * factor.iloc[0], M.MOST_COPIES)) < 1).all()
+    whole = M.mixed_documents(docs).select("doc_id", "mix_copies").toPandas()
+    assert dict(zip(whole.doc_id, whole.mix_copies)) == dict(zip(rows.doc_id, rows.mix_copies))
+
+
+def test_one_rare_document_cannot_fill_a_task(spark):
+    """A topic with one document among 3,000: repeated 16 times at most, the others make up for it, and the shares say so."""
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, "LOUD WORDS").otherwise("quiet words").alias("text"),
+                                  F.lit("en").alias("lang"), F.lit("web").alias("source"), F.lit(11).alias("n_chars"))
+    rows = M.mixed_documents(df).toPandas()
+    assert rows.mix_copies[rows.doc_id == 0].iloc[0] == M.MOST_COPIES
+    assert abs(rows.mix_copies.sum() / 3000 - 0.8) < 0.03
+    topic = {"topic": M.layout_topic(F.col("text"))}
+    targets = {"topic": spark.createDataFrame([("prose", 0.9), ("shouting", 0.1)], "value string, target double")}
+    shares = {r.value: r for r in M.reached_shares(df, targets, topic).collect()}
+    assert np.isclose(shares["shouting"].drawn, 16 / 3000 / 0.8) and np.isclose(shares["prose"].drawn + shares["shouting"].drawn, 1)
+    assert np.isclose(shares["shouting"].target, 0.1) and np.isclose(shares["shouting"].own, 1 / 3000)
+
+
+def test_a_null_value_of_a_dimension_is_raked_as_other(spark):
+    cells = spark.createDataFrame([(None, "x", 10), ("a", "x", 30), ("a", None, 20)], "s string, l string, tokens long")
+    targets = {"s": spark.createDataFrame([("a", 0.5), (M.OTHER, 0.5)], "value string, target double"),
+               "l": spark.createDataFrame([("x", 0.7), (M.OTHER, 0.3)], "value string, target double")}
+    found = {(r.s, r.l): r.raked for r in M.rake_table(cells, targets).collect()}
+    assert np.isclose(found["a", "x"] + found["a", M.OTHER], 0.5, atol=1e-6) and np.isclose(found["a", M.OTHER], 0.3, atol=1e-6)
