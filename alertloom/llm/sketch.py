@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.llm.common import mixed, span_hashes, text_of
 
 #: One in so many shingle hashes is retained; a shingle is so many bytes of UTF-8.
-SCALE, WIDTH = 16, 12
+SCALE, WIDTH = 4, 12
+#: Slots in which ids are counted to cut them into ranges, and ranges, at most.
+SLOTS, RANGES = 1 << 16, 1 << 14
 
 
 def sketch(text: bytes, scale: int = SCALE, width: int = WIDTH) -> np.ndarray:
@@ -21,8 +24,9 @@ def sketch(text: bytes, scale: int = SCALE, width: int = WIDTH) -> np.ndarray:
 
     A shingle is ``width`` bytes in a row, or the whole text if it is shorter. Whether a hash is
     retained depends on it alone, so sketches of parts merge by union and sketches of texts of
-    very different lengths stay comparable. The least hash is retained in any case, so that short
-    texts have a sketch too. An empty text has none.
+    very different lengths stay comparable. A text with none below the threshold, a short one, gets its least
+    hash instead, so that it can be told from others; that hash lies above the threshold, which marks it, and
+    ``retained`` drops it before sketches are merged. An empty text has none.
     """
     data = np.frombuffer(text, np.uint8)
     if not len(data):
@@ -40,6 +44,11 @@ def sketch(text: bytes, scale: int = SCALE, width: int = WIDTH) -> np.ndarray:
     return few if len(few) else hashes[:1]
 
 
+def retained(hashes: np.ndarray, scale: int = SCALE) -> np.ndarray:
+    """A sketch without the hash that stands in for a short text's."""
+    return hashes[hashes < np.uint64(2**64 // scale)]
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     """Shared part of all hashes of both (resemblance) and of the smaller sketch (containment).
 
@@ -76,13 +85,13 @@ def document_sketches(docs: DataFrame, scale: int = SCALE, width: int = WIDTH) -
 def merged_sketches(docs: DataFrame, group: str, scale: int = SCALE, width: int = WIDTH) -> DataFrame:
     """Sketches of whole groups of documents as rows ``group``, ``hash`` (retained, distinct).
 
-    The union of the members' sketches; containment of one group in another is a join on ``hash``.
-    The hashes of a group are never gathered.
+    The union of the members' retained hashes, that is the sketch of the group's shingles; hashes that stand in for
+    short texts are left out. Containment of one group in another is a join on ``hash``. The hashes of a group are never gathered.
     """
 
     def sketched(batches):
         for batch in batches:
-            hashes = [sketch(t.as_buffer().to_pybytes(), scale, width) for t in batch.column(1)]
+            hashes = [retained(sketch(t.as_buffer().to_pybytes(), scale, width), scale) for t in batch.column(1)]
             rows = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
             flat = np.concatenate([np.zeros(0, np.uint64), *hashes])
             yield pa.RecordBatch.from_arrays(
@@ -105,19 +114,15 @@ def edit_trial(docs: DataFrame, scale: int = SCALE, width: int = WIDTH, bytes_a_
     The edit puts the beginning of the next document, in descending order of ``doc_id`` (the first
     after the last), in place of the last third. Documents are dealt to ranges of ``doc_id``, their
     texts compressed, and streamed in order; a range also gets the first document of the range
-    after it. Collected are the bounds of the ranges and their largest ids, both bounded by the
-    number of ranges. Rows of one ``doc_id`` go by their
+    after it. Collected are the bytes by slot of ids and the largest ids of the ranges, whose numbers are bounded whatever
+    the table: with more bytes the ranges grow, and a range is streamed. Rows of one ``doc_id`` go by their
     compressed bytes; null ids come last; null text counts as empty.
     A single document follows itself. An empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     width_of = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(width_of, total // bytes_a_range + 1)
-    cuts = rows.where("doc_id IS NOT NULL").agg(F.percentile_approx(
-        "doc_id", [k / ranges for k in range(1, ranges)] or [0.5], 20 * ranges)).first()[0] or []
-    cuts = sorted(set(cuts))
+    cuts = id_cuts(rows, width_of, bytes_a_range)
     # Range 0 has the largest ids; a null id is in the last.
     sent = spark.sparkContext.broadcast(np.array(cuts, np.int64))
     tops = {r["place"]: r["top"] for r in rows.select("doc_id").mapInArrow(
@@ -134,6 +139,49 @@ def edit_trial(docs: DataFrame, scale: int = SCALE, width: int = WIDTH, bytes_a_
         "place", "ahead", F.desc_nulls_last("doc_id"), "packed").mapInArrow(_streamed(scale, width), columns)
 
 
+def id_cuts(rows: DataFrame, least: int, bytes_a_range: int) -> list[int]:
+    """Ids that cut ``rows`` (``doc_id``, ``text``) into ranges of about equal bytes: each is the largest id of its range.
+
+    Bytes are counted by slots of ids, equal stretches of their values. Slots that hold more than a range are cut into slots
+    again, until they do not or are single ids. Collected are at most ``SLOTS`` sums a pass; a pass splits an id by 8 bits
+    at least. There are ``least`` to ``RANGES`` ranges.
+    """
+    known = rows.where("doc_id IS NOT NULL").select("doc_id", F.octet_length("text").cast("long").alias("bytes"))
+    bounds = known.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    if not bounds.n:
+        return []
+    # Each row counts for a byte more, so that empty texts are dealt out too.
+    total = bounds.bytes + bounds.n
+    size = max(1, min(total // least, max(bytes_a_range, total // RANGES)))
+    shift = max(0, (bounds.high - bounds.low).bit_length() - 16)
+
+    def slot(width: int) -> Column:
+        away = F.col("doc_id").cast("decimal(20,0)") - F.lit(Decimal(bounds.low)).cast("decimal(20,0)")
+        return F.floor(away / F.lit(Decimal(1 << width)).cast("decimal(20,0)")).cast("decimal(20,0)")
+
+    def sums(part: DataFrame, slot: Column) -> list[tuple[int, int]]:
+        found = part.groupBy(slot.alias("s")).agg((F.sum("bytes") + F.count(F.lit(1))).alias("b")).collect()
+        return [(int(r.s), r.b) for r in found]
+
+    slots = [(s << shift, shift, b) for s, b in sums(known, slot(shift))]
+    while shift and (heavy := [(s, b) for s, width, b in slots if width == shift and b > size]):
+        # The heavy slots share what may be collected.
+        step = max(1, min(shift, 16 - max(len(heavy) - 1, 0).bit_length()))
+        sent = rows.sparkSession.createDataFrame([(Decimal(s >> shift),) for s, _ in heavy], "_slot decimal(20,0)")
+        inside = known.withColumn("_slot", slot(shift)).join(F.broadcast(sent), "_slot")
+        below = shift - step
+        gone = {s for s, _ in heavy}
+        slots = [x for x in slots if not (x[1] == shift and x[0] in gone)] + [(s << below, below, b) for s, b in sums(inside, slot(below))]
+        shift = below
+    cuts, held = [], 0
+    for begin, width, b in sorted(slots):
+        held += b
+        if held >= size:
+            cuts.append(min(bounds.low + begin + (1 << width) - 1, bounds.high))
+            held = 0
+    return sorted(set(cuts))
+
+
 def _place(cuts: np.ndarray, ids: pa.Array) -> np.ndarray:
     known = ids.fill_null(0).to_numpy(zero_copy_only=False)
     place = len(cuts) - np.searchsorted(cuts, known, "left")
