@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from alertloom.llm.common import text_of
 from alertloom.session import stored
 
-#: Numbers that pieces of one length class are spread over, so that no class meets in one task.
-SLOTS = 256
+#: Numbers that pieces of one length class are spread over, so that no class meets in one task: as many as
+#: tens of millions of pieces ask for, between these.
+SLOTS, MOST_SLOTS = 256, 4096
+#: Pieces up to this length are told apart by it, longer ones by the next multiple of the grid.
+SHORT = 64
 
 
 class WordEncoder:
@@ -259,27 +262,33 @@ def fractional_round(counts: np.ndarray, steps: int, pace: float) -> list[tuple[
     return [(np.frombuffer(key, np.int64), times / most) for key, times in used.items()]
 
 
-def packing_plan(counts: np.ndarray, steps: int = 500, rounds: int = 3, pace: float = 0.5) -> list[tuple[np.ndarray, int]]:
-    """Patterns and how many sequences have each, for ``counts[size]`` pieces of each size.
-
-    Rounds of the fractional program, each rounded down; what is left goes to sequences filled
-    with the largest size that fits, many equal ones at once. Work depends on the number of
-    sizes, not of pieces.
-    """
+def _plan(counts: np.ndarray, steps: int, rounds: int, pace: float) -> list[tuple[np.ndarray, int]]:
     left, plan = counts.astype(np.int64).copy(), []
+    sizes = np.arange(len(left))
     capacity = len(left) - 1
+
+    def place(pattern: np.ndarray, times: int) -> None:
+        plan.append((pattern, times))
+        left[:] -= pattern * times
+
     if left[capacity]:
         one = np.zeros(capacity + 1, np.int64)
         one[capacity] = 1
-        plan.append((one, int(left[capacity])))
-        left[capacity] = 0
+        place(one, int(left[capacity]))
     for _ in range(rounds):
-        if left.sum() < 4 * (left > 0).sum():  # a few pieces of each size: nothing survives rounding
+        before = int(left.sum())
+        if not before:
             break
-        for pattern, times in fractional_round(left, steps, pace):
+        found = fractional_round(left, min(steps, 20 + 4 * int((left > 0).sum())), pace)
+        for pattern, times in found:
             if times >= 1:
-                plan.append((pattern, int(times)))
-                left -= pattern * int(times)
+                place(pattern, int(times))
+        # What rounding down took from nearly full patterns, as far as pieces are left for it.
+        for pattern, _ in sorted(found, key=lambda p: p[1] % 1, reverse=True):
+            if pattern @ sizes >= 0.98 * capacity and (pattern <= left).all():
+                place(pattern, 1)
+        if left.sum() == before:
+            break
     while left.any():
         pattern, space = np.zeros(capacity + 1, np.int64), capacity
         while space and (fits := np.flatnonzero(left[:space + 1] > pattern[:space + 1])).size:
@@ -288,44 +297,89 @@ def packing_plan(counts: np.ndarray, steps: int = 500, rounds: int = 3, pace: fl
             pattern[size] += n
             space -= n * size
         has = pattern > 0
-        times = int((left[has] // pattern[has]).min())
-        plan.append((pattern, times))
-        left -= pattern * times
+        place(pattern, int((left[has] // pattern[has]).min()))
     return plan
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, grid: int = 4, slots: int = SLOTS) -> DataFrame:
+def packing_plan(counts: np.ndarray, steps: int = 500, rounds: int = 3, pace: float = 0.5) -> list[tuple[np.ndarray, int]]:
+    """Patterns and how many sequences have each, for ``counts[size]`` pieces of each size.
+
+    Rounds of the fractional program, each rounded down and then up where pieces are left for it; what remains goes to
+    sequences filled with the largest size that fits, many equal ones at once. Where there are so few pieces that
+    rounding spoils the program, filling alone may need fewer sequences, and is taken. Work depends on
+    the number of sizes, not of pieces.
+    """
+    return min(_plan(counts, steps, rounds, pace), _plan(counts, 0, 0, pace), key=lambda plan: sum(n for _, n in plan))
+
+
+def place_table(counts: np.ndarray, capacity: int, grid: int, short: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the pieces of each class go: whole sequences of one short length, then the plan.
+
+    ``counts`` is by class: lengths up to ``short`` as they are, then multiples of ``grid``. Returns for each class how many go
+    to sequences of its own, how many fill one, its first sequence and its rank among its size in the plan; and the
+    plan's rows: size, first rank, first sequence, pieces a sequence. Both ways, with sequences of one length and without, are tried.
+    """
+    units = capacity // grid
+    lengths = np.arange(short + 1)
+    size_of = np.concatenate([-(-lengths // grid), np.arange(1, units + 1)])
+    per = np.concatenate([[1], capacity // lengths[1:], np.ones(units, np.int64)])
+
+    def tried(whole: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        rest = counts - whole * per
+        sizes = np.bincount(size_of, rest, units + 1).astype(np.int64)
+        own = np.stack([whole * per, per, np.cumsum(whole) - whole, np.zeros(len(counts), np.int64)], axis=1)
+        for k in range(len(counts)):
+            own[k, 3] = rest[:k][size_of[:k] == size_of[k]].sum()
+        rows, base, filled = [], int(whole.sum()), np.zeros(units + 1, np.int64)
+        for pattern, times in packing_plan(sizes):
+            for size in np.flatnonzero(pattern):
+                rows.append((size, filled[size], base, pattern[size]))
+                filled[size] += pattern[size] * times
+            base += times
+        return base, own, np.array(sorted(rows), np.int64).reshape(-1, 4)
+
+    whole = np.where(np.arange(len(counts)) <= short, counts // per, 0)
+    ways = [tried(np.zeros_like(whole))] + ([tried(whole)] if whole.any() else [])
+    _, own, table = min(ways, key=lambda way: way[0])
+    return own, table, size_of
+
+
+def pack(pieces: DataFrame, capacity: int = 4096, grid: int = 4, slots: int | None = None, short: int = SHORT) -> DataFrame:
     """Give each piece its ``sequence_id`` and its ``offset`` there.
 
-    The linear program sees sizes rounded up to ``grid``, so it has at most ``capacity / grid``
-    rows whatever the data; the only things collected are the counts by size and slot (a hash of
-    the piece), ``capacity / grid * slots`` numbers at most. A piece finds its sequence by its rank
-    among the pieces of its size: its number within the slot plus the pieces in earlier slots.
+    Full pieces are sequences of their own, numbered apart without a rank. Of the others, the linear program sees sizes
+    rounded up to ``grid``, so it has at most ``capacity / grid`` rows whatever the data; pieces of up to ``short`` tokens also
+    fill whole sequences by their exact length, if that is better. The only things collected are the
+    counts by length class and slot (a hash of the piece), ``(short + capacity / grid) * slots`` numbers at most. A piece finds its
+    sequence by its rank among the pieces of its class: its number within the slot plus the pieces in earlier slots.
     ``pieces`` is read several times: give a stored table. An empty table gives an empty one.
     """
-    spark, units = pieces.sparkSession, capacity // grid
-    marked = pieces.withColumn("_size", F.ceil(F.col("length") / grid).cast("int")).withColumn(
+    spark, units, short = pieces.sparkSession, capacity // grid, min(short, capacity)
+    full, rest = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
+    if slots is None:
+        slots = int(min(MOST_SLOTS, max(SLOTS, rest.count() // 20_000_000)))
+    length = F.col("length")
+    marked = rest.withColumn("_size", F.when(length <= short, length).otherwise(short + F.ceil(length / grid)).cast("int")).withColumn(
         "_slot", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(slots)).cast("int"))
-    counts = np.zeros((units + 1, slots), np.int64)
+    counts = np.zeros((short + units + 1, slots), np.int64)
     found = marked.groupBy("_size", "_slot").agg(F.count(F.lit(1)).alias("n")).toPandas()
     counts[found["_size"], found["_slot"]] = found["n"]
     before = np.cumsum(counts, axis=1) - counts
-    rows, base, filled = [], 0, np.zeros(units + 1, np.int64)
-    for pattern, times in packing_plan(counts.sum(axis=1)):
-        for size in np.flatnonzero(pattern):
-            rows.append((size, filled[size], base, pattern[size]))
-            filled[size] += pattern[size] * times
-        base += times
-    table = np.array(sorted(rows), np.int64).reshape(-1, 4)
-    sent = spark.sparkContext.broadcast((before, table))
+    own, table, size_of = place_table(counts.sum(axis=1), capacity, grid, short)
+    sent = spark.sparkContext.broadcast((before, own, table, size_of))
+    first_full = int((table[:, 2].max(initial=0) + counts.sum() + 1) if len(table) else counts.sum() + 1)
 
     @F.pandas_udf("long")
-    def sequence(size: pd.Series, slot: pd.Series, number: pd.Series) -> pd.Series:
-        before, table = sent.value
-        rank = before[size.to_numpy(), slot.to_numpy()] + number.to_numpy() - 1
+    def sequence(kind: pd.Series, slot: pd.Series, number: pd.Series) -> pd.Series:
+        before, own, table, size_of = sent.value
+        kind = kind.to_numpy()
+        rank = before[kind, slot.to_numpy()] + number.to_numpy() - 1
+        placed, per, base, ahead = own[kind].T
+        size, later = size_of[kind], rank - placed + ahead
         wide = np.int64(1) << 44
-        row = np.searchsorted(table[:, 0] * wide + table[:, 1], size.to_numpy() * wide + rank, "right") - 1
-        return pd.Series(table[row, 2] + (rank - table[row, 1]) // table[row, 3])
+        row = np.maximum(np.searchsorted(table[:, 0] * wide + table[:, 1], size * wide + later, "right") - 1, 0)
+        planned = table[row, 2] + (later - table[row, 1]) // table[row, 3] if len(table) else base
+        return pd.Series(np.where(rank < placed, base + rank // per, planned))
 
     order = ["doc_id", "piece", "ids_crc32"]
     placed = marked.withColumn(
@@ -333,8 +387,9 @@ def pack(pieces: DataFrame, capacity: int = 4096, grid: int = 4, slots: int = SL
     ).withColumn("sequence_id", sequence("_size", "_slot", "_number"))
     inside = Window.partitionBy("sequence_id").orderBy(*order, "_number", "_size", "_slot").rowsBetween(
         Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0))).select(
+    placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0))).select(
         *pieces.columns, "sequence_id", "offset")
+    return placed.union(full.select("*", (F.lit(first_full) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
 
 
 def packed_documents(docs: DataFrame, spec: str, capacity: int = 4096) -> DataFrame:

@@ -110,3 +110,39 @@ def test_plan_places_every_piece_and_is_near_the_bound(seed):
     assert all(p @ np.arange(257) <= 256 for p, _ in plan)
     used, least = sum(n for _, n in plan), -(-int(counts @ np.arange(257)) // 256)
     assert used <= 1.02 * least + 2
+
+
+def sequences(spark, lengths, capacity=4096):
+    rows = [(k, 0, 0, n, k) for k, n in enumerate(lengths)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long"), capacity).collect()
+    assert len(out) == len(lengths)
+    room = {}
+    for r in out:
+        room.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in room.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= capacity
+    return len(room)
+
+
+def test_short_pieces_are_packed_by_their_exact_length(spark):
+    assert sequences(spark, [1] * 8192) == 2
+    assert sequences(spark, [5] * 1638) == 2
+    assert sequences(spark, [64] * 640 + [63] * 130) == 12
+    assert sequences(spark, [4091] * 50 + [5] * 50 + [4096] * 3) <= 53 + 1
+
+
+def test_the_program_runs_at_every_size(spark, monkeypatch):
+    """A few pieces of each size: the program is solved, and never costs a sequence against filling alone."""
+    solved = []
+    plain = packing.fractional_round
+    monkeypatch.setattr(packing, "fractional_round", lambda *a: solved.append(1) or plain(*a))
+    draw = np.random.default_rng(1)
+    for _ in range(3):
+        counts = np.bincount(draw.integers(1, 200, 60), minlength=257)
+        used = sum(n for _, n in packing.packing_plan(counts, steps=100))
+        assert used <= sum(n for _, n in packing._plan(counts, 0, 0, 0.5)) and used <= 1.1 * -(-int(counts @ np.arange(257)) // 256) + 1
+    assert solved
