@@ -49,6 +49,14 @@ def size_reduction(spark, sf):
         "saved_percent", F.round("saved_percent", 6))
 
 
+def token_reduction(spark, sf):
+    """What grouping saves in tokens, here words."""
+    linked = _linked(spark, sf)
+    words = lambda line: F.size(F.filter(F.split(line, " "), lambda w: w != ""))
+    found = I.size_reduction(I.pattern_groups(linked), linked, words)
+    return found.select("incident_id", "raw_tokens", F.round("saved_tokens_percent", 6).alias("saved_tokens_percent"))
+
+
 def missing_events(spark, sf):
     return I.missing_events(N.alert_links(spark, sf), N.alert_events(spark, sf)) \
         .select("incident_id", "pos", "event_id")
@@ -97,7 +105,7 @@ def last_event_wins(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     incident_groups, incident_desc_top3, severity_breakdown, incident_report, pattern_groups,
-    evidence_text, raw_evidence_text, size_reduction, missing_events, file_scoped_links,
+    evidence_text, raw_evidence_text, size_reduction, token_reduction, missing_events, file_scoped_links,
     source_summary, source_event_types, read_alerts, parse_counts, last_event_wins,
 )}
 
@@ -255,6 +263,11 @@ ORACLES = {
         SELECT incident_id, events, raw_chars, patterns, grouped_chars,
                round(100.0 * (1 - CAST(grouped_chars AS DOUBLE) / raw_chars), 6) AS saved_percent
         FROM r JOIN g USING (incident_id)""",
+    "token_reduction": f"""WITH {EVENTS_SQL}, {PATTERNS_SQL},
+        r AS (SELECT incident_id, CAST(sum(len(list_filter(string_split(short || ' | ' || description, ' '), lambda w: w <> ''))) AS BIGINT) AS raw_tokens
+              FROM alert GROUP BY incident_id),
+        g AS (SELECT incident_id, sum(len(list_filter(string_split(line, ' '), lambda w: w <> ''))) AS n FROM plines GROUP BY incident_id)
+        SELECT incident_id, raw_tokens, round(100.0 * (1 - CAST(n AS DOUBLE) / raw_tokens), 6) AS saved_tokens_percent FROM r JOIN g USING (incident_id)""",
     "missing_events": f"""WITH {EVENTS_SQL}
         SELECT incident_id, event_id * 2 + 1 AS pos, 'lost-' || event_id AS event_id
         FROM alert WHERE k % 20 = 0""",

@@ -6,12 +6,17 @@ import json
 
 from pyspark.sql import functions as F
 
+from alertloom.operators import datasets as D
 from alertloom.operators import incidents as I
 from alertloom.operators import ranking as R
+from alertloom.operators import stores as S
 from alertloom.plans import flows as W
 from alertloom.plans import inputs as N
 from alertloom.plans.alerts import EVENTS_SQL, PATTERNS_SQL
+from alertloom.plans.alerts import ORACLES as ALERTS
+from alertloom.plans.datasets import ORACLES as DATASETS
 from alertloom.plans.sampling import ORACLES as SAMPLING
+from alertloom.session import new_folder, shuffle_width, stored
 
 
 def _count_lines(prompt: str) -> str:
@@ -44,7 +49,40 @@ def judged_models(spark, sf):
     return stats.withColumns({c: F.round(c, 6) for c in ("avg_position", "avg_score", "win_rate")})
 
 
-QUERIES = {f.__name__: f for f in (model_analyses, judged_models)}
+def _answer(prompt: str) -> str:
+    if "Medium" in prompt:
+        raise ValueError("no answer")
+    return f"{len(prompt)} characters"
+
+
+def resumed_model(spark, sf):
+    """Prompts of the events asked with a store: half of them in a first run, then all."""
+    store = new_folder(spark)
+    asked = N.alert_events(spark, sf).select("event_id", F.concat_ws(" ", "severity", "description").alias("prompt"))
+    S.ask_once(asked.where(F.crc32(F.col("event_id").cast("binary")) % 2 == 0), "prompt", _answer, store, slices=2)
+    return S.ask_once(asked, "prompt", _answer, store, slices=2).select("event_id", "reply", F.coalesce("error", F.lit("")).alias("error"))
+
+
+def stored_merge(spark, sf):
+    """The analysis records added to a bucketed store file by file, then correlated."""
+    store = S.MergeStore(spark, new_folder(spark), shuffle_width(spark))
+    rows = N.analysis_records(spark, sf).withColumn("payload", D.payload())
+    for parity in (1, 0):
+        store.add(rows.where(F.col("file_order") % 2 == parity))
+    found = stored(store.correlated())
+    store.close()
+    return found.select("incident_id", "source_ip", "timewindow", "timeline", "threat_level", "event_count", F.size("analyses").alias("producers"))
+
+
+def daily_source_summary(spark, sf):
+    """Summaries of the days stored, and merged without the events."""
+    path = new_folder(spark)
+    S.write_days(S.daily_summary(N.alert_events(spark, sf)), path)
+    found = S.summary_of_days(spark.read.parquet(path))
+    return found.select("source_ip", "events", "severities", F.round("hours", 6).alias("hours"))
+
+
+QUERIES = {f.__name__: f for f in (model_analyses, judged_models, resumed_model, stored_merge, daily_source_summary)}
 
 ORACLES = {
     "model_analyses": f"""WITH {EVENTS_SQL}, {PATTERNS_SQL},
@@ -63,4 +101,11 @@ ORACLES = {
                count(*) FILTER (position = 1) AS wins,
                round(100.0 * count(*) FILTER (position = 1) / (SELECT count(*) FROM s), 6) AS win_rate
         FROM p GROUP BY model""",
+    "resumed_model": f"""WITH {EVENTS_SQL}
+        SELECT CAST(event_id AS VARCHAR) AS event_id, CASE WHEN severity = 'Medium' THEN 'query failed: no answer'
+               ELSE length(severity || ' ' || description) || ' characters' END AS reply,
+               CASE WHEN severity = 'Medium' THEN 'no answer' ELSE '' END AS error FROM alert""",
+    "stored_merge": f"""SELECT incident_id, source_ip, timewindow, timeline, threat_level, event_count, producers
+        FROM ({DATASETS["correlate_nway"]})""",
+    "daily_source_summary": f"""SELECT source_ip, events, severities, hours FROM ({ALERTS["source_summary"]})""",
 }

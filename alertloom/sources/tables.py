@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from alertloom.functions.text import strip
 from alertloom.schemas import JUDGE_RESULT, TURNS
+from alertloom.session import stored
 
 # Fixed value: the largest reference document that goes into a prompt, in bytes.
 LARGEST_DOCUMENT = 50 * 1024
@@ -64,14 +65,23 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_series(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Measured series: the first two columns by position, named after their file."""
-    table = spark.read.csv(paths, header=True)
-    if len(table.columns) < 2:
-        raise ValueError("a series file needs at least two columns")
-    x, y = (F.col(f"`{c}`") for c in table.columns[:2])
-    name = F.substring_index(F.col("_metadata.file_path"), "/", -1)
-    return table.select(name.alias("series"), x.try_cast("double").alias("x"),
-                        y.try_cast("double").alias("y"))
+    """Measured series: the first two columns by position, named after their file, whatever each file calls them.
+
+    Each file's first line is its header, which says how wide the file is: a header of less than two columns is an error that names the file.
+    """
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"), F.col("value"))
+    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "row").alias("header"), F.min("row").alias("row"))
+    first = stored(first)
+    narrow = first.where(F.size(F.split("header", ",")) < 2).select("file").limit(3).collect()
+    if narrow:
+        raise ValueError(f"a series file needs at least two columns: {', '.join(r.file for r in narrow)}")
+    cells = F.from_csv("value", "x string, y string", {"mode": "PERMISSIVE"})
+    body = lines.join(first.select("file", F.col("row").alias("head")), "file").where("row <> head AND value <> ''")
+    name = F.substring_index("file", "/", -1)
+    return body.select(name.alias("series"), cells.alias("c")).select(
+        "series", F.col("c.x").try_cast("double").alias("x"), F.col("c.y").try_cast("double").alias("y"))
 
 
 def unwrap_chats(documents: DataFrame, column: str = "value") -> DataFrame:

@@ -88,13 +88,15 @@ def test_sample_file(spark, tmp_path):
 
 
 def test_a_category_of_the_incident_is_replaced(spark):
-    raw = ['{"ID": "i", "category": "old", "Note": "{\\"category\\": 1}"}', '{"category":null, "ID":"i"}', '{"ID": "i"}', "{}"]
+    raw = ['{"ID": "i", "category": "old", "Note": "{\\"category\\": 1}"}', '{"category":null, "ID":"i"}', '{"ID": "i"}', "{}",
+           '{"ID": "1", "Target": {"category": "x"}}', '{"Target": [{"category": "x"}], "category": {"a": ["b", {}]}, "z": [1, 2]}', '{"category": [1, 2]}',
+           '{"a": "category", "category" : {}}', '{"category": "category", "b": "}"}']
     sample = spark.createDataFrame([("f", f"i{n}", r, "a$1\\ \"b") for n, r in enumerate(raw)], "source_file string, incident_id string, raw_json string, category string")
     links = spark.createDataFrame([], "source_file string, incident_id string, pos int, event_id string")
     events = spark.createDataFrame([], "source_file string, event_id string, raw_json string")
     for line, old in zip([r["line"] for r in K.sample_rows(sample, links, events).orderBy("incident_id").collect()], raw):
         pairs = json.loads(line, object_pairs_hook=list)
-        assert [k for k, _ in pairs].count("category") == 1 and dict(pairs) == {**json.loads(old), "category": 'a$1\\ "b'}
+        assert [k for k, _ in pairs].count("category") == 1 and json.loads(line) == {**json.loads(old), "category": 'a$1\\ "b'}
 
 
 def test_tables_and_records(spark, tmp_path):
@@ -116,3 +118,33 @@ def test_signature_text(spark, tmp_path):
     df = spark.createDataFrame([(1, "signature a {\n}"), (2, "signature b {\n}")], "n int, signature string")
     K.write_signatures(df, str(tmp_path / "sig"), order=["n"], single=True)
     assert "\n".join(lines_of(tmp_path / "sig")) == "signature a {\n}\n\nsignature b {\n}\n"
+
+
+def test_a_sample_keeps_its_order_and_is_read_back(spark, tmp_path):
+    lines = [{"Status": "Incident", "ID": f"i{k}", "CorrelID": [f"e{k}", "e0"]} for k in range(6)] + [{"Status": "Event", "ID": f"e{k}"} for k in range(6)]
+    (tmp_path / "alerts.json").write_text("\n".join(json.dumps(x) for x in lines))
+    alerts = S.read_alerts(spark, str(tmp_path / "alerts.json"))
+    order = F.when(F.col("incident_id") == "i4", 0).when(F.col("incident_id") == "i1", 1).when(F.col("incident_id") == "i3", 2)
+    sample = alerts.incidents.withColumns({"sample_order": order, "category": F.lit("Normal")}).where("sample_order IS NOT NULL")
+    rows = K.sample_rows(sample, I.explode_links(alerts.incidents, "file"), S.last_events(alerts.events, "file"))
+    K.write_sample(rows, str(tmp_path / "out"))
+    assert [json.loads(x)["ID"] for x in lines_of(tmp_path / "out")] == ["i4", "e4", "e0", "i1", "e1", "e0", "i3", "e3", "e0"]
+
+
+def test_documents_end_once_though_rows_repeat(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "x")] * 3 + [("b", "y" * 50_000)] * 2, "incident_id string, text string")
+    K.write_json_document(rows, str(tmp_path / "doc"), ["incident_id"], wrapped=True)
+    text = "".join(x + "\n" for x in lines_of(tmp_path / "doc"))
+    assert [r["incident_id"] for r in json.loads(text)["incidents"]] == ["a", "a", "a", "b", "b"]
+
+
+def test_series_files_of_different_widths(spark, tmp_path):
+    from alertloom.sources.tables import read_series
+
+    (tmp_path / "a.csv").write_text("Time,Temperature\n0.5,40\n1.5,41\n")
+    (tmp_path / "b.csv").write_text("minutes,degrees,note\n2,7,\"x, y\"\n\n3,bad,z\n")
+    assert sorted(tuple(r) for r in read_series(spark, str(tmp_path)).where("y IS NOT NULL").collect()) == [
+        ("a.csv", 0.5, 40.0), ("a.csv", 1.5, 41.0), ("b.csv", 2.0, 7.0)]
+    (tmp_path / "c.csv").write_text("only\n1\n")
+    with pytest.raises(ValueError, match="c.csv"):
+        read_series(spark, str(tmp_path))
