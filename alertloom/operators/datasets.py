@@ -244,9 +244,12 @@ def integrity(output: DataFrame, required: tuple[str, ...] = REQUIRED_FIELDS) ->
     )
 
 
-def verify_merge(inputs: DataFrame, output: DataFrame, readable: bool = True) -> DataFrame:
+def verify_merge(inputs: DataFrame, output: DataFrame, readable: bool | DataFrame = True) -> DataFrame:
     """Rows (check, passed, detail) over a merge, closed by their conjunction ``overall``.
 
+    ``readable`` says whether all files could be read, or is a table of those that could not, a row each, such as
+    ``unreadable_files`` gives; their number is the detail of the check.
+
     ``output`` needs a ``pos`` for the order check and should be a written table: it is read three
     times, for its ids, its fields and its order.
     """
@@ -256,8 +259,9 @@ def verify_merge(inputs: DataFrame, output: DataFrame, readable: bool = True) ->
     def count(name: str) -> Column:
         return F.col(name) == 0
 
+    bad = F.lit(0) if isinstance(readable, bool) else readable.agg(F.count(F.lit(1))).scalar()
     ids = id_balance(inputs, output).select(F.inline(F.array(
-        row("files", F.lit(readable), F.lit("")),
+        row("files", *((F.lit(readable), F.lit("")) if isinstance(readable, bool) else (bad == 0, F.format_string("%d unreadable", bad)))),
         row("counts", F.col("output_count") == F.col("unique_ids"),
             F.format_string("%d in, %d ids, %d out, %d removed", "input_total", "unique_ids",
                             "output_count", "duplicates_removed")),

@@ -37,8 +37,11 @@ def _file_orders(spark: SparkSession, paths: list[str]) -> DataFrame:
         path = jvm.org.apache.hadoop.fs.Path(path)
         for status in path.getFileSystem(conf).globStatus(path) or []:
             named.append((status.getPath().toUri().toString().rstrip("/"), order))
+    there = [paths[k] for k in sorted({order for _, order in named})]
     named = spark.createDataFrame(named, "named string, file_order int")
-    files = spark.read.format("binaryFile").load(list(dict.fromkeys(paths))).select(F.col("_metadata.file_path").alias("file"), "path")
+    if not there:
+        return spark.createDataFrame([], "file string, path string, file_order int")
+    files = spark.read.format("binaryFile").load(list(dict.fromkeys(there))).select(F.col("_metadata.file_path").alias("file"), "path")
     parts = F.split("file", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     # File systems print a path with one slash or three behind the scheme.
@@ -60,7 +63,10 @@ def read_analyses(spark: SparkSession, paths: list[str], shape: str = "any") ->
     if shape not in SHAPES:
         raise ValueError(f"shape must be one of {SHAPES}")
     orders = stored(_file_orders(spark, paths))
-    records, seen = document_records(spark, _distinct_files(orders))
+    files = _distinct_files(orders)
+    if not files:
+        raise ValueError(f"none of the {len(paths)} paths leads to a file")
+    records, seen = document_records(spark, files)
     accepted = {
         "any": F.col("found"),
         "wrapped": F.col("found") & (F.col("first") == "{"),
@@ -72,6 +78,18 @@ def read_analyses(spark: SparkSession, paths: list[str], shape: str = "any") ->
     return Analyses(_typed(raw), rejects)
 
 
+def unreadable_files(spark: SparkSession, paths: list[str], shape: str = "any") -> DataFrame:
+    """``file_order`` and ``source_file`` of the files that hold no document of the shape, and the named paths that lead to no file."""
+    rejects = read_analyses(spark, paths, shape).rejects
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = []
+    for order, path in enumerate(paths):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        if not (at.getFileSystem(conf).globStatus(at) or []):
+            gone.append((order, path))
+    return rejects.union(spark.createDataFrame(gone, "file_order int, source_file string"))
+
+
 def read_record_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The same records from JSON-lines files, in one scan; ``pos`` orders the records of a file."""
     orders = stored(_file_orders(spark, paths))

@@ -70,3 +70,18 @@ def test_paths_keep_their_order(spark, tmp_path):
     found = N.read_analyses(spark, [str(tmp_path / "b.json"), str(tmp_path / "dir"), str(tmp_path / "dir/o*.json"), str(tmp_path / "gone.json")])
     assert sorted((r.file_order, r.incident_id) for r in found.records.collect()) == [(0, "3"), (1, "1"), (1, "2"), (2, "1")]
     assert [r.file_order for r in found.rejects.collect()] == [3]
+
+
+def test_files_of_a_merge_are_looked_at(spark, tmp_path):
+    from alertloom.operators import datasets as D
+
+    rows = [{"incident_id": k, "category": "Normal", "source_ip": "1", "timewindow": "1", "timeline": "t", "threat_level": 1.0, "event_count": 2} for k in "ab"]
+    (tmp_path / "in.json").write_text(json.dumps({"incidents": rows}))
+    (tmp_path / "bad.json").write_text('{"incidents": [')
+    (tmp_path / "out.json").write_text(json.dumps(rows))
+    good, bad, out = (str(tmp_path / n) for n in ("in.json", "bad.json", "out.json"))
+    output = N.read_analyses(spark, [out], "array").records
+    inputs = N.read_analyses(spark, [good, bad], "wrapped").records
+    for paths, passed, detail in (([good], True, "0 unreadable"), ([good, bad], False, "1 unreadable"), ([good, bad, str(tmp_path / "gone.json")], False, "2 unreadable")):
+        report = {r["check"]: r for r in D.verify_merge(inputs, output, N.unreadable_files(spark, paths, "wrapped")).collect()}
+        assert (report["files"].passed, report["files"].detail, report["overall"].passed) == (passed, detail, passed)
