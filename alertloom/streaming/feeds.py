@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,54 @@ def stream_match(uris: DataFrame, read_feed: Callable[[], DataFrame], out: str,
     return writer.start()
 
 
+CHANGES = "regex string, description string, change string, version long"
+STATE = "description string, version long"
+
+
+def _pattern_changes(key, frames, state):
+    """Changes of one pattern, from the versions of the feed that name it and, on a timeout, from a version that does not."""
+    regex, out = key[0], []
+    last = state.get if state.exists else None
+    if state.hasTimedOut:
+        state.remove()
+        yield pd.DataFrame([(regex, last[0], "REMOVED", last[1] + 1)], columns=["regex", "description", "change", "version"])
+        return
+    rows = pd.concat(list(frames), ignore_index=True)
+    for row in rows.sort_values(["version", "line"], kind="stable").groupby("version").tail(1).itertuples():
+        if last is not None and row.version <= last[1]:
+            continue  # a version that was seen before
+        if last is not None and row.version > last[1] + 1:
+            out.append((regex, last[0], "REMOVED", last[1] + 1))
+            last = None
+        if last is None:
+            out.append((regex, row.description, "NEW", row.version))
+        elif row.description != last[0]:
+            out.append((regex, row.description, "CHANGED", row.version))
+        last = (row.description, int(row.version))
+    if last is not None:
+        state.update(last)
+        # Due as soon as a later version has been read and did not name the pattern.
+        state.setTimeoutTimestamp(last[1] * 1000 + 1)
+    yield pd.DataFrame(out, columns=["regex", "description", "change", "version"])
+
+
+def stream_changes(versions: DataFrame) -> DataFrame:
+    """Changes of a feed out of a stream of its versions: ``regex``, ``description``, ``change``, ``version``.
+
+    ``versions`` (streaming): ``version`` (1, 2, .. without gaps), ``regex``, ``description``, ``line``; each version names all
+    patterns of the feed then. Of each pattern a state of its description and last version is kept, in
+    place of snapshots that are compared; a version is an event time, and a pattern that a version no
+    longer names times out as soon as that version has been read. So a removal comes a batch after the version,
+    or with the batch without data that follows the last one. A batch that is run again, or a version
+    that comes twice, gives no change twice. For output in append mode.
+    """
+    at = F.timestamp_seconds(F.col("version")).alias("at")
+    timed = versions.where(F.col("regex").isNotNull()).select(
+        "regex", F.coalesce("description", F.lit("")).alias("description"), F.col("version").cast("long").alias("version"),
+        F.col("line").cast("long").alias("line"), at).withWatermark("at", "0 seconds")
+    return timed.groupBy("regex").applyInPandasWithState(_pattern_changes, CHANGES, STATE, "append", "EventTimeTimeout")
+
+
 def stream_series(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
     """Readings from a folder to which closed files are added, as (series, x, y)."""
     readings = spark.readStream.schema("x double, y double").option("header", True) \

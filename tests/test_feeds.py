@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -147,3 +148,41 @@ def test_too_many_patterns_without_a_literal_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(W, "MOST_WITHOUT_LITERAL", 2)
     with pytest.raises(ValueError, match="without a literal"):
         W.match_feed(spark.createDataFrame([("/a",)], "uri string"), frame(spark, [("a", "1"), ("b", "2"), ("c", "3")]))
+
+
+def test_change_events_with_state_equal_comparing_snapshots(spark, tmp_path):
+    """A replay of versions, stopped and started again from its checkpoint in between."""
+    import json
+
+    from alertloom.session import package_on_workers
+    from alertloom.streaming.feeds import stream_changes
+
+    package_on_workers(spark)
+    draw = random.Random(4)
+    versions = [[(f"p{k}", draw.choice("ab")) for k in range(12) if draw.random() < 0.6] or [("p0", "a")] for _ in range(6)]
+    versions[3] = versions[2]
+    folder = tmp_path / "versions"
+    folder.mkdir()
+
+    def replay(upto):
+        for n in range(upto):
+            if not (folder / f"{n}.json").exists():
+                (folder / f"{n}.json").write_text("\n".join(json.dumps({"version": n + 1, "regex": r, "description": d, "line": i}) for i, (r, d) in enumerate(versions[n])))
+                os.utime(folder / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))  # files are read in order of their times
+        rows = spark.readStream.schema("version long, regex string, description string, line long").option("maxFilesPerTrigger", 1).json(str(folder))
+        query = stream_changes(rows).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")) \
+            .trigger(availableNow=True).start(str(tmp_path / "out"))
+        assert query.awaitTermination(240)
+
+    replay(4)
+    replay(6)
+    got = {(r.version, r.regex, r.description, r.change) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    wanted, before = set(), {}
+    for n, version in enumerate(versions):
+        now = dict(version)
+        wanted |= {(n + 1, r, d, "NEW") for r, d in now.items() if r not in before} | {(n + 1, r, d, "CHANGED") for r, d in now.items() if before.get(r, d) != d}
+        wanted |= {(n + 1, r, d, "REMOVED") for r, d in before.items() if r not in now}
+        before = now
+    assert got == wanted and spark.read.parquet(str(tmp_path / "out")).count() == len(wanted)
+    first = W.feed_changes(frame(spark, versions[0]), frame(spark, versions[1])).collect()
+    assert {(r["regex"], r["description"], r["change"]) for r in first} == {x[1:] for x in wanted if x[0] == 2}
