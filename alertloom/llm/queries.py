@@ -29,6 +29,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.without_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def reference_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 13 words or more that documents share with the benchmark, by broadcast suffix automata."""
+    return substring.spans_in_reference(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), least=13)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights, probabilities, copies and the draw for every document."""
     return mixing.mixing_table(_table(spark, sf_dir, "documents"))
@@ -207,6 +212,7 @@ QUERIES = {
     "op11_whitening": op11_whitening,
     "op12_line_dedup": op12_line_dedup,
     "op13_filter_audit": op13_filter_audit,
+    "reference_spans": reference_spans,
 }
 
 ORACLES = {

@@ -109,3 +109,29 @@ def test_spans_in_a_given_reference(spark):
     with pytest.raises(ValueError):
         substring.spans_in_reference(docs, reference, shard_words=10, most_shards=2)
     assert substring.spans_in_reference(docs, reference.limit(0)).count() == 0
+
+
+def test_spans_of_the_benchmark_equal_trying_every_start(spark, sf):
+    """The registered query against every start of every document."""
+    from alertloom.llm import queries
+
+    reference = [r.text.encode().split() for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if r.text]
+    starts = {}
+    for k, words in enumerate(reference):
+        for i in range(len(words) - 12):
+            starts.setdefault(b" ".join(words[i:i + 13]), []).append((k, i))
+    want = set()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        words, reach = (r.text or "").encode().split(), 0
+        for begin in range(len(words) - 12):
+            ends = []
+            for k, i in starts.get(b" ".join(words[begin:begin + 13]), ()):
+                n = 13
+                while begin + n < len(words) and i + n < len(reference[k]) and words[begin + n] == reference[k][i + n]:
+                    n += 1
+                ends.append(begin + n)
+            if ends and max(ends) > reach:
+                reach = max(ends)
+                want.add((r.doc_id, begin, reach))
+    got = [tuple(r) for r in queries.reference_spans(spark, sf).select("doc_id", "begin", "end").collect()]
+    assert sorted(got) == sorted(want) and len(want) >= 3
