@@ -27,9 +27,9 @@ def is_json(text: Column) -> Column:
 def with_end_mark(text: Column) -> Column:
     """The text of an object with a last field ``END_MARK``. Read into a struct that has this field, it is
     null if the object ended early or words follow it. Null for texts that can't be an object."""
-    text = F.rtrim(F.regexp_replace(text, r"\s+$", ""))
+    text = F.btrim(text, F.lit(" \t\r\n"))
     body = F.substring(text, F.lit(1), F.char_length(text) - 1)
-    glue = F.when(text.rlike(r"^\s*\{\s*\}$"), F.lit("")).otherwise(F.lit(","))
+    glue = F.when(text.rlike(r"^\{\s*\}"), F.lit("")).otherwise(F.lit(","))
     return F.when(text.startswith("{") & text.endswith("}"), F.concat(body, glue, F.lit(f'"{END_MARK}":1}}')))
 
 
