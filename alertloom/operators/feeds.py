@@ -18,6 +18,8 @@ from alertloom.session import package_on_workers, stored
 RULES_PER_SCAN = 2000
 # Patterns that no literal is required for are such expressions; of them a feed may have so many.
 MOST_WITHOUT_LITERAL = 20_000
+# So many patterns in all are tried as expressions; building an index would cost more.
+FEW_PATTERNS = 200
 # Characters of a key of the index, for literals of that length or more, and for shorter ones.
 KEY, SHORT_KEY = 6, LEAST_LITERAL
 
@@ -95,11 +97,22 @@ def match_feed(uris: DataFrame, feed: DataFrame, uri_col: str = "uri") -> DataFr
     From each pattern the literals are taken that any match must hold; one key of each is joined with
     the stretches of that length of the URI, and only on what meets there and holds the literal the regular expression is
     tried. The index is a stored table: Spark sends it to the tasks if it sees that it is small, and shuffles the
-    stretches otherwise. No pattern with a literal comes to the driver; the few without one are tried on every URI.
+    stretches otherwise. No pattern with a literal comes to the driver; the few without one are tried on every URI, as are all
+    of a feed of at most ``FEW_PATTERNS``.
     """
     package_on_workers(uris.sparkSession)
-    patterns = feed_patterns(feed).where("valid").drop("valid").withColumn("required", required_literals("regex"))
-    patterns = stored(patterns)
+    patterns = feed_patterns(feed).where("valid").drop("valid")
+
+    def hit(p: Row) -> Column:
+        found = F.struct(F.lit(p["regex"]).alias("regex"), F.lit(p["description"]).alias("description"))
+        return F.when(F.col(uri_col).rlike(p["regex"]), found)
+
+    kind = "struct<regex:string,description:string>"
+    few = patterns.orderBy("regex").limit(FEW_PATTERNS + 1).collect()
+    if len(few) <= FEW_PATTERNS:
+        return blocks(uris, few, hit, kind)
+
+    patterns = stored(patterns.withColumn("required", required_literals("regex")))
     index = stored(literal_index(patterns.where(F.size("required") > 0)))
     low = _lowered(F.col(uri_col))
     lengths = {KEY, SHORT_KEY} & {r.n for r in index.select(F.char_length("key").alias("n")).distinct().collect()}
@@ -113,12 +126,7 @@ def match_feed(uris: DataFrame, feed: DataFrame, uri_col: str = "uri") -> DataFr
     rest = patterns.where(F.size("required") == 0).select("regex", "description")
     if (count := rest.count()) > MOST_WITHOUT_LITERAL:
         raise ValueError(f"{count} patterns without a literal of {LEAST_LITERAL} characters; at most {MOST_WITHOUT_LITERAL} are tried on every row")
-
-    def hit(p: Row) -> Column:
-        found = F.struct(F.lit(p["regex"]).alias("regex"), F.lit(p["description"]).alias("description"))
-        return F.when(F.col(uri_col).rlike(p["regex"]), found)
-
-    return indexed.unionByName(blocks(uris, rest.orderBy("regex").collect(), hit, "struct<regex:string,description:string>"))
+    return indexed.unionByName(blocks(uris, rest.orderBy("regex").collect(), hit, kind))
 
 
 def feed_changes(previous: DataFrame, current: DataFrame) -> DataFrame:

@@ -44,8 +44,10 @@ def test_invalid_patterns_are_set_aside(spark):
     assert [r["regex"] for r in good] == ["a"] and [r["regex"] for r in bad] == ["("]
 
 
-def test_more_patterns_than_one_block(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 200])
+def test_more_patterns_than_one_block(spark, monkeypatch, few):
     monkeypatch.setattr(W, "RULES_PER_SCAN", 3)
+    monkeypatch.setattr(W, "FEW_PATTERNS", few)
     uris = spark.range(20).selectExpr("concat('u', id) AS uri")
     feed = frame(spark, [(f"u{i}$", str(i)) for i in range(8)])
     assert sorted(r["uri"] for r in W.match_feed(uris, feed).collect()) == [f"u{i}" for i in range(8)]
@@ -146,6 +148,7 @@ def test_thousands_of_patterns_equal_trying_each(spark):
 
 def test_too_many_patterns_without_a_literal_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(W, "MOST_WITHOUT_LITERAL", 2)
+    monkeypatch.setattr(W, "FEW_PATTERNS", 0)
     with pytest.raises(ValueError, match="without a literal"):
         W.match_feed(spark.createDataFrame([("/a",)], "uri string"), frame(spark, [("a", "1"), ("b", "2"), ("c", "3")]))
 
