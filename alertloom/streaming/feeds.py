@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from alertloom.operators.feeds import feed_changes, feed_table, match_feed
+from alertloom.sources.alerts import with_line_numbers
 
 
 def _snapshot(spark: SparkSession, out: str, batch_id: int) -> DataFrame | None:
@@ -99,3 +100,56 @@ def stream_series(spark: SparkSession, folder: str, max_files: int = 1000) -> Da
         .option("enforceSchema", True).option("maxFilesPerTrigger", max_files).csv(folder)
     return readings.select(
         F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("series"), "x", "y")
+
+
+MARKS = "file string, lines long"
+
+
+def _marks(spark: SparkSession, out: str, batch_id: int) -> DataFrame | None:
+    """Up to which line each file was read by a batch; None before the first and of a batch that did not get so far."""
+    try:
+        return spark.read.schema(MARKS).parquet(f"{out}/lines/batch={batch_id}") if batch_id >= 0 else None
+    except AnalysisException:
+        return None
+
+
+def _file_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    rows = spark.read.option("lineSep", "\n").text(paths).select("value", F.col("_metadata.file_size").alias("size"), F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("line_order"))
+    return rows.withColumn("bytes", F.octet_length("value") + 1)
+
+
+def whole_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``file`` and its number of ``lines`` that a line feed ends. Of a last line without one, the bytes with a line feed exceed the file's."""
+    return _file_lines(spark, paths).groupBy("line_order.file").agg(
+        (F.count(F.lit(1)) - F.when(F.sum("bytes") > F.max("size"), 1).otherwise(0)).alias("lines"))
+
+
+def read_appended(spark: SparkSession, paths: str | list[str], out: str, batch_id: int) -> None:
+    """What was appended to series files since the batch before, as (series, x, y) in ``out/rows/batch=..``.
+
+    The first line of a file is its header; a last line that nothing ends yet is held back. How many lines of each file a batch
+    covers is written before its rows, so that a batch which is run again covers the same lines and each
+    reading arrives once. Batches are numbered from 0 without gaps. Files are scanned anew by each batch, a sum a file is kept.
+    """
+    own = _marks(spark, out, batch_id)
+    if own is None:
+        whole_lines(spark, paths).write.mode("overwrite").parquet(f"{out}/lines/batch={batch_id}")
+        own = _marks(spark, out, batch_id)
+    before = _marks(spark, out, batch_id - 1)
+    before = spark.createDataFrame([], MARKS) if before is None else before
+    bounds = own.join(before.withColumnRenamed("lines", "done"), "file", "left").select("file", F.greatest(F.coalesce("done", F.lit(0)), F.lit(1)).alias("done"), "lines")
+    lines = _file_lines(spark, paths)
+    numbered = with_line_numbers(lines, lines).withColumn("file", F.col("line_order.file"))
+    fresh = numbered.join(bounds, "file").where((F.col("line_num") > F.col("done")) & (F.col("line_num") <= F.col("lines")))
+    text = F.btrim("value", F.lit(" \t\r"))
+    cells = F.from_csv(text, "x double, y double", {"mode": "PERMISSIVE"})
+    fresh.where(text != "").select(F.substring_index("file", "/", -1).alias("series"), cells.alias("c")).select("series", "c.x", "c.y") \
+        .write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+
+
+def follow_series(spark: SparkSession, paths: str | list[str], out: str, checkpoint: str, interval: str = "10 seconds") -> StreamingQuery:
+    """Read what is appended to the files every ``interval``, by ``read_appended``; goes on from its checkpoint where it stopped."""
+    clock = spark.readStream.format("rate").load()
+    return clock.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=interval).foreachBatch(
+        lambda batch, batch_id: read_appended(batch.sparkSession, paths, out, batch_id)).start()

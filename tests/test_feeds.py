@@ -189,3 +189,49 @@ def test_change_events_with_state_equal_comparing_snapshots(spark, tmp_path):
     assert got == wanted and spark.read.parquet(str(tmp_path / "out")).count() == len(wanted)
     first = W.feed_changes(frame(spark, versions[0]), frame(spark, versions[1])).collect()
     assert {(r["regex"], r["description"], r["change"]) for r in first} == {x[1:] for x in wanted if x[0] == 2}
+
+
+def test_readings_appended_to_a_file_arrive_once(spark, tmp_path):
+    """Lines appended between batches, cut in the middle of a line; a batch that is run again; a second file that comes later."""
+    from alertloom.streaming.feeds import read_appended
+
+    folder, out = tmp_path / "readings", str(tmp_path / "out")
+    folder.mkdir()
+
+    def append(name, text):
+        with open(folder / name, "a", newline="") as f:
+            f.write(text)
+
+    append("a.csv", "Time,Temperature\n0.0,40.5\n1.0,4")
+    read_appended(spark, str(folder), out, 0)
+    append("a.csv", "1.5\r\n\n2.0,42\n")
+    append("b.csv", "Time")
+    read_appended(spark, str(folder), out, 1)
+    append("b.csv", ",Temperature\n5.0,9\n")
+    append("a.csv", "3.0,43")
+    read_appended(spark, str(folder), out, 1)  # run again: what came since belongs to the next batch
+    read_appended(spark, str(folder), out, 2)
+    append("a.csv", "\n")
+    read_appended(spark, str(folder), out, 3)
+    read_appended(spark, str(folder), out, 4)
+    got = sorted((r["batch"], r["series"], r["x"], r["y"]) for r in spark.read.parquet(f"{out}/rows").collect())
+    assert got == [(0, "a.csv", 0.0, 40.5), (1, "a.csv", 1.0, 41.5), (1, "a.csv", 2.0, 42.0), (2, "b.csv", 5.0, 9.0), (3, "a.csv", 3.0, 43.0)]
+
+
+def test_a_followed_file_goes_on_from_its_checkpoint(spark, tmp_path):
+    import time
+
+    from alertloom.streaming.feeds import follow_series
+
+    (tmp_path / "a.csv").write_text("Time,Temperature\n" + "".join(f"{k}.0,{k}\n" for k in range(5)))
+    out = str(tmp_path / "out")
+    for upto in (5, 8):
+        with open(tmp_path / "a.csv", "a") as f:
+            f.write("".join(f"{k}.0,{k}\n" for k in range(5, upto)))
+        query = follow_series(spark, str(tmp_path / "a.csv"), out, str(tmp_path / "state"), "1 second")
+        for _ in range(120):
+            time.sleep(1)
+            if os.path.isdir(f"{out}/rows") and spark.read.option("recursiveFileLookup", "true").schema("series string, x double, y double").parquet(f"{out}/rows").count() >= upto:
+                break
+        query.stop()
+    assert sorted(r["x"] for r in spark.read.parquet(f"{out}/rows").collect()) == [float(k) for k in range(8)]
