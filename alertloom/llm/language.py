@@ -169,7 +169,9 @@ def scored(rows: DataFrame, table: np.ndarray, text: str = "text") -> DataFrame:
 def accepted_documents(docs: DataFrame, languages: tuple[str, ...] = ("en", "de", "fr", "es")) -> DataFrame:
     """The documents whose language is identified, with their columns.
 
-    Documents declare their language in ``lang`` and have their ``source`` for a host.
+    Documents declare their language in ``lang`` and have their ``source`` for a host. Null text counts as empty, so that only
+    what is declared speaks for it; a null ``lang`` or ``source`` says nothing. Rows that repeat are decided alike and
+    each stay or go; columns of any name are kept; an empty table gives no rows.
     """
     table = train(docs, languages)
     rows = docs.select(F.struct("*").alias("row"), "text", F.col("lang").cast("string"), F.col("source").cast("string"))

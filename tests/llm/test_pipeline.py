@@ -58,3 +58,23 @@ def test_run_applies_all_stages(spark, sf, stages):
     got = {(r.doc_id, r.piece, r.ids_crc32) for r in P.run(spark, sf).collect()}
     assert got == {(r.doc_id, r.piece, r.ids_crc32) for r in stages[5].collect()}
     assert P.ORACLE_SQL is None and 4 <= len(P.STAGES) <= 5
+
+
+CLASHES = ("_copy", "sampled", "mix_copies", "mix_weight", "row", "cell", "draw", "accepted", "language", "posterior", "hash", "bare", "rank", "node", "size", "tile")
+
+
+def test_every_stage_takes_odd_rows_and_clashing_names(spark, sf):
+    rows = [(1, "plain words in english that the model of letters can tell " * 3, "en", "web", 1), (2, None, None, None, None), (3, "", "en", "web", 0), (None, "no id here at all", "en", "a", 1),
+            (4, "twice the same", "en", "a", 1), (4, "twice the same", "en", "a", 1), (5, "wort " * 20_000, "de", "b", 1), (6, "\t\n ", "fr", None, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in CLASHES:
+        df = df.withColumn(name, F.lit("own"))
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, df, sf)
+        assert out.columns == df.columns, name
+        found = out.collect()
+        assert {r.row for r in found} | {r.sampled for r in found} | {r.mix_copies for r in found} <= {"own"} and len(found) > 0, name
+        assert stage(spark, df.limit(0), sf).count() == 0, name
+    packed = P.STAGES[-1][1](spark, df, sf).collect()
+    assert len({(r.doc_id, r.piece) for r in packed}) >= 6 and P.STAGES[-1][1](spark, df.limit(0), sf).count() == 0
+
