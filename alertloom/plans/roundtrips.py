@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from alertloom.functions import chat as C
 from alertloom.functions import text as X
 from alertloom.operators import assertions as O
-from alertloom.operators import datasets as D
 from alertloom.operators import evals as E
 from alertloom.operators import feeds as W
 from alertloom.operators import incidents as I

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from alertloom.operators.feeds import feed_changes, feed_table, match_feed
+from alertloom.session import package_on_workers
 from alertloom.sources.alerts import with_line_numbers
 
 
@@ -87,6 +88,7 @@ def stream_changes(versions: DataFrame) -> DataFrame:
     or with the batch without data that follows the last one. A batch that is run again, or a version
     that comes twice, gives no change twice. For output in append mode.
     """
+    package_on_workers(versions.sparkSession)
     at = F.timestamp_seconds(F.col("version")).alias("at")
     timed = versions.where(F.col("regex").isNotNull()).select(
         "regex", F.coalesce("description", F.lit("")).alias("description"), F.col("version").cast("long").alias("version"),

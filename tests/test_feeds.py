@@ -157,10 +157,8 @@ def test_change_events_with_state_equal_comparing_snapshots(spark, tmp_path):
     """A replay of versions, stopped and started again from its checkpoint in between."""
     import json
 
-    from alertloom.session import package_on_workers
     from alertloom.streaming.feeds import stream_changes
 
-    package_on_workers(spark)
     draw = random.Random(4)
     versions = [[(f"p{k}", draw.choice("ab")) for k in range(12) if draw.random() < 0.6] or [("p0", "a")] for _ in range(6)]
     versions[3] = versions[2]
