@@ -79,8 +79,8 @@ def uri_feed_stream(spark, sf):
     """The pages as a stream of requests, matched with the feed and read back from the sink."""
     out = new_folder(spark)
     pages = N.table(spark, sf, "pages")
-    requests = spark.readStream.schema(pages.schema).option("pathGlobFilter", "pages.parquet") \
-        .parquet(sf).select("page_id", "url")
+    # A stream takes a plain path for a folder; a pattern leads to the table's file as well as to its folder of files.
+    requests = spark.readStream.schema(pages.schema).parquet(f"{sf}/pages.parque[t]").select("page_id", "url")
     query = stream_match(requests, lambda: texts._feed(spark, texts.FEED), f"{out}/result", f"{out}/state",
                          "url", available_now=True)
     query.awaitTermination()

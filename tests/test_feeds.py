@@ -1,6 +1,7 @@
 import os
 import random
 import re
+import shutil
 
 import pytest
 
@@ -233,3 +234,19 @@ def test_a_followed_file_goes_on_from_its_checkpoint(spark, tmp_path):
                 break
         query.stop()
     assert sorted(r["x"] for r in spark.read.parquet(f"{out}/rows").collect()) == [float(k) for k in range(8)]
+
+
+@pytest.mark.parametrize("parts", [None, 3])
+def test_pages_of_a_stream_are_a_file_or_a_folder_of_files(spark, tmp_path, parts):
+    from alertloom.plans.files import uri_feed_stream
+
+    rows = [(k, f"http://m.a.org/de/{k}") for k in range(7)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    target = str(tmp_path / "pages.parquet")
+    if parts:
+        pages.repartition(parts).write.parquet(target)
+    else:
+        pages.coalesce(1).write.parquet(str(tmp_path / "made"))
+        shutil.copy(next((tmp_path / "made").glob("part-*.parquet")), target)
+    found = uri_feed_stream(spark, str(tmp_path)).where("description = 'mobile without encryption'")
+    assert sorted((r.page_id, r.url) for r in found.collect()) == rows
