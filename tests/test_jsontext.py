@@ -76,3 +76,33 @@ def test_alert_lines_are_strict_and_parsed_to_their_end(spark):
     reasons = {r.line_order: r.reason for r in alerts.rejects.collect()}
     assert reasons == {1: "bad json", 2: "bad json", 3: "bad json", 4: "bad json", 5: "unknown status", 6: "bad record", 7: "bad record",
                        8: "bad json", 9: "unknown status"}
+
+
+def test_objects_of_texts_of_any_tokens():
+    """Runs of openings, braces that open nothing and braces in strings, against json at each brace in turn."""
+    parts = ["{", "}", '"', ":", ",", "[", "]", " ", "\n", "\\", "1", "a", '"a":', '{"a":', '{"b" : ', "{}", "null", '"x"', '"{"']
+    draw = random.Random(5)
+
+    def plain(text):
+        found, at = [], text.find("{")
+        while at >= 0:
+            try:
+                end = at + json.JSONDecoder().raw_decode(text[at:])[1]
+                found.append(text[at:end])
+            except ValueError:
+                end = at + 1
+            at = text.find("{", end)
+        return found
+
+    for _ in range(20000):
+        text = "".join(draw.choices(parts, k=draw.randrange(1, 30)))
+        assert objects_in(text) == plain(text), text
+
+
+def test_braces_that_open_nothing_are_not_read_one_by_one(monkeypatch):
+    from alertloom.functions import jsontext
+
+    tried = []
+    read = jsontext._read
+    monkeypatch.setattr(jsontext, "_read", lambda *a: tried.append(a[1]) or read(*a))
+    assert objects_in("{" * 500 + '"{"n": 7}') == ['{"n": 7}'] and len(tried) <= 2
