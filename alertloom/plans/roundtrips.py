@@ -186,12 +186,14 @@ def analysis_lines(spark, sf):
 def _order_documents(spark, sf, wrapped: bool):
     """The orders as JSON documents, one for each status, read back in one scan."""
     path = new_folder(spark)
-    orders = N.order_incidents(spark, sf).select("incident_id", "status", F.to_json(F.struct("incident_id", "event_count", F.lit('a "}" [b').alias("summary"))).alias("record"))
-    lines = orders.select("status", F.concat("record", F.lit(",")).alias("value"), F.lit(1).alias("part"), "incident_id")
-    edge = lambda part, text: orders.select("status").distinct().select("status", F.lit(text).alias("value"), F.lit(part).alias("part"), F.lit("").alias("incident_id"))
+    orders = N.order_incidents(spark, sf).select("status", F.lit(1).alias("part"), "incident_id", "event_count")
+    edge = lambda part: orders.select("status").distinct().select("status", F.lit(part).alias("part"), F.lit("").alias("incident_id"), F.lit(None).alias("event_count"))
     begin, end = ('{"note": [{"x": 1}], "incidents": [', '{"incident_id": "last"}]}') if wrapped else ("[", '{"incident_id": "last"}]')
-    whole = lines.union(edge(0, begin)).union(edge(2, end)).repartition("status").sortWithinPartitions("status", "part", "incident_id")
-    whole.select("status", "value").write.partitionBy("status").text(path)
+    record = F.to_json(F.struct("incident_id", "event_count", F.lit('a "}" [b').alias("summary")))
+    value = F.when(F.col("part") == 0, F.lit(begin)).when(F.col("part") == 2, F.lit(end)).otherwise(F.concat(record, F.lit(",")))
+    # A document is one file, so one task sorts it: keys alone, texts are made behind the sort.
+    whole = orders.union(edge(0)).union(edge(2)).repartition("status").sortWithinPartitions("status", "part", "incident_id")
+    whole.select("status", value.alias("value")).write.partitionBy("status").text(path)
     return [f"{path}/status={s}" for s in ("P", "O", "F")]
 
 

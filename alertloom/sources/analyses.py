@@ -73,7 +73,8 @@ def read_analyses(spark: SparkSession, paths: list[str], shape: str = "any") ->
         "array": F.col("first") == "[",
     }[shape]
     accepted = orders.drop("path").join(seen.where("whole").where(accepted).select("file"), "file")
-    raw = records.join(accepted, "file").select("file_order", "pos", F.col("file").alias("source_file"), "raw")
+    # A row for each file; by shuffle all records of a document would meet, and be sorted, in one task.
+    raw = records.join(F.broadcast(accepted), "file").select("file_order", "pos", F.col("file").alias("source_file"), "raw")
     rejects = orders.join(accepted.select("file", "file_order"), ["file", "file_order"], "left_anti").select("file_order", F.col("file").alias("source_file"))
     return Analyses(_typed(raw), rejects)
 

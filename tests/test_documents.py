@@ -85,3 +85,36 @@ def test_files_of_a_merge_are_looked_at(spark, tmp_path):
     for paths, passed, detail in (([good], True, "0 unreadable"), ([good, bad], False, "1 unreadable"), ([good, bad, str(tmp_path / "gone.json")], False, "2 unreadable")):
         report = {r["check"]: r for r in D.verify_merge(inputs, output, N.unreadable_files(spark, paths, "wrapped")).collect()}
         assert (report["files"].passed, report["files"].detail, report["overall"].passed) == (passed, detail, passed)
+
+
+def test_records_meet_their_files_without_a_shuffle_by_file(spark, tmp_path):
+    (tmp_path / "one.json").write_text(json.dumps([{"incident_id": f"i{k}"} for k in range(20)]))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        records = N.read_analyses(spark, [str(tmp_path)], "array").records
+        plan = records._jdf.queryExecution().sparkPlan().toString()
+        assert sorted(r.pos for r in records.select("pos").collect()) == list(range(20))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    top = next(line for line in plan.splitlines() if "Join" in line)
+    assert "BroadcastHashJoin" in top
+
+
+def test_order_documents_sort_keys_alone(spark, tmp_path, monkeypatch):
+    """The texts of a document's records are made behind the sort; duplicates, null keys and the edges of the documents stay."""
+    from pyspark.sql import functions as F
+
+    from alertloom.plans import inputs, roundtrips
+
+    frame = type(spark.range(0))
+
+    rows = [("a", "P", 3), ("b", "P", 1), ("a", "P", 3), (None, "O", 2), ("c", "F", None)]
+    monkeypatch.setattr(inputs, "order_incidents", lambda *_: spark.createDataFrame(rows, "incident_id string, status string, event_count long"))
+    sorted_columns, sort = [], frame.sortWithinPartitions
+    monkeypatch.setattr(frame, "sortWithinPartitions", lambda self, *a, **b: sorted_columns.append(self.columns) or sort(self, *a, **b))
+    paths = roundtrips._order_documents(spark, None, False)
+    assert sorted_columns == [["status", "part", "incident_id", "event_count"]]
+    texts = [json.loads("".join(r.value for r in spark.read.text(p, wholetext=True).select(F.col("value")).collect())) for p in paths]
+    assert [[(r.get("incident_id"), r.get("event_count")) for r in t] for t in texts] == [
+        [("a", 3), ("a", 3), ("b", 1), ("last", None)], [(None, 2), ("last", None)], [("c", None), ("last", None)]]
