@@ -25,14 +25,15 @@ SHORT = 64
 class WordEncoder:
     """Token ids of texts for vocabularies whose words end at white space.
 
-    Words are encoded by the tokenizer once and remembered, at most ``most_words`` of them. Upper
+    Words are encoded by the tokenizer once and remembered, about ``most_words`` of them: beyond that, those that were
+    not met again are forgotten, and of the others all but the half as many that were learned first. Upper
     case ASCII and a tail of ASCII marks after a letter or digit don't change how the rest of a word
     is encoded, so words that differ in these only are encoded once.
     """
 
     TAIL = b".,!*&%$#|;:?)"
 
-    def __init__(self, spec: str, most_words: int = 1_000_000) -> None:
+    def __init__(self, spec: str, most_words: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
@@ -47,6 +48,16 @@ class WordEncoder:
         self.rows: dict[bytes, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.lengths, self.known = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        #: Whether a row was met after the texts that it was learned from.
+        self.again = np.zeros(1 << 14, bool)
+
+    def _forget(self) -> None:
+        kept = [(word, row) for word, row in self.rows.items() if self.again[row]][:self.most_words // 2]
+        there, places = np.unique(np.array([row for _, row in kept], np.int64), return_inverse=True)
+        ids, lengths = self.gather(there), self.lengths[there]
+        self.clear()
+        self._append(ids, lengths)
+        self.rows = dict(zip([word for word, _ in kept], places.tolist(), strict=True))
 
     def _append(self, ids: np.ndarray, lengths: np.ndarray) -> range:
         """New rows for words of the given ids, one after the other."""
@@ -56,6 +67,7 @@ class WordEncoder:
         while self.known + n > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+            self.again = np.concatenate([self.again, np.zeros_like(self.again)])
         self.ids[self.used:self.used + total] = ids
         self.starts[self.known:self.known + n] = self.used + np.cumsum(lengths) - lengths
         self.lengths[self.known:self.known + n] = lengths
@@ -112,8 +124,8 @@ class WordEncoder:
     def many(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text. New words of all of them are learned together."""
         if len(self.rows) > self.most_words:
-            self.clear()
-        split = [text.split() for text in texts]
+            self._forget()
+        known, split = self.known, [text.split() for text in texts]
         words = list(chain.from_iterable(split))
         rows = list(map(self.rows.get, words))
         if None in rows:
@@ -122,6 +134,7 @@ class WordEncoder:
             for k in new:
                 rows[k] = self.rows[words[k]]
         at = np.array(rows, np.int64)
+        self.again[at[at < known]] = True
         ends = np.concatenate([[0], np.cumsum(self.lengths[at])])[np.cumsum([len(w) for w in split])]
         return np.split(self.gather(at), ends[:-1])
 

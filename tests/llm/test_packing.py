@@ -41,6 +41,20 @@ def test_words_are_encoded_as_in_their_text(spec, tokenizer):
         assert forgetful(text.encode()).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_words_met_once_are_forgotten_first(spec, tokenizer):
+    """Memory is bounded by words that come again; those that do are not encoded anew."""
+    draw = random.Random(3)
+    common = ["".join(draw.choices("abcdefgh", k=6)) for _ in range(40)]
+    encode, learned = packing.WordEncoder(spec, most_words=400), []
+    plain = encode._learn
+    encode._learn = lambda words: learned.extend(words) or plain(words)
+    for _ in range(30):
+        text = " ".join(draw.sample(common, 40) + ["".join(draw.choices("stuvwxyz", k=9)) for _ in range(100)])
+        assert encode(text.encode()).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encode.rows) <= 400 + 140 and encode.known <= 400 + 140
+    assert all(learned.count(w.encode()) == 1 for w in common)
+
+
 def check(rows, tokenizer, docs, capacity=4096):
     pieces = {}
     for r in rows:
