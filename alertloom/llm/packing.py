@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,13 +25,14 @@ SHORT = 64
 class WordEncoder:
     """Token ids of texts for vocabularies whose words end at white space.
 
-    Words are encoded by the tokenizer once and remembered, about ``most_words`` of them: beyond that, those that were
-    not met again are forgotten, and of the others all but the half as many that were learned first. Upper
-    case ASCII and a tail of ASCII marks after a letter or digit don't change how the rest of a word
-    is encoded, so words that differ in these only are encoded once.
+    The distinct words of the given texts are found first, in Arrow. Upper case ASCII and a tail of ASCII marks after a
+    letter or digit don't change how the rest of a word is encoded (but for special tokens and marks that join
+    with a small letter only), so a word is the part before such a tail, in small letters, and the tail. Parts are encoded by the
+    tokenizer once and remembered, about ``most_words`` of them: beyond that, those that were not met again
+    are forgotten, and of the others all but the half as many that were learned first.
     """
 
-    TAIL = b".,!*&%$#|;:?)"
+    TAIL = ".,!*&%$#|;:?)"
 
     def __init__(self, spec: str, most_words: int = 400_000) -> None:
         from tokenizers import Tokenizer
@@ -41,10 +42,16 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        #: Bytes of words that keep their case: of special tokens ("<") and of combining marks (U+0300 to U+036F).
+        self.cased = np.zeros(256, bool)
+        self.cased[[0x3C, 0xCC, 0xCD]] = True
+        #: Bytes after which a tail is a part of its own: ASCII digits and small letters.
+        self.ends = np.zeros(256, bool)
+        self.ends[[*range(48, 58), *range(97, 123)]] = True
         self.clear()
 
     def clear(self) -> None:
-        #: Row of each known word; rows say where the ids of a word are.
+        #: Row of each known part; rows say where the ids of a part are.
         self.rows: dict[bytes, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.lengths, self.known = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
@@ -52,15 +59,14 @@ class WordEncoder:
         self.again = np.zeros(1 << 14, bool)
 
     def _forget(self) -> None:
-        kept = [(word, row) for word, row in self.rows.items() if self.again[row]][:self.most_words // 2]
-        there, places = np.unique(np.array([row for _, row in kept], np.int64), return_inverse=True)
-        ids, lengths = self.gather(there), self.lengths[there]
+        kept = [(part, row) for part, row in self.rows.items() if self.again[row]][:self.most_words // 2]
+        there = np.array([row for _, row in kept], np.int64)
+        ids, lengths = _gather(self.ids, self.starts, self.lengths, there), self.lengths[there]
         self.clear()
-        self._append(ids, lengths)
-        self.rows = dict(zip([word for word, _ in kept], places.tolist(), strict=True))
+        self.rows = dict(zip([part for part, _ in kept], self._append(ids, lengths)))
 
     def _append(self, ids: np.ndarray, lengths: np.ndarray) -> range:
-        """New rows for words of the given ids, one after the other."""
+        """New rows for parts of the given ids, one after the other."""
         n, total = len(lengths), len(ids)
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -75,73 +81,80 @@ class WordEncoder:
         self.used, self.known = self.used + total, self.known + n
         return rows
 
-    def _encode(self, words: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in words]
+    def _learn(self, parts: list[bytes]) -> None:
+        texts = [p.decode("utf-8", "replace") for p in parts]
         plain = [i for i, t in enumerate(texts) if t.isalpha()]
         done = set()
-        for at in range(0, len(plain), 2000):
-            block = plain[at:at + 2000]
+        for at in range(0, len(plain), 200):
+            block = plain[at:at + 200]
             ids = np.array(self.tokenizer.encode_batch_fast(
                 [" ".join([texts[i] for i in block])], add_special_tokens=False)[0].ids, np.int64)
             cuts = np.flatnonzero(self.last[ids]) + 1
             if len(cuts) == len(block) and cuts[-1] == len(ids):  # else some word is more than one part
-                self.rows.update(zip([words[i] for i in block], self._append(ids, np.diff(cuts, prepend=0))))
+                self.rows.update(zip([parts[i] for i in block], self._append(ids, np.diff(cuts, prepend=0))))
                 done.update(block)
-        alone = [i for i in range(len(words)) if i not in done]
+        alone = [i for i in range(len(parts)) if i not in done]
         for at in range(0, len(alone), 2000):
             block = alone[at:at + 2000]
             found = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in block], add_special_tokens=False)]
-            self.rows.update(zip([words[i] for i in block], self._append(
+            self.rows.update(zip([parts[i] for i in block], self._append(
                 np.array([i for x in found for i in x], np.int64), np.array([len(x) for x in found], np.int64))))
 
-    def _learn(self, words: list[bytes]) -> None:
-        heads, tails = [], []
-        for word in words:
-            low = word.lower()
-            head = low.rstrip(self.TAIL)
-            if head and len(head) < len(low) and (48 <= head[-1] <= 57 or 97 <= head[-1] <= 122):
-                heads.append(head)
-                tails.append(low[len(head):])
-            else:
-                heads.append(low)
-                tails.append(b"")
-        rows = self.rows
-        self._encode([p for p in dict.fromkeys([*heads, *tails]) if p and p not in rows])
-        both = [i for i, tail in enumerate(tails) if tail]
-        rows.update([(w, rows[h]) for w, h, t in zip(words, heads, tails) if not t])
-        first = np.array([rows[heads[i]] for i in both], np.int64)
-        second = np.array([rows[tails[i]] for i in both], np.int64)
-        ids = self.gather(np.stack([first, second], axis=1).ravel())
-        rows.update(zip([words[i] for i in both], self._append(ids, self.lengths[first] + self.lengths[second])))
-
-    def gather(self, rows: np.ndarray) -> np.ndarray:
-        """The ids of words by row, one word after the other."""
-        lengths = self.lengths[rows]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.repeat(self.starts[rows] - (ends - lengths), lengths) + np.arange(total)]
+    def _parts(self, words: pa.Array) -> pa.Array:
+        """Two parts of each word, one after the other: in small letters up to a tail of marks, and the tail or nothing."""
+        places, data = _buffers(words)
+        cased = np.zeros(len(words), bool)
+        cased[np.searchsorted(places, np.flatnonzero(self.cased[data]), "right") - 1] = True
+        words = pc.if_else(pa.array(cased), words, pc.ascii_lower(words))
+        places, data = _buffers(words)
+        starts, ends = places[:-1], places[1:]
+        cuts = starts + pc.binary_length(pc.ascii_rtrim(words, characters=self.TAIL)).to_numpy()
+        cuts = np.where((cuts > starts) & self.ends[data[np.maximum(cuts - 1, 0)]], cuts, ends) if len(data) else ends
+        places = np.append(np.stack([starts, cuts], axis=1).ravel(), ends[-1:])
+        return pa.Array.from_buffers(pa.large_binary(), 2 * len(words), [None, pa.py_buffer(places), pa.py_buffer(data)])
 
     def many(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The ids of each text. New words of all of them are learned together."""
+        """The ids of each text. New parts of words of all of them are learned together."""
         if len(self.rows) > self.most_words:
             self._forget()
-        known, split = self.known, [text.split() for text in texts]
-        words = list(chain.from_iterable(split))
-        rows = list(map(self.rows.get, words))
-        if None in rows:
-            new = [k for k, row in enumerate(rows) if row is None]
-            self._learn(list({words[k] for k in new}))
+        known, split = self.known, pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        parts = self._parts(words.dictionary).dictionary_encode()
+        names = parts.dictionary.to_pylist()
+        rows = list(map(self.rows.get, names))
+        if new := [k for k, row in enumerate(rows) if row is None]:
+            self._learn([names[k] for k in new])
             for k in new:
-                rows[k] = self.rows[words[k]]
+                rows[k] = self.rows[names[k]]
         at = np.array(rows, np.int64)
         self.again[at[at < known]] = True
-        ends = np.concatenate([[0], np.cumsum(self.lengths[at])])[np.cumsum([len(w) for w in split])]
-        return np.split(self.gather(at), ends[:-1])
+        # The ids of each distinct word, one after the other, then those of all words.
+        at = at[parts.indices.to_numpy()]
+        ids, lengths = _gather(self.ids, self.starts, self.lengths, at), self.lengths[at].reshape(-1, 2).sum(axis=1)
+        at = words.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(lengths[at])])[split.offsets.to_numpy()[1:]]
+        return np.split(_gather(ids, np.cumsum(lengths) - lengths, lengths, at), ends[:-1])
 
     def __call__(self, text: bytes) -> np.ndarray:
         return self.many([text])[0]
 
 
+def _gather(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The ids of the given rows, one after the other."""
+    lengths = lengths[rows]
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return ids[np.repeat(starts[rows] - (ends - lengths), lengths) + np.arange(total)]
+
+
+def _buffers(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and the last ends, from 0, and their bytes."""
+    _, places, data = words.buffers()
+    places = np.frombuffer(places, np.int64)[words.offset:words.offset + len(words) + 1]
+    data = np.frombuffer(data, np.uint8)[places[0]:places[-1]] if data else np.zeros(0, np.uint8)
+    return places - places[0], data
+
+
 _ENCODERS: dict[int, WordEncoder] = {}
 
 
@@ -166,7 +179,7 @@ def blocks_of(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
     yield text[begin:]
 
 
-def _grouped(texts: Iterable[bytes], size: int = 1 << 16) -> Iterator[list[tuple[bytes, bool]]]:
+def _grouped(texts: Iterable[bytes], size: int = 1 << 22) -> Iterator[list[tuple[bytes, bool]]]:
     """Blocks of the texts, each with whether it is the last of its text, in lists of about ``size`` bytes."""
     group, room = [], size
     for text in texts:

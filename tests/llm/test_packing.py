@@ -55,6 +55,26 @@ def test_words_met_once_are_forgotten_first(spec, tokenizer):
     assert all(learned.count(w.encode()) == 1 for w in common)
 
 
+def test_a_part_of_words_is_learned_and_remembered_once(spec, tokenizer):
+    """Words that differ in capitals and a tail of marks need one entry, as does each tail."""
+    encode, learned = packing.WordEncoder(spec), []
+    plain = encode._learn
+    encode._learn = lambda parts: learned.extend(parts) or plain(parts)
+    words = [f(head) + tail for head in ("alert", "loom", "rule9") for f in (str.lower, str.upper, str.title) for tail in ("", ".", ",", "!?", ".%%%")]
+    texts = [" ".join(words), "\n".join(words[::-1]), "", "  ", " Alert. "]
+    for _ in range(2):
+        found = encode.many([t.encode() for t in texts])
+        assert [x.tolist() for x in found] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(learned) == len(set(learned)) == len(encode.rows) <= 3 + 4 + 1
+
+
+def test_capitals_that_matter(spec, tokenizer):
+    """Special tokens are small letters only, and some marks join with small letters but not with capitals."""
+    encode = packing.WordEncoder(spec)
+    for text in ("<|ENDOFTEXT|>", "a<|EndOfText|>. <|endoftext|>", "J\u030c H\u0331x T\u0308. W\u030a, Y\u030a T\u0344", "A\u030a \u0130J\u030c"):
+        assert encode(text.encode()).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def check(rows, tokenizer, docs, capacity=4096):
     pieces = {}
     for r in rows:
