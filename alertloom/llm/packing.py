@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -162,6 +163,8 @@ def encoder_of(spec: str) -> WordEncoder:
     """The encoder of a tokenizer in this worker process, with the words that earlier tasks met."""
     key = hash(spec)
     if key not in _ENCODERS:
+        # A task has one core: threads of the tokenizer's own would wait for work at the cost of other tasks.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _ENCODERS.clear()
         _ENCODERS[key] = WordEncoder(spec)
     return _ENCODERS[key]
