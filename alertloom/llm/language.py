@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import text_of
-from alertloom.session import stored
+from alertloom.llm.common import frugal, text_of
+from alertloom.session import arrow_batches, stored
 
 BUCKETS = 1 << 14
 #: Byte trigrams overlap threefold, so a trigram counts as a third of a piece of evidence.
 OVERLAP = 3.0
+#: Texts that a worker gets at a time where counts are made.
+BATCH = 2_000
 _FOLD = np.arange(256, dtype=np.int32)
 _FOLD[65:91] += 32
 _FOLD[48:58] = 48
@@ -45,8 +49,10 @@ def train(docs: DataFrame, languages: tuple[str, ...], label: str = "lang") -> n
         yield pd.DataFrame({"language": language, "bucket": bucket, "n": sums[language, bucket]})
 
     found = docs.select(F.lower(F.trim(F.col(label).cast("string"))).alias("label"), text_of().alias("text")).where(
-        F.col("label").isin(*languages)).mapInPandas(counts, "language int, bucket int, n long").groupBy(
-        "language", "bucket").agg(F.sum("n").alias("n")).toPandas()
+        F.col("label").isin(*languages)).mapInPandas(frugal(counts), "language int, bucket int, n long").groupBy(
+        "language", "bucket").agg(F.sum("n").alias("n"))
+    with arrow_batches(docs.sparkSession, BATCH):
+        found = found.toPandas()
     sums = np.zeros((len(languages), BUCKETS))
     sums[found["language"], found["bucket"]] = found["n"]
     share = (sums + 1e-9) / (sums.sum(axis=1, keepdims=True) + 1e-9 * BUCKETS)
@@ -57,16 +63,20 @@ def text_scores(table: np.ndarray, text: Column) -> Column:
     """Array: the log-likelihood of the text in each language, then its number of trigrams."""
     rows = np.ascontiguousarray(table.T.astype(np.float32))
 
+    def of_batches(batches):
+        for texts in batches:
+            out = []
+            for text in texts:
+                sums, n = np.zeros(rows.shape[1]), 0
+                for grams in _trigrams(text.encode()):
+                    sums += rows[grams].sum(axis=0, dtype=np.float64)
+                    n += len(grams)
+                out.append([*sums, float(n)])
+            yield pd.Series(out)
+
     @F.pandas_udf("array<double>")
-    def scores(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            sums, n = np.zeros(rows.shape[1]), 0
-            for grams in _trigrams(text.encode()):
-                sums += rows[grams].sum(axis=0, dtype=np.float64)
-                n += len(grams)
-            out.append([*sums, float(n)])
-        return pd.Series(out)
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from frugal(of_batches)(batches)
 
     return scores(text)
 
@@ -114,7 +124,7 @@ def fuse(scored: DataFrame, languages: tuple[str, ...], declared: Column, addres
 
     sums = [F.sum(F.col("_share")[k]).alias(f"c{k}") for k in range(size)]
     again = [F.sum(f"c{k}").alias(f"c{k}") for k in range(size)]
-    counts = stored(named.groupBy("_host", "_domain", "_suffix", "_declared").agg(*sums, F.count(F.lit(1)).alias("n")))
+    counts = stored(named.groupBy("_host", "_domain", "_suffix", "_declared").agg(*sums, F.count(F.lit(1)).alias("n")), BATCH)
     everything = counts.agg(*again, F.sum("n")).first()
     whole = [(everything[k] or 0.0) for k in range(size)]
     rows = everything[size] or 0

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import text_of
+from alertloom.llm.common import KEPT, frugal, text_of
 from alertloom.session import stored
 
 #: Numbers that pieces of one length class are spread over, so that no class meets in one task: as many as
@@ -21,6 +21,8 @@ from alertloom.session import stored
 SLOTS, MOST_SLOTS = 256, 4096
 #: Pieces up to this length are told apart by it, longer ones by the next multiple of the grid.
 SHORT = 64
+#: Texts that a worker gets at a time, some MB.
+BATCH = 4_000
 
 
 class WordEncoder:
@@ -156,18 +158,13 @@ def _buffers(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return places - places[0], data
 
 
-_ENCODERS: dict[int, WordEncoder] = {}
-
-
 def encoder_of(spec: str) -> WordEncoder:
     """The encoder of a tokenizer in this worker process, with the words that earlier tasks met."""
-    key = hash(spec)
-    if key not in _ENCODERS:
+    if KEPT.get("packing", (None, None))[0] != spec:
         # A task has one core: threads of the tokenizer's own would wait for work at the cost of other tasks.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _ENCODERS.clear()
-        _ENCODERS[key] = WordEncoder(spec)
-    return _ENCODERS[key]
+        KEPT["packing"] = spec, WordEncoder(spec)
+    return KEPT["packing"][1]
 
 
 def blocks_of(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
@@ -229,7 +226,7 @@ def token_pieces(docs: DataFrame, spec: str, capacity: int = 4096, end_id: int =
                  pa.array(out["crc"], pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(
-        pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
+        frugal(pieces, keeps="packing"), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def _add(out: dict[str, list], row: int, start: int, ids: np.ndarray, capacity: int) -> None:
@@ -426,4 +423,4 @@ def packed_documents(docs: DataFrame, spec: str, capacity: int = 4096) -> DataFr
 
     A null ``doc_id`` is kept as it is; repeated rows are packed each. Other columns are not read.
     """
-    return pack(stored(token_pieces(docs, spec, capacity)), capacity)
+    return pack(stored(token_pieces(docs, spec, capacity), BATCH), capacity)
